@@ -33,6 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,58 +151,60 @@ def place(vecs: DataFrame, index: Index) -> DataFrame:
     return vecs.mapInPandas(run, _POINT)
 
 
-def search_block(q: np.ndarray, d: np.ndarray, q_id: np.ndarray, d_id: np.ndarray, k: int, turn: np.ndarray, counts: dict | None = None):
-    """The k best of ``d`` for each of ``q`` (raw float32), never itself: (query row, data row, cosine)."""
+def search_block(q: np.ndarray, d: np.ndarray, q_id: np.ndarray, d_id: np.ndarray, k: int, turn: np.ndarray, beat: np.ndarray | None = None, counts: dict | None = None):
+    """The k best of ``d`` for each of ``q`` (raw float32), never itself: (query row, data row, cosine).
+
+    ``beat``: cosines that a result must reach, where the k-th best of other vectors is known.
+    """
     qu, du = _unit(q), _unit(d)
     (qc, qf), (dc, df) = encode(qu, turn), encode(du, turn)
     bits, nd = turn.shape[1], len(d)
-    out_q, out_d, out_s = [], [], []
-    lead = min(nd, 512)
+    out = []
+    lead = min(nd, 512) if beat is None else 0
     for lo in range(0, len(q), 256):
         hi = min(len(q), lo + 256)
-        rows = np.arange(hi - lo)
-        # exact start on the first rows gives the value to beat
-        s = qu[lo:hi] @ du[:lead].T
-        s[q_id[lo:hi, None] == d_id[None, :lead]] = -2
-        kk = min(k, lead)
-        best = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
-        have = [(np.repeat(rows, kk), best.ravel(), np.take_along_axis(s, best, 1).ravel())]
-        beat = np.take_along_axis(s, best, 1).min(axis=1) if kk == k else np.full(hi - lo, -1.0)
+        have, floor = [], beat[lo:hi].astype(np.float32) if beat is not None else np.full(hi - lo, -1.0, np.float32)
+        if lead:  # an exact start on the first rows gives the value to beat
+            s = qu[lo:hi] @ du[:lead].T
+            s[q_id[lo:hi, None] == d_id[None, :lead]] = -2
+            kk = min(k, lead)
+            best = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
+            top = np.take_along_axis(s, best, 1)
+            have.append((np.repeat(np.arange(hi - lo), kk), best.ravel(), top.ravel()))
+            floor = top.min(axis=1) if kk == k else floor
         for a in range(lead, nd, 1024):
             z = min(nd, a + 1024)
             diff = np.zeros((hi - lo, z - a), dtype=np.uint16)
             for w in range(qc.shape[1]):
                 diff += np.bitwise_count(qc[lo:hi, w, None] ^ dc[None, a:z, w])
-            # estimate: asin(inner product) = share * correction; share = 1 - 2 diff / bits
-            angle = np.arcsin(np.clip(beat, -1, 1))
+            # share of equal less unequal bits = corrections * asin(inner product), within the slack
+            angle = np.arcsin(np.clip(floor, -1, 1))
             p = np.clip(0.5 - angle / np.pi, 1e-3, 0.5)
-            slack = EPSILON * np.sqrt(p * (1 - p) / bits)
-            most_fix = float(df[a:z].max(initial=0))
-            need = angle * qf[lo:hi] * (most_fix if most_fix else 1)
-            need = np.where(angle < 0, angle, need)
-            limit = np.clip(np.floor(bits * ((1 - need) / 2 + slack)), 0, bits).astype(np.int32)
-            qi, di = np.nonzero(diff <= limit.astype(np.uint16)[:, None])
-            # the bound with each vector's own correction
-            share = 1 - 2 * diff[qi, di].astype(np.float32) / bits
-            est = share / (qf[lo:hi][qi] * df[a:z][di])
-            keep = est + 2 * slack[qi] / (qf[lo:hi][qi] * df[a:z][di]) >= angle[qi]
+            slack = 2 * EPSILON * np.sqrt(p * (1 - p) / bits)
+            fix = float(df[a:z].max()) if len(df[a:z]) else 1.0
+            need = np.where(angle > 0, angle * qf[lo:hi] * fix, angle) - slack
+            limit = np.clip(np.floor(bits * (1 - need) / 2), 0, bits).astype(np.uint16)
+            qi, di = np.nonzero(diff <= limit[:, None])
+            # once more with each vector's own correction
+            est = (1 - 2 * diff[qi, di].astype(np.float32) / bits + slack[qi]) / (qf[lo:hi][qi] * df[a:z][di])
+            keep = est >= angle[qi]
             qi, di = qi[keep], di[keep] + a
             if counts is not None:
                 counts["seen"] = counts.get("seen", 0) + diff.size
                 counts["reranked"] = counts.get("reranked", 0) + len(qi)
             exact = np.einsum("ij,ij->i", qu[lo:hi][qi], du[di])
             exact[q_id[lo:hi][qi] == d_id[di]] = -2
-            win = exact >= beat[qi]
+            win = exact >= floor[qi]
             have.append((qi[win], di[win], exact[win]))
             if z < nd:
-                have, beat = _top([np.concatenate(x) for x in zip(*have)], hi - lo, k, beat)
-        have, _ = _top([np.concatenate(x) for x in zip(*have)], hi - lo, k, beat)
-        fq, fd, fs = have[0]
-        ok = fs > -2
-        out_q.append(fq[ok] + lo)
-        out_d.append(fd[ok])
-        out_s.append(fs[ok])
-    return np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s)
+                have, floor = _top([np.concatenate(x) for x in zip(*have)], hi - lo, k, floor)
+        if have:
+            (qi, di, s) = _top([np.concatenate(x) for x in zip(*have)], hi - lo, k, floor)[0][0]
+            ok = s > -2
+            out.append((qi[ok] + lo, di[ok], s[ok]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _top(have, n, k, beat):
@@ -218,58 +222,112 @@ def _top(have, n, k, beat):
     return [(qi, di, s)], beat
 
 
-_NEAR = "id long, near array<struct<cosine:double,id:long>>"
+def _exact(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    a, b = q.astype(np.float64), d.astype(np.float64)
+    return np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, width)
+
+
+def _lists(rows: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    """The values (sorted by row) as one list per row."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+_OWN = "id long, vec binary, visits array<int>, beat double, cosines array<double>, others array<long>"
+_FOUND = "id long, cosines array<double>, others array<long>"
+
+
+def _blocks(sizes: dict[int, int], n_lists: int) -> F.Column:
+    """How many blocks a list is cut into, by the column ``list``; one entry a list."""
+    return F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(i, 0) // BLOCK))) for i in range(n_lists)]), F.col("list") + 1)
 
 
 def knn_join(vecs: DataFrame, width: int = WIDTH, k: int = K, lists: int | None = None, probes: int | None = None) -> DataFrame:
-    """(id, near): the k nearest of each distinct vector, best first. ``vecs``: (id, vec), ids unique."""
+    """(id, near): the k nearest of each distinct vector, best first. ``vecs``: (id, vec), ids unique.
+
+    A vector's own list is searched first; its k-th best cosine there is what vectors of the
+    other lists must beat, so those estimates discard nearly all and little is sent on.
+    """
     index = fit_index(vecs, width, lists, probes)
     placed = place(vecs, index)
-    turn_seed = SEED
-
-    # sizes of the lists as data and as goals of visits: one row a list
+    n_lists, turn = len(index.centroids), rotation(width)
+    # one row a list
     sizes = placed.select(F.posexplode("visits").alias("rank", "list")).groupBy("list").agg(
-        F.sum((F.col("rank") == 0).cast("long")).alias("data"), F.count("*").alias("queries")
+        F.sum((F.col("rank") == 0).cast("long")).alias("data"), F.sum((F.col("rank") > 0).cast("long")).alias("queries")
     ).toPandas()
-    d_blocks = {int(r.list): max(1, -(-int(r.data) // BLOCK)) for r in sizes.itertuples()}
-    q_blocks = {int(r.list): max(1, -(-int(r.queries) // BLOCK)) for r in sizes.itertuples()}
-    n_lists = len(index.centroids)
-    count = lambda blocks: F.array(*[F.lit(blocks.get(i, 1)) for i in range(n_lists)])
-
-    # one row a visit that is as well data (own list) or query only; blocks by hash of the id
-    visit = placed.select("id", "vec", F.posexplode("visits").alias("rank", "list"))
-    visit = visit.select("id", "vec", "list", (F.col("rank") == 0).alias("own"))
-    if max(d_blocks.values(), default=1) == 1 and max(q_blocks.values(), default=1) == 1:
-        units = visit.withColumn("is_query", F.lit(True)).withColumn("is_data", F.col("own")).withColumn("db", F.lit(0)).withColumn("qb", F.lit(0))
-    else:
-        visit = visit.withColumn("nd", F.element_at(count(d_blocks), F.col("list") + 1)).withColumn("nq", F.element_at(count(q_blocks), F.col("list") + 1))
-        h = F.xxhash64("id", F.lit(SEED))
-        as_query = visit.select("id", "vec", "list", F.lit(True).alias("is_query"), F.lit(False).alias("is_data"), F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"), F.pmod(h, F.col("nq")).cast("int").alias("qb"))
-        as_data = visit.where("own").select("id", "vec", "list", F.lit(False).alias("is_query"), F.lit(True).alias("is_data"), F.pmod(h, F.col("nd")).cast("int").alias("db"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"))
-        units = as_query.unionByName(as_data)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.frombuffer(b"".join(pdf.vec), dtype=np.float32).reshape(-1, width)
-        ids = pdf.id.to_numpy()
-        qs, ds = np.flatnonzero(pdf.is_query.to_numpy(bool)), np.flatnonzero(pdf.is_data.to_numpy(bool))
-        if not len(qs) or not len(ds):
-            return pd.DataFrame({"id": [], "near": []})
-        qi, di, _ = search_block(m[qs], m[ds], ids[qs], ids[ds], k, rotation(width, seed=turn_seed))
-        a, b = m[qs][qi].astype(np.float64), m[ds][di].astype(np.float64)
-        cos = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
-        near_ids = ids[ds][di]
-        cut_at = np.flatnonzero(np.diff(qi)) + 1
-        starts = np.concatenate([[0], cut_at, [len(qi)]]) if len(qi) else np.array([0])
-        rows = [
-            (ids[qs][qi[a0]], [{"cosine": c, "id": i} for c, i in zip(cos[a0:z0], near_ids[a0:z0])])
-            for a0, z0 in zip(starts[:-1], starts[1:])
-        ]
-        return pd.DataFrame(rows, columns=["id", "near"])
-
-    found = units.groupBy("list", "db", "qb").applyInPandas(run, _NEAR)
-    # at most probes rows of k neighbours meet for one id
-    best = F.slice(F.sort_array(F.flatten(F.collect_list("near")), asc=False), 1, k)
-    return found.groupBy("id").agg(best.alias("near"))
+    nd = _blocks(dict(zip(sizes.list, sizes.data)), n_lists)
+    nq = _blocks(dict(zip(sizes.list, sizes.queries)), n_lists)
+    h = F.xxhash64("id", F.lit(SEED))
+
+    # --- a vector's own list: every block against every block
+    own = placed.select("id", "vec", "visits", F.element_at("visits", 1).alias("list"))
+    as_query = own.select("id", "vec", "visits", "list", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), nd - 1)).alias("db"), F.pmod(h, nd).cast("int").alias("qb"))
+    as_data = own.select("id", "vec", F.lit(None).cast("array<int>").alias("visits"), "list", F.lit(False).alias("asks"), F.pmod(h, nd).cast("int").alias("db"), F.explode(F.sequence(F.lit(0), nd - 1)).alias("qb"))
+    # within the diagonal blocks the queries are the data: sent once
+    units = as_query.unionByName(as_data.where("db <> qb"))
+
+    def search_own(t: pa.Table) -> pa.Table:
+        m, ids = _matrix(t["vec"], width), t["id"].to_numpy()
+        asks = t["asks"].to_numpy()
+        diagonal = t["db"][0].as_py() == t["qb"][0].as_py()
+        qs, ds = np.flatnonzero(asks), np.arange(len(ids)) if diagonal else np.flatnonzero(~asks)
+        qi, di, _ = search_block(m[qs], m[ds], ids[qs], ids[ds], k, turn)
+        cos = _exact(m[qs][qi], m[ds][di])
+        full = np.bincount(qi, minlength=len(qs)) >= k
+        beat = np.full(len(qs), 2.0)
+        np.minimum.at(beat, qi, cos)
+        first = t["db"][0].as_py() == 0  # one block of a vector's list sends it on its visits
+        q = t.filter(t["asks"])
+        return pa.table(
+            {
+                "id": q["id"],
+                "vec": q["vec"] if first else pa.nulls(len(qs), pa.binary()),
+                "visits": q["visits"] if first else pa.nulls(len(qs), pa.list_(pa.int32())),
+                "beat": np.where(full, beat, -1.0),
+                "cosines": _lists(qi, cos, len(qs), pa.float64()),
+                "others": _lists(qi, ids[ds][di], len(qs), pa.int64()),
+            }
+        )
+
+    found = units.groupBy("list", "db", "qb").applyInArrow(search_own, _OWN)
+    if index.probes > 1:
+        # --- the other lists; the first visit (or a row without list, from further blocks) carries what the own list gave
+        at = F.posexplode_outer(F.slice("visits", 2, index.probes)).alias("nth", "list")
+        some = found.select("id", "vec", "beat", "cosines", "others", at)
+        carried = F.coalesce(F.col("nth"), F.lit(0)) == 0
+        goes = some.select(
+            "id", "vec", "beat", F.coalesce("list", -1 - F.pmod(h, F.lit(n_lists)).cast("int")).alias("list"), F.lit(True).alias("asks"),
+            F.when(carried, F.col("cosines")).alias("cosines"), F.when(carried, F.col("others")).alias("others"),
+        )
+        goes = goes.withColumn("nd", F.when(F.col("list") < 0, 1).otherwise(nd)).withColumn("nq", F.when(F.col("list") < 0, 1).otherwise(nq))
+        goes = goes.select("id", "vec", "beat", "list", "asks", "cosines", "others", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"), F.pmod(h, F.col("nq")).cast("int").alias("qb"))
+        goes = goes.withColumn("cosines", F.when(F.col("db") == 0, F.col("cosines"))).withColumn("others", F.when(F.col("db") == 0, F.col("others")))
+        stays = own.select("id", "vec", "list", F.lit(False).alias("asks"), F.pmod(h, nd).cast("int").alias("db"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb"))
+
+        def search_visits(t: pa.Table) -> pa.Table:
+            q, d = t.filter(t["asks"]), t.filter(pc.invert(t["asks"]))
+            n, with_vec = len(q), q["vec"].is_valid().to_numpy()
+            carry = pa.table({"id": q["id"], "cosines": q["cosines"], "others": q["others"]}).filter(q["others"].is_valid())
+            if not len(d) or not with_vec.any():
+                return carry
+            q = q.filter(q["vec"].is_valid())
+            mq, md, qid, did = _matrix(q["vec"], width), _matrix(d["vec"], width), q["id"].to_numpy(), d["id"].to_numpy()
+            qi, di, _ = search_block(mq, md, qid, did, k, turn, q["beat"].to_numpy())
+            rows = np.unique(qi)
+            at_row = np.searchsorted(rows, qi)
+            new = pa.table({"id": qid[rows], "cosines": _lists(at_row, _exact(mq[qi], md[di]), len(rows), pa.float64()), "others": _lists(at_row, did[di], len(rows), pa.int64())})
+            return pa.concat_tables([carry, new.cast(carry.schema)]) if n else new
+
+        both = goes.unionByName(stays, allowMissingColumns=True)
+        found = both.groupBy("list", "db", "qb").applyInArrow(search_visits, _FOUND)
+    # at most one row of k neighbours a visit and block meets for one id
+    zipped = F.flatten(F.collect_list(F.arrays_zip(F.col("cosines").alias("cosine"), F.col("others").alias("id"))))
+    best = F.slice(F.sort_array(zipped, asc=False), 1, k)
+    return found.select("id", "cosines", "others").groupBy("id").agg(best.alias("near"))
 
 
 def distinct_vectors(keyed: DataFrame) -> DataFrame:
