@@ -131,8 +131,8 @@ def budgets(counts: DataFrame, targets: DataFrame, total_tokens: int | None = No
     t = goal.where("source is not null").join(have, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     usable = (F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     w = Window.partitionBy(F.lit(0))  # one row a target
-    t = t.withColumn("share", F.when(usable, F.col("target_share") / F.sum(F.when(usable, F.col("target_share"))).over(w)).otherwise(0.0))
-    most = F.min(F.when(usable, F.col("tokens") * F.col("max_repeats") / F.col("share"))).over(w)
+    t = t.withColumn("share", F.when(usable, F.try_divide("target_share", F.sum(F.when(usable, F.col("target_share"))).over(w))).otherwise(0.0))
+    most = F.min(F.when(usable, F.try_divide(F.col("tokens") * F.col("max_repeats"), F.col("share")))).over(w)
     most = F.least(most, F.lit(float(total_tokens))) if total_tokens is not None else most
     return t.withColumn("budget", F.coalesce(F.round(most * F.col("share")).cast("long"), F.lit(0)))
 
@@ -182,7 +182,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         "source", "target_share", F.col("share").alias("feasible_share"), "max_repeats", "budget",
         F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )
-    return chosen, report.withColumn("actual_share", F.col("tokens_used") / F.sum("tokens_used").over(w))
+    return chosen, report.withColumn("actual_share", F.coalesce(F.try_divide("tokens_used", F.sum("tokens_used").over(w)), F.lit(0.0)))
 
 
 def mix_selection(documents: DataFrame, targets: DataFrame) -> DataFrame:
