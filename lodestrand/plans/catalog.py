@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import integrity
+from lodestrand.plans import graphs, integrity, searches, storing, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [integrity]
+MODULES = [integrity, timeline, graphs, searches, storing]
 
 
 def queries() -> dict[str, Query]:
