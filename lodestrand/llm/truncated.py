@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from lodestrand.tables import cut
 
 LEAST_PREFIX = 20  # characters a shared prefix must have to count as a copy
+_MOST_SEEN = 500_000  # digests a task remembers at once; forgetting only sends a copy again
+_MOST_MARK = 200  # no mark of omission is longer; white space before it is stripped apart
 
 _MARK = re.compile(
     r"(?:\s*(?:[\[(<{]\s*(?:…|\.{3,}|(?:text |output |content |message |rest |remainder )?(?:was |is )?(?:truncated|cut(?: off| short)?|snip(?:ped)?|omitted|abbreviated|shortened|continued|more|gekürzt|abgeschnitten|tronqué|coupé|truncado|recortado|cortado|截断|已截断|省略|下略|未完)[^\])>}\n]{0,60})\s*[\])>}]"
@@ -52,7 +54,8 @@ _GREETING = re.compile(r"(?i)^(?:thanks|thank you|cheers|regards|best(?: regards
 def without_mark(text: str) -> tuple[str, bool]:
     """The text without trailing space and mark of omission, and whether there was a mark."""
     bare = text.rstrip()
-    m = _MARK.search(bare)
+    at = max(0, len(bare) - _MOST_MARK)  # a mark ends the text and is shorter than this
+    m = _MARK.search(bare, at)
     return (bare[: m.start()].rstrip(), True) if m and m.start() > 0 else (bare, False)
 
 
@@ -131,9 +134,20 @@ def prefix_hits(documents: DataFrame, text_col: str = "text", partitions: int |
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def core_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        seen: set[bytes] = set()  # copies within a task go on once, so a hot text is a row a task
         for b in batches:
-            cores = [without_mark(t)[0] for t in b.text]
-            yield pd.DataFrame({"core": [c for c in cores if c]})
+            kept = []
+            for t in b.text:
+                c = without_mark(t)[0]
+                d = xxhash.xxh3_128_digest(c.encode("utf-8", "surrogatepass"))
+                if c and d not in seen:
+                    kept.append(c)
+                    seen.add(d)
+            if len(seen) > _MOST_SEEN:
+                seen.clear()
+            yield pd.DataFrame({"core": kept})
 
     cores = documents.select(F.col(text_col).alias("text")).where("text is not null").mapInPandas(core_of, "core string")
     ordered = cores.repartitionByRange(n, "core").sortWithinPartitions("core")
