@@ -35,6 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.tables import cut
+
 MIN_WORDS = 8
 SHINGLE = 4
 MOST_TOKENS = 2_000_000
@@ -172,7 +174,8 @@ def _run_length(a: list[str], i: int, b: list[str], j: int, q: int) -> int:
 def leaks(documents: DataFrame, items: DataFrame, q: int = SHINGLE, least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id) of every document and every item of which it holds at least ``least`` words in a row."""
     shingles = item_shingles(items, q, least)
-    tokens = prefix_tokens(shingles, shingle_counts(documents, shingles, q), q, least)
+    # as many rows as the items have shingles; written once, so the corpus is counted once
+    tokens = cut(prefix_tokens(shingles, shingle_counts(documents, shingles, q), q, least))
     pairs = _candidates(documents, tokens, q, least).join(tokens, "h")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
