@@ -50,12 +50,9 @@ def event_type(col: Column) -> Column:
 
 def turn_class(col: Column) -> Column:
     """Category with most keywords contained; ties go to the earlier one, none is other."""
-    counts = [(n, count_contained(col, ws)) for n, ws in TURN_RULES]
-    best = F.greatest(*[c for _, c in counts])
-    out = F.when(best == 0, "other")
-    for n, c in counts:
-        out = out.when(c == best, n)
-    return out
+    counts = [F.struct(count_contained(col, ws).alias("c"), F.lit(-i).alias("i"), F.lit(n).alias("n")) for i, (n, ws) in enumerate(TURN_RULES)]
+    best = F.transform(F.array(F.array_max(F.array(*counts))), lambda b: F.when(b["c"] == 0, "other").otherwise(b["n"]))
+    return F.element_at(best, 1)
 
 
 def estimate_tokens(col: Column) -> Column:

@@ -74,20 +74,14 @@ def legal_step(before: Column, after: Column) -> Column:
 def fold_chunk_states(changes: DataFrame) -> DataFrame:
     """(chunk_id, state, needs_extraction, n_rejected) after ordered changes (chunk_id, at, to); illegal steps are rejected.
 
-    A chunk's accepted states only go forward, so the fold is a running maximum: a change is
-    accepted when it is the step right after the furthest one reached; an array fold per chunk.
+    States only go forward, so the fold is two least times: the first ``embedded``, and the
+    first ``extracted`` not before it. Both are aggregates; no chunk's changes meet in a list.
     """
-    rank = F.lit(-1)
-    for i, n in enumerate(CHUNK_STATES):
-        rank = F.when(F.col("to") == n, i).otherwise(rank)
-    ordered = F.array_sort(F.collect_list(F.struct("at", rank.alias("r"))))
-    state = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("s"), F.lit(0).alias("bad")),
-        lambda acc, x: F.when(x["r"] == acc["s"] + 1, F.struct((acc["s"] + 1).alias("s"), acc["bad"].alias("bad"))).otherwise(F.struct(acc["s"].alias("s"), (acc["bad"] + 1).alias("bad"))),
-    )
-    done = changes.groupBy("chunk_id").agg(state.alias("x"))
-    return done.select("chunk_id", F.element_at(F.array(*[F.lit(s) for s in CHUNK_STATES]), F.col("x.s") + 1).alias("state"), (F.col("x.s") < 2).alias("needs_extraction"), F.col("x.bad").alias("n_rejected"))
+    first = changes.groupBy("chunk_id").agg(F.min(F.when(F.col("to") == "embedded", F.col("at"))).alias("t1"), F.count("*").alias("n"))
+    second = changes.where("to = 'extracted'").join(first.where("t1 is not null").select("chunk_id", "t1"), "chunk_id").where("at >= t1").select("chunk_id").distinct().withColumn("s2", F.lit(1))
+    done = first.join(second, "chunk_id", "left").withColumn("s", F.when(F.col("s2").isNotNull(), 2).when(F.col("t1").isNotNull(), 1).otherwise(0))
+    state = F.element_at(F.array(*[F.lit(x) for x in CHUNK_STATES]), F.col("s") + 1)
+    return done.select("chunk_id", state.alias("state"), (F.col("s") < 2).alias("needs_extraction"), (F.col("n") - F.col("s")).alias("n_rejected"))
 
 
 def schema_version(version: Column, id: Column, timestamp: Column, date: Column) -> Column:

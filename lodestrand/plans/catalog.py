@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import graphs, integrity, searches, storing, timeline
+from lodestrand.plans import graphs, integrity, linking, searches, storing, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [integrity, timeline, graphs, searches, storing]
+MODULES = [integrity, timeline, graphs, searches, storing, linking]
 
 
 def queries() -> dict[str, Query]:

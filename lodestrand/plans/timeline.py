@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
 from lodestrand.operators import events as E
+from lodestrand.operators import slots
 from lodestrand.tables import table
 
 # every reading of the index goes through the latest-wins view
@@ -321,11 +322,8 @@ def _shares(ev):
 
 
 def _context_changes(ev):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("date").orderBy("timestamp", "id")
-    x = ev.select("id", "date", "timestamp", "job_id").withColumn("p", F.lag("job_id").over(w))
-    return x.where("p is null or p <> job_id").select("id", F.col("date").cast("string").alias("day"), "job_id")
+    x = ev.select("id", "date", "job_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"))
+    return slots.changed_rows(x, ["date"], "us", "id", "job_id").select("id", F.col("date").cast("string").alias("day"), "job_id")
 
 
 def _char_chunks(s, d, size: int = 3200, step: int = 2720):
