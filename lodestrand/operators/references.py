@@ -19,8 +19,6 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -156,27 +154,25 @@ def _and_not(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ref_table", "ref_field", "day", "key", "known", "deleted", "first_seen"])
 
 
-def suspicious(refs: DataFrame, known: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Reference AND-NOT parent, per key range, field and day: keys that may be bad, with their parent's facts."""
+def suspicious(refs: DataFrame, known: DataFrame, ranges: int) -> DataFrame:
+    """Reference AND-NOT parent, per key range, field and day: keys that may be bad, with their parent's facts.
+
+    ``ranges``: so many that a range gets about ``RANGE_KEYS`` keys; the rows bound the keys.
+    """
     asked = refs.groupBy("ref_table", "ref_field", "day", "key").count().drop("count")
     both = asked.select(
         "key", "ref_table", "ref_field", "day",
         F.lit(None).cast("boolean").alias("is_code"), F.lit(None).cast("boolean").alias("deleted"), F.lit(None).cast("double").alias("first_seen"),
     ).unionByName(known, allowMissingColumns=True)
-    if ranges is None:
-        # rows of the parents bound the distinct keys that are no orphans; ranges only balance the work
-        ranges = max(1, known.count() // RANGE_KEYS + 1) * 2
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _and_not(pdf)
-
-    return both.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges))).groupBy("range").applyInPandas(run, _SURVIVOR)
+    return both.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges))).groupBy("range").applyInPandas(_and_not, _SURVIVOR)
 
 
 def bad_references(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per bad reference: (ref_table, ref_field, record_key, state, day); day is null without a time."""
     refs = references(tables)
-    left = suspicious(refs, parents(tables["event_index"], tables["code_entities"]))
+    # row counts come from the files' footers
+    rows = sum(tables[t].count() * len(fields) for t, (fields, _, _) in REFERENCES.items()) + tables["event_index"].count() + tables["code_entities"].count()
+    left = suspicious(refs, parents(tables["event_index"], tables["code_entities"]), rows // RANGE_KEYS + 1)
     joined = refs.join(left, ["ref_table", "ref_field", "day", "key"])
     state = (
         F.when(~F.col("known"), "missing")
@@ -198,8 +194,3 @@ def references_found(tables: dict[str, DataFrame]) -> DataFrame:
 def bad_reference_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(ref_table, ref_field, day, state, n): bad references per table, field and day."""
     return bad_references(tables).groupBy("ref_table", "ref_field", "day", "state").agg(F.count("*").alias("n"))
-
-
-def iter_bitmap_sizes(codes: Iterator[np.ndarray]) -> list[int]:
-    """Bytes each set of codes takes as a compressed bitmap."""
-    return [Bitmap(c).nbytes for c in codes]
