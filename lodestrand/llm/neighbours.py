@@ -44,7 +44,7 @@ SAMPLE = 20_000  # most rows the centroids are fitted on
 LEAST_LISTS, MOST_LISTS = 64, 4096
 LIST_SIZE = 65_536  # vectors a list should hold at most on average
 PROBES = 5
-BLOCK = 16_384
+BLOCK = 65_536
 EPSILON = 1.6
 SEED = 7
 
