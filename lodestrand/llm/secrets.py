@@ -31,7 +31,7 @@ CHUNK_CHARS = 4096
 OVERLAP_CHARS = 8192  # longest credential (a private key block) with its context
 
 # --- rules ----------------------------------------------------------------------------------
-_WORDS = r"(?:key|token|secret|password|passwd|pwd|pass|auth|pass_?phrase|credentials?)"
+_WORDS = r"(?:key|token|secret|password|passwd|pwd|pass|auth|pass[_\-]?phrase|credentials?)"
 _NAME = rf"(?P<name>(?<![\w\-])[\w\-]{{0,60}}{_WORDS})(?![\w\-])"
 _VALUE = (
     r"(?:\"(?P<dq>(?:[^\"\\\r\n]|\\.){1,4000}?)\\?\"|'(?P<sq>(?:[^'\\\r\n]|\\.){1,4000}?)'"
@@ -87,7 +87,7 @@ SEVERITY = {
 
 _PLACE = re.compile(
     r"(?i)^(?:<[^>]*>?|\[[^\]]*\]|\$\{?.*|%[({]?\w+[)}]?%?|\{\{.*|\{\w*\}|env:.*|vault[:.].*|secret[:/].*|file:.*|ref\+.*|!\w+.*|@\w+.*"
-    r"|(?:your|my|insert|enter|add|put|some|any)[_\- ].*|.*_goes_here|replace_?me.*|change_?me.*|changeit|todo.*|tbd|example.*|dummy.*|sample.*|placeholder.*|redacted.*|\[redacted.*"
+    r"|(?:your|my|insert|enter|add|put|some|any)[_\- ].*|.*_goes_here|replace_?me.*|change_?me.*|changeit|tbd|(?:todo|example|dummy|sample|placeholder)[^0-9]*|redacted.*|\[redacted.*"
     r"|null|none|nil|true|false|undefined|string|not[_ ]?set|unset|empty|(.)\1{3,}|[*x.\-#•…]{3,}|(?:akia|asia)?x{8,}|test|password|secret|token)$"
 )
 _REFS = re.compile(r"(?i)(?:os\.environ|getenv|process\.env|\bvault\.|secretsmanager|keyring\.|config\[|settings\.|\$\{|\$\(|\{\{|\}\})")

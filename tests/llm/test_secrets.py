@@ -24,7 +24,7 @@ FOUND = [
     ("postgres://app:{}@db.example:5432/x", "password_assignment", "pQ7%zz_1!"), ("Authorization: Basic {}", "password_assignment", "YWJjOmRlZmdoaTEy"), ("-H 'Authorization: Bearer {}' x", "generic_api_key", tok(30) + "1"),
     ("curl -u me:{} https://h/", "password_assignment", "s3cr.et!"), ("sshpass -p {} ssh a@b", "password_assignment", "s3cr.et!"), ("mysql -u a -p{} db", "password_assignment", "s3cr.et!"),
     ("login('bob', '{}')", "password_assignment", "Hj3*kk2a"), ("<password>{}</password>", "password_assignment", "Hj3*kk2a"), ("ALTER ROLE a PASSWORD '{}'", "password_assignment", "Hj3*kk2a"),
-    ("admin_pw : {}", "password_assignment", "Hj3*kk2a"), ("const adminPw = '{}';", "password_assignment", "Hj3*kk2a"), ("my api_key is {} until friday", "generic_api_key", tok(32) + "1"),
+    ('pass-phrase: "{}"', "password_assignment", "CU0fWeqzwqw6!3n"), ("redis://a:{}@b/c", "password_assignment", "Sampler-lantern602"), ("admin_pw : {}", "password_assignment", "Hj3*kk2a"), ("const adminPw = '{}';", "password_assignment", "Hj3*kk2a"), ("my api_key is {} until friday", "generic_api_key", tok(32) + "1"),
     ("use the value {} for license_key", "generic_api_key", tok(32) + "1"), ("I pasted {} into the auth_token field", "generic_api_key", tok(32) + "1"), ("set client_secret to {} and rerun", "generic_api_key", tok(32) + "1"),
 ]
 
@@ -47,7 +47,7 @@ CLEAN = [
     "trace_id: 151f7795-24a9-f483-c0ab-6018544fb4ed", "-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----", "-----BEGIN CERTIFICATE-----\nabc\n-----END CERTIFICATE-----", "token = parse(counter)",
     "https://a:${PASS}@h/x", "Authorization: Bearer $TOKEN", "login('bob', ask())", "auth=('bob', vault.read('x'))", "<password/>", "the password is kept in the vault, entry x", "def f(token: str, key=None):",
     "const accessToken: string = load('access_token');", "the api_key rules ask for twelve characters", "client_secret = '****************'", "curl -u me https://h/", "ALTER ROLE a PASSWORD NULL",
-    "key = '{{ vault.key }}'", "api_key = 'xxxxxxxxxxxxxxxxxxxx'", "", "\n\r\n",
+    "key = '{{ vault.key }}'", "api_key = 'xxxxxxxxxxxxxxxxxxxx'", "password: 'example-password'", "", "\n\r\n",
 ]
 
 
