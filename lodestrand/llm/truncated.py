@@ -90,6 +90,8 @@ def tail_state(text: str | None) -> str:
             return "complete"
     lines = bare.split("\n")
     last = lines[-1].strip("\r")
+    if last.strip()[-1:] in ("}", "]") and (block := re.search(r"(?s).*^([\[{].*)", bare, re.M)) and not _json_open(block[1]):
+        return "complete"  # a record at the end of a text
     if re.match(r"^\s*(?:```|~~~)", last):
         return "complete"
     if last.lstrip().startswith("|"):

@@ -15,7 +15,7 @@ DOC = "doc_id long, text string, source string, n_chars long, h string"
         ("The job ended becau", "open"), ("The job ended and then, ", "open"), ("分支锁定了迟", "open"), ("The job ended [truncated]", "open"), ("The job end…", "open"), ("The job end...", "open"), ("cut here [...]", "open"),
         ("Text.\n\n```python\nx = 1", "open"), ("Text.\n\n```python\nx = 1\n```", "complete"), ('{"a": [1, 2', "open"), ('{"a": "b', "open"), ('{"a": [1, 2]}', "complete"), ('[{"a": 1}, {"b"', "open"),
         ("| a | b |\n|---|---|\n| 1 | 2 |", "complete"), ("| a | b |\n|---|---|\n| 1 | 2", "open"), ("Text.\n\n- one thing\n- another", "loose"), ("Text.\n\n-- cache desk, shift 3", "loose"), ("fix(cache): drop old rows", "loose"),
-        ("Text.\n\n## Links\n\ndocs/a/b.md", "loose"), ("# Title", "loose"), ("Text.\n\nhttps://a.example/x", "loose"),
+        ("Text.\n\n## Links\n\ndocs/a/b.md", "loose"), ("# Title", "loose"), ('Text.\n{\n  "a": {\n    "b": 1\n  }\n}', "complete"), ('Text.\n{\n  "a": {\n    "b": 1\n  }', "open"), ("Text.\n\nhttps://a.example/x", "loose"),
     ],
 )
 def test_tail_state(text, state):
