@@ -40,7 +40,7 @@ from lodestrand.tables import cut
 MIN_WORDS = 8
 SHINGLE = 4
 MOST_TOKENS = 2_000_000
-_WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], dtype=np.uint64)
 
 
