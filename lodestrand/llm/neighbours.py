@@ -38,6 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.tables import cut
+
 WIDTH = 64
 K = 10
 SAMPLE = 20_000  # most rows the centroids are fitted on
@@ -252,6 +254,7 @@ def knn_join(vecs: DataFrame, width: int = WIDTH, k: int = K, lists: int | None
     A vector's own list is searched first; its k-th best cosine there is what vectors of the
     other lists must beat, so those estimates discard nearly all and little is sent on.
     """
+    vecs = cut(vecs)  # fitting, counting and both searches read it
     index = fit_index(vecs, width, lists, probes)
     placed = place(vecs, index)
     n_lists, turn = len(index.centroids), rotation(width)
