@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text as T
 
 
-def latest(index: DataFrame) -> DataFrame:
+ORDER = ["updated_at", "mtime", "status", "markdown_path"]
+
+
+def latest(index: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Latest-wins upsert on id: greatest updated_at (null least), then mtime, then status.
 
+    ``columns``: those wanted besides; an aggregate of whole rows can't be pruned by the optimizer.
+
     An aggregate rather than a window: it combines map-side, so an id repeated without
     bound never gathers in one task.
     """
+    if columns is not None:
+        index = index.select("id", *dict.fromkeys([*ORDER, *columns]))
     rest = [c for c in index.columns if c != "id"]
     order = F.struct(F.coalesce("updated_at", F.lit(float("-inf"))), "mtime", "status", "markdown_path")
     best = index.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("r"))

@@ -128,7 +128,7 @@ QUERIES = {
             SELECT source, target, n AS n_shared, CASE WHEN tu + 1000000 < su THEN 'time' WHEN n = 0 THEN 'isolation' ELSE 'accepted' END AS verdict FROM p""",
     ),
     "jn6_time_links": (
-        lambda s, d: G.time_links(_ev(s, d)),
+        lambda s, d: G.time_links(_ev(s, d, "type", "summary", "timestamp")),
         _LATEST + """, e AS (SELECT * FROM (SELECT id, epoch_us(timestamp) AS us, lower(summary) AS said,
               CASE WHEN type IN ('git_commit','code_change') THEN 'c' WHEN type = 'decision' THEN 'd'
                    WHEN type = 'incident' OR (type IN ('diagnostic','unknown') AND regexp_matches(lower(summary), 'error|fail|exception|bug|crash')) THEN 'i' END AS k FROM ev) WHERE k IS NOT NULL),
@@ -145,7 +145,7 @@ QUERIES = {
             SELECT source, target, coalesce(fwd, rev) AS relation, fwd IS NULL AS is_reversed FROM r WHERE coalesce(fwd, rev) IS NOT NULL""",
     ),
     "ax1_commits_without_cause": (
-        lambda s, d: G.commits_without_cause(_ev(s, d).select("id", "type"), _edges(s, d)),
+        lambda s, d: G.commits_without_cause(_ev(s, d, "type").select("id", "type"), _edges(s, d)),
         _LATEST + "SELECT id FROM ev WHERE type LIKE '%commit' AND id NOT IN (SELECT source FROM graph_edges WHERE relation IN ('realizes', 'fixes') AND source IS NOT NULL)",
     ),
     "ax3_untraced_functions": (

@@ -91,22 +91,27 @@ def _turn(col):
 
 
 def _stream(s, d, name, build, mode):
-    """A stream over the events table run to its end into a memory table."""
+    """A stream over the events table run to its end; results go to the shared folder, never to the driver.
+
+    A batch that is replayed overwrites its own folder. In complete mode the last batch is the result.
+    """
     import uuid
 
     from lodestrand.tables import ensure_checkpoint_dir
 
     schema = table(s, d, "events").schema
-    q = f"{name}_{uuid.uuid4().hex[:8]}"
-    shared = ensure_checkpoint_dir(s)
-    at = f"{shared.rstrip('/')}/streams/{q}"
+    at = f"{ensure_checkpoint_dir(s).rstrip('/')}/streams/{name}_{uuid.uuid4().hex[:8]}"
     path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
     folder = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
     reader = s.readStream.schema(schema)  # a file source watches folders
     df = build(reader.parquet(f"{d}/events.parquet") if folder else reader.option("pathGlobFilter", "events.parquet").parquet(d))
-    run = df.writeStream.outputMode(mode).format("memory").queryName(q).option("checkpointLocation", at).trigger(availableNow=True).start()
+
+    def put(batch, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/{'all' if mode == 'complete' else f'b{number}'}")
+
+    run = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return s.table(q)
+    return s.read.option("recursiveFileLookup", True).schema(df.schema).parquet(f"{at}/out")
 
 
 QUERIES = {
@@ -178,16 +183,16 @@ QUERIES = {
         r"SELECT h, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?m)^(#{1,6} [^\r\n]+)', 1)) AS h FROM documents) GROUP BY 1",
     ),
     "tx29_reclassified": (
-        lambda s, d: _ev(s, d).where("type = 'unknown'").select("id", T.event_type(F.concat_ws(" ", "summary", "json_cache")).alias("kind")),
+        lambda s, d: _ev(s, d, "type", "summary", "json_cache").where("type = 'unknown'").select("id", T.event_type(F.concat_ws(" ", "summary", "json_cache")).alias("kind")),
         _LATEST + f"SELECT id, {_type_sql(chr(34) + 'both' + chr(34))} AS kind FROM (SELECT id, concat_ws(' ', summary, json_cache) AS both FROM ev WHERE type = 'unknown')",
     ),
     "fl14_type_policies": (
-        lambda s, d: _ev(s, d).select("id", F.coalesce(G.class_of(F.col("type")), F.when(F.col("type").isin(LEGACY), "legacy")).alias("class"), F.col("type").isin(LEGACY).alias("is_legacy")),
+        lambda s, d: _ev(s, d, "type").select("id", F.coalesce(G.class_of(F.col("type")), F.when(F.col("type").isin(LEGACY), "legacy")).alias("class"), F.col("type").isin(LEGACY).alias("is_legacy")),
         _LATEST + """SELECT id, CASE type WHEN 'decision' THEN 'Decision' WHEN 'git_commit' THEN 'Commit' WHEN 'code_change' THEN 'Commit' WHEN 'incident' THEN 'Incident' WHEN 'experiment' THEN 'Experiment' WHEN 'requirement' THEN 'Requirement' WHEN 'convention' THEN 'Convention' ELSE 'legacy' END AS class,
             type IN ('diagnostic','research','discussion','task','resource','unknown','failed_attempt','abandoned_idea','ai_conversation','reasoning','convention') AS is_legacy FROM ev""",
     ),
     "fl21_prefix_outcomes": (
-        lambda s, d: _ev(s, d).groupBy(F.substring("id", 1, 7).alias("prefix")).agg(F.count("*").alias("n"), F.count_if(F.col("type") == "decision").alias("n_decisions")).select("prefix", F.when(F.col("n_decisions") == 0, "wrong_type").when(F.col("n") > 1, "ambiguous").otherwise("unique").alias("outcome")),
+        lambda s, d: _ev(s, d, "type").groupBy(F.substring("id", 1, 7).alias("prefix")).agg(F.count("*").alias("n"), F.count_if(F.col("type") == "decision").alias("n_decisions")).select("prefix", F.when(F.col("n_decisions") == 0, "wrong_type").when(F.col("n") > 1, "ambiguous").otherwise("unique").alias("outcome")),
         _LATEST + "SELECT substr(id, 1, 7) AS prefix, CASE WHEN count(*) FILTER (type = 'decision') = 0 THEN 'wrong_type' WHEN count(*) > 1 THEN 'ambiguous' ELSE 'unique' END AS outcome FROM ev GROUP BY 1",
     ),
     "wn4_adjacent_pairs": (
@@ -195,7 +200,7 @@ QUERIES = {
         _LATEST + f"SELECT previous, id FROM (SELECT id, {_US} AS us, lag(id) OVER (ORDER BY timestamp, id) AS previous FROM ev) WHERE previous IS NOT NULL ORDER BY us DESC, id LIMIT 20",
     ),
     "wn6_source_changes": (
-        lambda s, d: slots.changed_rows(_us(_ev(s, d)).select("id", "us", "date", "source"), ["date"], "us", "id", "source").select("id", F.col("date").cast("string").alias("day"), "source"),
+        lambda s, d: slots.changed_rows(_us(_ev(s, d, "timestamp", "date", "source")).select("id", "us", "date", "source"), ["date"], "us", "id", "source").select("id", F.col("date").cast("string").alias("day"), "source"),
         _LATEST + "SELECT id, CAST(date AS VARCHAR) AS day, source FROM (SELECT id, date, source, lag(source) OVER w AS p, row_number() OVER w AS r FROM ev WINDOW w AS (PARTITION BY date ORDER BY timestamp, id)) WHERE r = 1 OR p IS DISTINCT FROM source",
     ),
     "stm4_state_changes": (
@@ -274,7 +279,7 @@ def _model(s, d):
 
 
 def _adjacent(s, d):
-    p = slots.with_previous(_us(_ev(s, d)).select("id", "us"), [], "us", "id", "id", 24 * slots.HOUR)
+    p = slots.with_previous(_us(_ev(s, d, "timestamp")).select("id", "us"), [], "us", "id", "id", 24 * slots.HOUR)
     return p.where("has_previous").orderBy(F.desc("us"), "id").limit(20).select("previous", "id")
 
 
@@ -288,7 +293,7 @@ def _audit(s, d):
 
 
 def _messages(s, d):
-    n = _ev(s, d).groupBy("date", "type").agg(F.count("*").alias("n"))  # few types a day
+    n = _ev(s, d, "date", "type").groupBy("date", "type").agg(F.count("*").alias("n"))  # few types a day
     parts = F.array_sort(F.collect_list(F.concat("type", F.lit("="), F.col("n").cast("string"))))
     return n.groupBy(F.col("date").cast("string").alias("day")).agg(F.concat(F.sum("n").cast("string"), F.lit(" events: "), F.array_join(parts, ", ")).alias("message"))
 

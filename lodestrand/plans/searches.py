@@ -95,7 +95,7 @@ QUERIES = {
               SELECT doc_id, text, list_position(list_transform({_LINES}, lambda x: regexp_matches(lower(x), 'tokenizer')), true) AS i FROM documents) WHERE i > 0""",
     ),
     "sr12_trace": (
-        lambda s, d: _ev(s, d).where(F.col("summary").ilike("%cache%") | F.col("tags").ilike("%cache%") | F.col("json_cache").ilike("%cache%")).select("id", F.when(F.col("tags").ilike("%cache%"), "tag").otherwise("text").alias("matched")),
+        lambda s, d: _ev(s, d, "summary", "tags", "json_cache").where(F.col("summary").ilike("%cache%") | F.col("tags").ilike("%cache%") | F.col("json_cache").ilike("%cache%")).select("id", F.when(F.col("tags").ilike("%cache%"), "tag").otherwise("text").alias("matched")),
         _LATEST + "SELECT id, CASE WHEN tags ILIKE '%cache%' THEN 'tag' ELSE 'text' END AS matched FROM ev WHERE summary ILIKE '%cache%' OR tags ILIKE '%cache%' OR json_cache ILIKE '%cache%'",
     ),
     "sr14_symbols": (
@@ -148,7 +148,7 @@ QUERIES = {
             SELECT session_id, text, {_turn_sql('text')} AS category FROM session_records WHERE text IS NOT NULL AND session_id IS NOT NULL) WHERE category <> 'other' GROUP BY 1, 2""",
     ),
     "tx13_keywords": (
-        lambda s, d: _ev(s, d).select("id", F.explode(T.keywords(F.col("summary"))).alias("word")),
+        lambda s, d: _ev(s, d, "summary").select("id", F.explode(T.keywords(F.col("summary"))).alias("word")),
         _LATEST + "SELECT DISTINCT id, word FROM (SELECT id, regexp_replace(w, '^[^\\w]+|[^\\w]+$', '', 'g') AS word FROM (SELECT id, unnest(regexp_split_to_array(lower(trim(summary)), '\\s+')) AS w FROM ev) WHERE length(w) >= 3 AND w NOT IN ("
         + ",".join(f"'{w}'" for w in T.STOP_WORDS)
         + ")) WHERE word <> ''",
@@ -162,7 +162,7 @@ QUERIES = {
         "SELECT doc_id, CAST(trunc(len(regexp_extract_all(text, '[一-鿿]')) / 1.5 + (length(text) - len(regexp_extract_all(text, '[一-鿿]'))) / 4.0) AS INTEGER) AS tokens FROM documents",
     ),
     "tx20_path_dates": (
-        lambda s, d: _ev(s, d).select("id", F.concat_ws("-", *[F.regexp_extract("markdown_path", r"(\d{4})/(\d{2})/(\d{2})", i) for i in (1, 2, 3)]).alias("day")),
+        lambda s, d: _ev(s, d, "mtime").select("id", F.concat_ws("-", *[F.regexp_extract("markdown_path", r"(\d{4})/(\d{2})/(\d{2})", i) for i in (1, 2, 3)]).alias("day")),
         _LATEST + r"SELECT id, regexp_extract(markdown_path, '(\d{4})/(\d{2})/(\d{2})', 1) || '-' || regexp_extract(markdown_path, '(\d{4})/(\d{2})/(\d{2})', 2) || '-' || regexp_extract(markdown_path, '(\d{4})/(\d{2})/(\d{2})', 3) AS day FROM ev",
     ),
     "tx23_module_names": (

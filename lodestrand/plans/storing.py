@@ -46,11 +46,11 @@ QUERIES = {
         "SELECT DISTINCT event_id AS id FROM event_vectors WHERE event_id IS NOT NULL AND event_id NOT IN (SELECT id FROM event_index WHERE id IS NOT NULL)",
     ),
     "sk5_removed": (
-        lambda s, d: K.delete_where(_ev(s, d).select("id", "status"), _ev(s, d).where("status = 'deleted'").select("id"), ["id"]),
+        lambda s, d: K.delete_where(_ev(s, d, "status").select("id", "status"), _ev(s, d, "status").where("status = 'deleted'").select("id"), ["id"]),
         _LATEST + "SELECT id, status FROM ev WHERE status <> 'deleted'",
     ),
     "sk6_layer_deletes": (
-        lambda s, d: _ev(s, d).where("source_chunk_id is not null and source_layer is not null").groupBy("source_chunk_id", "source_layer").agg(F.count("*").alias("n")),
+        lambda s, d: _ev(s, d, "source_chunk_id", "source_layer").where("source_chunk_id is not null and source_layer is not null").groupBy("source_chunk_id", "source_layer").agg(F.count("*").alias("n")),
         _LATEST + "SELECT source_chunk_id, source_layer, count(*) AS n FROM ev WHERE source_chunk_id IS NOT NULL AND source_layer IS NOT NULL GROUP BY 1, 2",
     ),
     "sk7_merged_links": (
@@ -81,23 +81,23 @@ QUERIES = {
            SELECT CASE WHEN o IS NULL AND m IS NOT NULL THEN 'added' WHEN m IS NULL THEN 'removed' WHEN abs(m - o) < 0.001 THEN 'skipped' ELSE 'updated' END AS state, count(*) AS n FROM f FULL JOIN o USING (path) GROUP BY 1""",
     ),
     "sk22_hot_archive": (
-        lambda s, d: _ev(s, d).select("id", F.when(F.col("date") > F.lit("2026-01-25").cast("date"), "hot").otherwise("archive").alias("view")).groupBy("view").agg(F.count("*").alias("n"), F.min("id").alias("first_id")),
+        lambda s, d: _ev(s, d, "date").select("id", F.when(F.col("date") > F.lit("2026-01-25").cast("date"), "hot").otherwise("archive").alias("view")).groupBy("view").agg(F.count("*").alias("n"), F.min("id").alias("first_id")),
         _LATEST + "SELECT CASE WHEN date > DATE '2026-01-25' THEN 'hot' ELSE 'archive' END AS view, count(*) AS n, min(id) AS first_id FROM ev GROUP BY 1",
     ),
     "sk23_jsonld": (
-        lambda s, d: K.jsonld(_ev(s, d).select("id", "type"), table(s, d, "graph_edges").where("relation is not null")).select("id", F.get_json_object("doc", "$.@type").alias("type"), F.size(F.from_json(F.get_json_object("doc", "$.links"), "map<string,array<string>>")).alias("n_relations")).withColumn("n_relations", F.greatest("n_relations", F.lit(0))),
+        lambda s, d: K.jsonld(_ev(s, d, "type").select("id", "type"), table(s, d, "graph_edges").where("relation is not null")).select("id", F.get_json_object("doc", "$.@type").alias("type"), F.size(F.from_json(F.get_json_object("doc", "$.links"), "map<string,array<string>>")).alias("n_relations")).withColumn("n_relations", F.greatest("n_relations", F.lit(0))),
         _LATEST + "SELECT id, type, CAST(coalesce(n, 0) AS INTEGER) AS n_relations FROM ev LEFT JOIN (SELECT source AS s, count(DISTINCT relation) AS n FROM graph_edges GROUP BY 1) ON s = id",
     ),
     "sk24_cache_backfill": (
-        lambda s, d: _ev(s, d).where("json_cache is not null").select("id").join(table(s, d, "chunks").select(F.col("source_event_id").alias("id")), "id", "left_anti"),
+        lambda s, d: _ev(s, d, "json_cache").where("json_cache is not null").select("id").join(table(s, d, "chunks").select(F.col("source_event_id").alias("id")), "id", "left_anti"),
         _LATEST + "SELECT id FROM ev WHERE json_cache IS NOT NULL AND id NOT IN (SELECT source_event_id FROM chunks WHERE source_event_id IS NOT NULL)",
     ),
     "sk26_nodes_and_edges": (
-        lambda s, d: table(s, d, "graph_edges").select("source", "target", "relation").distinct().join(_ev(s, d).select(F.col("id").alias("source"), "type"), "source").groupBy("type", "relation").agg(F.count("*").alias("n")),
+        lambda s, d: table(s, d, "graph_edges").select("source", "target", "relation").distinct().join(_ev(s, d, "type").select(F.col("id").alias("source"), "type"), "source").groupBy("type", "relation").agg(F.count("*").alias("n")),
         _LATEST + "SELECT type, relation, count(*) AS n FROM (SELECT DISTINCT source AS s, target, relation FROM graph_edges) JOIN ev ON id = s GROUP BY 1, 2",
     ),
     "sk27_versions": (
-        lambda s, d: _ev(s, d).select("id", K.schema_version(F.when(F.col("schema_version") > 1, F.col("schema_version")), F.col("source_chunk_id"), F.col("timestamp"), F.col("date")).alias("version")),
+        lambda s, d: _ev(s, d, "schema_version", "source_chunk_id", "timestamp", "date").select("id", K.schema_version(F.when(F.col("schema_version") > 1, F.col("schema_version")), F.col("source_chunk_id"), F.col("timestamp"), F.col("date")).alias("version")),
         _LATEST + "SELECT id, CASE WHEN schema_version > 1 THEN schema_version WHEN source_chunk_id IS NOT NULL AND timestamp IS NOT NULL THEN 2 WHEN date IS NOT NULL THEN 1 ELSE 0 END AS version FROM ev",
     ),
     "stm7_chunk_states": (

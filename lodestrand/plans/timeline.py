@@ -17,8 +17,9 @@ _LATEST = """WITH ev AS (
 _US = "epoch_us(timestamp)"
 
 
-def _ev(s, d):
-    return E.latest(table(s, d, "event_index"))
+def _ev(s, d, *columns):
+    """The latest-wins view; with columns, only those (and the ones that decide) are read."""
+    return E.latest(table(s, d, "event_index"), list(columns) if columns else None)
 
 
 def _us(df):
@@ -35,43 +36,43 @@ _META = "json_extract_string(json_cache, '$.metadata.{}')"
 
 QUERIES = {
     "sk3_latest_wins": (
-        lambda s, d: _cols(_ev(s, d), *CORE, "updated_at"),
+        lambda s, d: _cols(_ev(s, d, "type", "source", "job_id", "timestamp", "date"), *CORE, "updated_at"),
         _LATEST + f"SELECT {_CORE}, updated_at FROM ev",
     ),
     "fl1_filters": (
-        lambda s, d: _cols(E.query(_ev(s, d), status="active", source="claude_code", date_from="2026-01-07", date_to="2026-01-20"), *CORE),
+        lambda s, d: _cols(E.query(_ev(s, d, "type", "source", "job_id", "timestamp", "date"), status="active", source="claude_code", date_from="2026-01-07", date_to="2026-01-20"), *CORE),
         _LATEST + f"SELECT {_CORE} FROM ev WHERE status = 'active' AND source = 'claude_code' AND date BETWEEN '2026-01-07' AND '2026-01-20'",
     ),
     "fl2_newest_page": (
-        lambda s, d: _cols(E.newest(E.query(_ev(s, d), status="active"), 100, 10), *CORE),
+        lambda s, d: _cols(E.newest(E.query(_ev(s, d, "type", "source", "job_id", "timestamp", "date"), status="active"), 100, 10), *CORE),
         _LATEST + f"SELECT {_CORE} FROM ev WHERE status = 'active' ORDER BY timestamp DESC, id LIMIT 100 OFFSET 10",
     ),
     "fl3_count": (
-        lambda s, d: E.query(_ev(s, d), type="decision").agg(F.count("*").alias("n")),
+        lambda s, d: E.query(_ev(s, d, "type"), type="decision").agg(F.count("*").alias("n")),
         _LATEST + "SELECT count(*) AS n FROM ev WHERE type = 'decision'",
     ),
     "fl4_by_path": (
-        lambda s, d: _cols(_ev(s, d).where("markdown_path like 'docs/events/2026/01/05/%'"), "markdown_path", *CORE),
+        lambda s, d: _cols(_ev(s, d, "type", "source", "job_id", "timestamp", "date").where("markdown_path like 'docs/events/2026/01/05/%'"), "markdown_path", *CORE),
         _LATEST + f"SELECT markdown_path, {_CORE} FROM ev WHERE markdown_path LIKE 'docs/events/2026/01/05/%'",
     ),
     "fl6_types": (
-        lambda s, d: _cols(E.newest(_ev(s, d).where(F.col("type").isin("decision", "incident")), 50), *CORE),
+        lambda s, d: _cols(E.newest(_ev(s, d, "type", "source", "job_id", "timestamp", "date").where(F.col("type").isin("decision", "incident")), 50), *CORE),
         _LATEST + f"SELECT {_CORE} FROM ev WHERE type IN ('decision', 'incident') ORDER BY timestamp DESC, id LIMIT 50",
     ),
     "fl7_range": (
-        lambda s, d: _us(_ev(s, d)).where("us >= 1767787200000000 and us < 1768392000000000").select(*CORE),
+        lambda s, d: _us(_ev(s, d, "type", "source", "job_id", "timestamp", "date")).where("us >= 1767787200000000 and us < 1768392000000000").select(*CORE),
         _LATEST + f"SELECT {_CORE} FROM ev WHERE {_US} >= 1767787200000000 AND {_US} < 1768392000000000",
     ),
     "fl8_id_prefixes": (
-        lambda s, d: _ev(s, d).groupBy(F.substring("id", 1, 6).alias("prefix")).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).withColumn("ambiguous", F.col("n") > 1),
+        lambda s, d: _ev(s, d, "mtime").groupBy(F.substring("id", 1, 6).alias("prefix")).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).withColumn("ambiguous", F.col("n") > 1),
         _LATEST + "SELECT substr(id, 1, 6) AS prefix, count(*) AS n, min(id) AS first_id, count(*) > 1 AS ambiguous FROM ev GROUP BY 1",
     ),
     "fl9_like": (
-        lambda s, d: _cols(_ev(s, d).where("id like 'evt_a%'"), *CORE),
+        lambda s, d: _cols(_ev(s, d, "type", "source", "job_id", "timestamp", "date").where("id like 'evt_a%'"), *CORE),
         _LATEST + f"SELECT {_CORE} FROM ev WHERE id LIKE 'evt_a%'",
     ),
     "fl10_logs": (
-        lambda s, d: _cols(_ev(s, d).where((F.col("date") >= F.lit("2026-01-20").cast("date")) & F.col("job_id").contains("7")), *CORE),
+        lambda s, d: _cols(_ev(s, d, "type", "source", "job_id", "timestamp", "date").where((F.col("date") >= F.lit("2026-01-20").cast("date")) & F.col("job_id").contains("7")), *CORE),
         _LATEST + f"SELECT {_CORE} FROM ev WHERE date >= DATE '2026-01-20' AND contains(job_id, '7')",
     ),
     "fl12_pending_chunks": (
@@ -79,22 +80,22 @@ QUERIES = {
         "SELECT DISTINCT chunk_id, session_id, created_at FROM chunks WHERE needs_extraction AND NOT extraction_failed",
     ),
     "fl13_fresh_cache": (
-        lambda s, d: _ev(s, d).select("id", (F.col("json_cache").isNotNull() & F.coalesce(F.abs(F.col("cache_updated_at") - F.col("mtime")) < 0.001, F.lit(False))).alias("fresh")),
+        lambda s, d: _ev(s, d, "json_cache", "cache_updated_at").select("id", (F.col("json_cache").isNotNull() & F.coalesce(F.abs(F.col("cache_updated_at") - F.col("mtime")) < 0.001, F.lit(False))).alias("fresh")),
         _LATEST + "SELECT id, json_cache IS NOT NULL AND coalesce(abs(cache_updated_at - mtime) < 0.001, FALSE) AS fresh FROM ev",
     ),
     "fl15_context": (
-        lambda s, d: _ev(s, d).groupBy(E.context_key(E.metadata("session_id"), F.col("job_id")).alias("context")).agg(F.count("*").alias("n")),
+        lambda s, d: _ev(s, d, "json_cache", "job_id").groupBy(E.context_key(E.metadata("session_id"), F.col("job_id")).alias("context")).agg(F.count("*").alias("n")),
         _LATEST
         + f"""SELECT CASE WHEN nullif({_META.format('session_id')}, '') IS NOT NULL AND nullif(job_id, '') IS NOT NULL THEN 'session=' || {_META.format('session_id')} || ' | job=' || job_id
             WHEN nullif({_META.format('session_id')}, '') IS NOT NULL THEN 'session=' || {_META.format('session_id')}
             WHEN nullif(job_id, '') IS NOT NULL THEN 'job=' || job_id ELSE 'ungrouped' END AS context, count(*) AS n FROM ev GROUP BY 1""",
     ),
     "fl16_author": (
-        lambda s, d: _ev(s, d).select("id", F.when(F.col("source") == "manual", "User").otherwise(F.col("source")).alias("author"), F.when(F.col("type").isin("git_commit", "code_change"), "committed").otherwise("recorded").alias("state")),
+        lambda s, d: _ev(s, d, "source", "type").select("id", F.when(F.col("source") == "manual", "User").otherwise(F.col("source")).alias("author"), F.when(F.col("type").isin("git_commit", "code_change"), "committed").otherwise("recorded").alias("state")),
         _LATEST + "SELECT id, CASE WHEN source = 'manual' THEN 'User' ELSE source END AS author, CASE WHEN type IN ('git_commit', 'code_change') THEN 'committed' ELSE 'recorded' END AS state FROM ev",
     ),
     "fl17_projection": (
-        lambda s, d: _ev(s, d).select(
+        lambda s, d: _ev(s, d, "summary").select(
             F.concat(F.lit("mat_"), "id").alias("material_id"), F.concat(F.lit("clm_"), "id").alias("claim_id"),
             T.clipped(F.trim("summary"), 280).alias("statement"), F.lit("proposed").alias("claim_status"), F.lit("grounded_in").alias("relation"), F.lit("candidate").alias("relation_status"),
         ),
@@ -107,7 +108,7 @@ QUERIES = {
         _LATEST + f"SELECT {_CORE} FROM ev WHERE type = 'decision' AND date >= DATE '2026-01-06' AND (contains(lower(summary), 'the') OR contains(lower(json_cache), 'the')) ORDER BY timestamp DESC, id LIMIT 20",
     ),
     "fl22_hydrated": (
-        lambda s, d: _ev(s, d).select("id", F.coalesce(F.get_json_object("json_cache", "$.summary"), "summary").alias("summary"), F.when(F.col("json_cache").isNull(), "file").otherwise("cache").alias("origin")),
+        lambda s, d: _ev(s, d, "json_cache", "summary").select("id", F.coalesce(F.get_json_object("json_cache", "$.summary"), "summary").alias("summary"), F.when(F.col("json_cache").isNull(), "file").otherwise("cache").alias("origin")),
         _LATEST + "SELECT id, coalesce(json_extract_string(json_cache, '$.summary'), summary) AS summary, CASE WHEN json_cache IS NULL THEN 'file' ELSE 'cache' END AS origin FROM ev",
     ),
     "jn1_by_file": (
@@ -122,21 +123,21 @@ QUERIES = {
         UNION ALL SELECT id, 2 FROM ev WHERE (contains(json_cache, 'pipeline') OR contains(summary, 'pipeline')) AND id NOT IN (SELECT id FROM direct)""",
     ),
     "jn2_coalesced": (
-        lambda s, d: _cols(E.coalesced(_ev(s, d)), "id", "source_chunk_id", "source_layer"),
+        lambda s, d: _cols(E.coalesced(_ev(s, d, "source_chunk_id", "source_layer", "timestamp")), "id", "source_chunk_id", "source_layer"),
         _LATEST + """SELECT id, source_chunk_id, source_layer FROM ev e WHERE source_chunk_id IS NULL OR source_layer = 'l2'
             OR (source_layer = 'l1' AND NOT EXISTS (SELECT 1 FROM ev x WHERE x.source_chunk_id = e.source_chunk_id AND x.source_layer = 'l2'))""",
     ),
     "jn3_representative": (
-        lambda s, d: _cols(E.representative(_ev(s, d)), "id", "source_chunk_id", "source_layer"),
+        lambda s, d: _cols(E.representative(_ev(s, d, "source_chunk_id", "source_layer", "type", "timestamp")), "id", "source_chunk_id", "source_layer"),
         _LATEST + """SELECT id, source_chunk_id, source_layer FROM ev e WHERE source_chunk_id IS NOT NULL AND (source_layer = 'l2'
             OR (source_layer = 'l1' AND NOT EXISTS (SELECT 1 FROM ev x WHERE x.source_chunk_id = e.source_chunk_id AND x.type = e.type AND x.source_layer = 'l2')))""",
     ),
     "jn5_not_embedded": (
-        lambda s, d: _ev(s, d).select("id").join(table(s, d, "event_vectors").where("event_id is not null").select(F.col("event_id").alias("id")), "id", "left_anti"),
+        lambda s, d: _ev(s, d, "mtime").select("id").join(table(s, d, "event_vectors").where("event_id is not null").select(F.col("event_id").alias("id")), "id", "left_anti"),
         _LATEST + "SELECT id FROM ev WHERE id NOT IN (SELECT event_id FROM event_vectors WHERE event_id IS NOT NULL)",
     ),
     "jn12_decision_context": (
-        lambda s, d: _decision_context(_ev(s, d)),
+        lambda s, d: _decision_context(_ev(s, d, "type", "date", "timestamp")),
         _LATEST + """SELECT commit_id, decision_id, rank FROM (
             SELECT c.id AS commit_id, x.id AS decision_id, row_number() OVER (PARTITION BY c.id ORDER BY x.timestamp DESC, x.id) AS rank
             FROM ev c JOIN ev x ON x.type = 'decision' AND x.date BETWEEN c.date - 1 AND c.date WHERE c.type = 'git_commit') WHERE rank <= 5""",
@@ -148,23 +149,23 @@ QUERIES = {
             WHERE v.event_id IS NULL OR g.source IS NULL""",
     ),
     "ag1_daily": (
-        lambda s, d: _ev(s, d).groupBy(F.col("date").cast("string").alias("day")).agg(F.count("*").alias("n")),
+        lambda s, d: _ev(s, d, "date").groupBy(F.col("date").cast("string").alias("day")).agg(F.count("*").alias("n")),
         _LATEST + "SELECT CAST(date AS VARCHAR) AS day, count(*) AS n FROM ev GROUP BY 1",
     ),
     "ag2_by_type": (
-        lambda s, d: _ev(s, d).groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type"),
+        lambda s, d: _ev(s, d, "type").groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type"),
         _LATEST + "SELECT type, count(*) AS n FROM ev GROUP BY 1",
     ),
     "ag3_legacy_types": (
-        lambda s, d: _ev(s, d).where(F.col("type").isin(LEGACY)).groupBy("type").agg(F.count("*").alias("n")),
+        lambda s, d: _ev(s, d, "type").where(F.col("type").isin(LEGACY)).groupBy("type").agg(F.count("*").alias("n")),
         _LATEST + "SELECT type, count(*) AS n FROM ev WHERE type IN ('diagnostic','research','discussion','task','resource','unknown','failed_attempt','abandoned_idea','ai_conversation','reasoning','convention') GROUP BY 1",
     ),
     "ag4_log_stats": (
-        lambda s, d: _ev(s, d).agg(F.count("*").alias("n"), F.countDistinct("date").alias("days"), F.count_if(F.col("status") == "active").alias("active"), F.max(F.col("date")).cast("string").alias("last_day")),
+        lambda s, d: _ev(s, d, "date").agg(F.count("*").alias("n"), F.countDistinct("date").alias("days"), F.count_if(F.col("status") == "active").alias("active"), F.max(F.col("date")).cast("string").alias("last_day")),
         _LATEST + "SELECT count(*) AS n, count(DISTINCT date) AS days, count(*) FILTER (status = 'active') AS active, CAST(max(date) AS VARCHAR) AS last_day FROM ev",
     ),
     "ag5_trend": (
-        lambda s, d: _ev(s, d).where(F.col("date") > F.lit("2026-01-24").cast("date")).groupBy(F.col("date").cast("string").alias("day"), "source").agg(F.count("*").alias("n")),
+        lambda s, d: _ev(s, d, "date", "source").where(F.col("date") > F.lit("2026-01-24").cast("date")).groupBy(F.col("date").cast("string").alias("day"), "source").agg(F.count("*").alias("n")),
         _LATEST + "SELECT CAST(date AS VARCHAR) AS day, source, count(*) AS n FROM ev WHERE date > DATE '2026-01-24' GROUP BY ALL",
     ),
     "ag6_tokens": (
@@ -175,16 +176,16 @@ QUERIES = {
               CAST(coalesce(sum(tokens) FILTER (ts >= TIMESTAMP '2026-01-31'), 0) AS BIGINT) AS tokens_day FROM t GROUP BY 1""",
     ),
     "ag7_dashboard": (
-        lambda s, d: E.dashboard_days(_ev(s, d)).select(F.col("date").cast("string").alias("day"), "n"),
+        lambda s, d: E.dashboard_days(_ev(s, d, "date")).select(F.col("date").cast("string").alias("day"), "n"),
         _LATEST + """, span AS (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS dd FROM ev)
             SELECT CAST(dd AS VARCHAR) AS day, count(id) AS n FROM span LEFT JOIN ev ON date = dd GROUP BY 1""",
     ),
     "ag7_top_tags": (
-        lambda s, d: E.tag_counts(_ev(s, d)).orderBy(F.desc("n"), "tag").limit(10),
+        lambda s, d: E.tag_counts(_ev(s, d, "tags")).orderBy(F.desc("n"), "tag").limit(10),
         _LATEST + "SELECT tag, count(*) AS n FROM (SELECT trim(unnest(string_split(tags, ','))) AS tag FROM ev) WHERE tag <> '' GROUP BY 1 ORDER BY n DESC, tag LIMIT 10",
     ),
     "ag8_daily_stats": (
-        lambda s, d: E.daily_stats(_ev(s, d)).withColumn("date", F.col("date").cast("string")),
+        lambda s, d: E.daily_stats(_ev(s, d, "date", "type", "timestamp", "json_cache", "job_id")).withColumn("date", F.col("date").cast("string")),
         _LATEST
         + f""", e AS (SELECT CAST(date AS VARCHAR) AS date, type, CAST(hour(timestamp) AS VARCHAR) AS hour, nullif({_META.format('session_id')}, '') AS session, nullif(job_id, '') AS job FROM ev)
             SELECT date, 'total' AS kind, '' AS value, count(*) AS n FROM e GROUP BY date
@@ -215,22 +216,22 @@ QUERIES = {
         "SELECT count(*) AS n_rows, count(DISTINCT (event_id, chunk_seq)) AS n_vectors, count(DISTINCT event_id) AS n_events, count(*) FILTER (embedding IS NULL) AS n_null FROM event_vectors",
     ),
     "ag20_shares": (
-        lambda s, d: _shares(_ev(s, d)),
+        lambda s, d: _shares(_ev(s, d, "type")),
         _LATEST + "SELECT type, count(*) AS n, round(100.0 * count(*) / (SELECT greatest(count(*), 1) FROM ev), 6) AS percent FROM ev GROUP BY 1",
     ),
     "wn1_neighbours": (
-        lambda s, d: E.neighbours(_ev(s, d), 3),
+        lambda s, d: E.neighbours(_ev(s, d, "timestamp"), 3),
         _LATEST + f""", e AS (SELECT id, {_US} AS us FROM ev)
             SELECT id, 'before' AS side, CAST(r AS INTEGER) AS rank, near_id FROM (SELECT a.id, b.id AS near_id, row_number() OVER (PARTITION BY a.id ORDER BY b.us DESC, b.id) AS r FROM e a JOIN e b ON b.us < a.us) WHERE r <= 3
             UNION ALL SELECT id, 'after', CAST(r AS INTEGER), near_id FROM (SELECT a.id, b.id AS near_id, row_number() OVER (PARTITION BY a.id ORDER BY b.us, b.id) AS r FROM e a JOIN e b ON b.us > a.us) WHERE r <= 3""",
     ),
     "wn2_gaps": (
-        lambda s, d: E.day_gaps(_ev(s, d)).select(F.col("date").cast("string").alias("day"), "from_us", "to_us", F.round("hours", 6).alias("hours")),
+        lambda s, d: E.day_gaps(_ev(s, d, "date", "timestamp")).select(F.col("date").cast("string").alias("day"), "from_us", "to_us", F.round("hours", 6).alias("hours")),
         _LATEST + f"""SELECT CAST(date AS VARCHAR) AS day, before AS from_us, us AS to_us, round((us - before) / 3.6e9, 6) AS hours FROM (
             SELECT date, {_US} AS us, lag({_US}) OVER (PARTITION BY date ORDER BY timestamp) AS before FROM ev) WHERE us - before > 4 * 3600000000""",
     ),
     "wn6_context_changes": (
-        lambda s, d: _context_changes(_ev(s, d)),
+        lambda s, d: _context_changes(_ev(s, d, "date", "job_id", "timestamp")),
         _LATEST + """SELECT id, CAST(date AS VARCHAR) AS day, job_id FROM (SELECT id, date, job_id, lag(job_id) OVER (PARTITION BY date ORDER BY timestamp, id) AS p FROM ev) WHERE p IS NULL OR p <> job_id""",
     ),
     "wn7_token_chunks": (
@@ -248,11 +249,11 @@ QUERIES = {
         "SELECT arg_max(session_id, (t, session_id)) AS session_id FROM (SELECT session_id, min(ts) AS t FROM session_records WHERE ts IS NOT NULL AND session_id IS NOT NULL GROUP BY 1)",
     ),
     "tk8_top_modules": (
-        lambda s, d: _ev(s, d).select(F.element_at(F.split(E.metadata("module_path"), "/"), 1).alias("module")).where("module is not null").groupBy("module").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module").limit(10),
+        lambda s, d: _ev(s, d, "json_cache").select(F.element_at(F.split(E.metadata("module_path"), "/"), 1).alias("module")).where("module is not null").groupBy("module").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module").limit(10),
         _LATEST + f"SELECT string_split({_META.format('module_path')}, '/')[1] AS module, count(*) AS n FROM ev WHERE {_META.format('module_path')} IS NOT NULL GROUP BY 1 ORDER BY n DESC, module LIMIT 10",
     ),
     "st2_file_refs": (
-        lambda s, d: E.file_refs(_ev(s, d)),
+        lambda s, d: E.file_refs(_ev(s, d, "json_cache")),
         _LATEST + f"""SELECT DISTINCT event_id, file_path, regexp_extract(file_path, '([^/]*)$', 1) AS file_name FROM (
             SELECT id AS event_id, regexp_replace(replace({_META.format('module_path')}, '\\', '/'), '/+', '/', 'g') AS file_path FROM ev
             UNION ALL SELECT id, regexp_replace(replace(markdown_path, '\\', '/'), '/+', '/', 'g') FROM ev) WHERE file_path <> ''""",
@@ -299,7 +300,7 @@ def _decision_context(ev):
 
 
 def _repair(s, d):
-    ev = _ev(s, d).select("id")
+    ev = _ev(s, d, "mtime").select("id")
     vec = table(s, d, "event_vectors").select(F.col("event_id").alias("id")).distinct().withColumn("v", F.lit(True))
     g = table(s, d, "graph_edges")
     ends = g.select(F.col("source").alias("id")).union(g.select("target")).distinct().withColumn("g", F.lit(True))
