@@ -34,7 +34,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -303,17 +302,18 @@ def knn_join(vecs: DataFrame, width: int = WIDTH, k: int = K, lists: int | None
         some = found.select("id", "vec", "beat", "cosines", "others", at)
         carried = F.coalesce(F.col("nth"), F.lit(0)) == 0
         goes = some.select(
-            "id", "vec", "beat", F.coalesce("list", -1 - F.pmod(h, F.lit(n_lists)).cast("int")).alias("list"), F.lit(True).alias("asks"),
+            "id", "vec", "beat", F.coalesce("list", -1 - F.pmod(h, F.lit(n_lists)).cast("int")).alias("list"),
             F.when(carried, F.col("cosines")).alias("cosines"), F.when(carried, F.col("others")).alias("others"),
         )
         goes = goes.withColumn("nd", F.when(F.col("list") < 0, 1).otherwise(nd)).withColumn("nq", F.when(F.col("list") < 0, 1).otherwise(nq))
-        goes = goes.select("id", "vec", "beat", "list", "asks", "cosines", "others", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"), F.pmod(h, F.col("nq")).cast("int").alias("qb"))
+        goes = goes.select("id", "vec", "beat", "list", "cosines", "others", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"), F.pmod(h, F.col("nq")).cast("int").alias("qb"))
         goes = goes.withColumn("cosines", F.when(F.col("db") == 0, F.col("cosines"))).withColumn("others", F.when(F.col("db") == 0, F.col("others")))
-        stays = own.select("id", "vec", "list", F.lit(False).alias("asks"), F.pmod(h, nd).cast("int").alias("db"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb"))
+        # lists of one block each are the ones just searched: the same shuffle serves again
+        single = max([*sizes.data, *sizes.queries], default=0) <= BLOCK
+        stays = units if single else own.select("id", "vec", "list", F.pmod(h, nd).cast("int").alias("db"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb"))
 
-        def search_visits(t: pa.Table) -> pa.Table:
-            q, d = t.filter(t["asks"]), t.filter(pc.invert(t["asks"]))
-            n, with_vec = len(q), q["vec"].is_valid().to_numpy()
+        def search_visits(q: pa.Table, d: pa.Table) -> pa.Table:
+            with_vec = q["vec"].is_valid().to_numpy()
             carry = pa.table({"id": q["id"], "cosines": q["cosines"], "others": q["others"]}).filter(q["others"].is_valid())
             if not len(d) or not with_vec.any():
                 return carry
@@ -323,10 +323,10 @@ def knn_join(vecs: DataFrame, width: int = WIDTH, k: int = K, lists: int | None
             rows = np.unique(qi)
             at_row = np.searchsorted(rows, qi)
             new = pa.table({"id": qid[rows], "cosines": _lists(at_row, _exact(mq[qi], md[di]), len(rows), pa.float64()), "others": _lists(at_row, did[di], len(rows), pa.int64())})
-            return pa.concat_tables([carry, new.cast(carry.schema)]) if n else new
+            return pa.concat_tables([carry, new.cast(carry.schema)])
 
-        both = goes.unionByName(stays, allowMissingColumns=True)
-        found = both.groupBy("list", "db", "qb").applyInArrow(search_visits, _FOUND)
+        keys = ["list", "db", "qb"]
+        found = goes.groupBy(*keys).cogroup(stays.groupBy(*keys)).applyInArrow(search_visits, _FOUND)
     # at most one row of k neighbours a visit and block meets for one id
     zipped = F.flatten(F.collect_list(F.arrays_zip(F.col("cosines").alias("cosine"), F.col("others").alias("id"))))
     best = F.slice(F.sort_array(zipped, asc=False), 1, k)
