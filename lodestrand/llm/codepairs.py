@@ -161,7 +161,7 @@ def _python(lines: list[str]) -> list[dict]:
 
 
 # --- brace and end-keyword languages --------------------------------------------------------
-def _comment_above(lines: list[str], at: int, taken: set[int]) -> str | None:
+def _comment_above(lines: list[str], at: int) -> str | None:
     """The comment that ends straight above line ``at``; annotations may stand between."""
     k = at - 1
     while k >= 0 and re.match(r"^\s*(?:@\w|#\[|\[[A-Z]\w*)", lines[k]):
@@ -235,7 +235,7 @@ def _braces(lines: list[str], ext: str) -> list[dict]:
         if c and not inside_def:
             name = c[1]
             signature, _ = _signature_end(code, k, "{")
-            out.append({"name": name, "kind": "class", "signature": signature, "doc": _comment_above(lines, k, set()), "line_start": k + 1, "line_end": None})
+            out.append({"name": name, "kind": "class", "signature": signature, "doc": _comment_above(lines, k), "line_start": k + 1, "line_end": None})
             pending = ("class", name, len(out) - 1)
         elif not inside_def or re.match(r"^\s*(?:async\s+)?function\b|^\s*func\s+\w", line):
             for n, rx in enumerate(_BRACE_DEFS):
@@ -254,7 +254,7 @@ def _braces(lines: list[str], ext: str) -> list[dict]:
                 holder = recv or (owner[1] if owner and owner[0] == "class" else None)
                 out.append(
                     {"name": f"{holder}.{name}" if holder else name, "kind": "method" if holder else "function", "signature": signature,
-                     "doc": _comment_above(lines, k, set()), "line_start": k + 1, "line_end": k + 1 if not opened else None}
+                     "doc": _comment_above(lines, k), "line_start": k + 1, "line_end": k + 1 if not opened else None}
                 )
                 pending = ("def", name, len(out) - 1) if opened else None
                 break
@@ -290,11 +290,11 @@ def _ended(lines: list[str]) -> list[dict]:
             continue
         owner = next((s for s in reversed(stack) if s[0] == "class"), None)
         if c := re.match(r"^\s*(?:class|module)\s+([A-Z]\w*)", bare):
-            out.append({"name": c[1], "kind": "class", "signature": line.strip(), "doc": _comment_above(lines, k, set()), "line_start": k + 1, "line_end": None})
+            out.append({"name": c[1], "kind": "class", "signature": line.strip(), "doc": _comment_above(lines, k), "line_start": k + 1, "line_end": None})
             stack.append(("class", c[1], len(out) - 1))
         elif m := _WORD_DEFS.match(bare.replace("local function", "function")):
             name = f"{owner[1]}.{m[1]}" if owner else m[1]
-            out.append({"name": name, "kind": "method" if owner else "function", "signature": line.strip(), "doc": _comment_above(lines, k, set()), "line_start": k + 1, "line_end": None})
+            out.append({"name": name, "kind": "method" if owner else "function", "signature": line.strip(), "doc": _comment_above(lines, k), "line_start": k + 1, "line_end": None})
             if not re.search(r"\bend\s*$", bare):
                 stack.append(("def", m[1], len(out) - 1))
         elif _OPENERS.search(bare) and not re.search(r"\bend\s*$", bare):
