@@ -34,3 +34,25 @@ def changed_rows(df: DataFrame, keys: list[str], us: str, tie: str, value: str)
     """Rows whose value differs from the row before of their key, and each key's first."""
     p = with_previous(df, keys, us, tie, value)
     return p.where(~F.col("has_previous") | ~F.col(value).eqNullSafe(F.col("previous"))).drop("previous", "has_previous")
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str, slot: float) -> DataFrame:
+    """``left`` with ``value`` of the last ``right`` row of its key at or before ``left_at``; null where there is none.
+
+    Both sides are ordered together inside (key, slot) and each slot hands its last value on, so
+    no pairs are formed and no key is one task. ``right`` should hold one row a key and time.
+    Null keys or times on the left keep their row with a null value.
+    """
+    rest = F.struct(*left.columns)
+    a = left.select(*keys, F.col(left_at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"), rest.alias("_row"))
+    b = right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_kind"), F.col(value).alias("_v"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
+    both = a.unionByName(b).withColumn("_slot", F.floor(F.col("_at") / slot))
+    inside = Window.partitionBy(*keys, "_slot").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_in", F.last("_v", ignorenulls=True).over(inside))
+    ends = both.where("_kind = 0 and _v is not null").groupBy(*keys, "_slot").agg(F.max_by("_v", "_at").alias("_end"))
+    every = both.where("_kind = 1").select(*keys, "_slot").distinct().join(ends, [*keys, "_slot"], "full_outer")
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # one row a slot
+    carry = every.select(*keys, "_slot", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    k = [*keys, "_slot"]
+    out = both.where("_kind = 1").join(carry.select(*[F.col(c).alias(f"{c}_k") for c in k], "_carry"), [F.col(c) == F.col(f"{c}_k") for c in k], "left")
+    return out.select("_row.*", F.coalesce("_in", "_carry").alias(value))

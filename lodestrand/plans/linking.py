@@ -11,14 +11,13 @@ from lodestrand.operators import graph as G
 from lodestrand.operators import similarity as V
 from lodestrand.operators import slots
 from lodestrand.plans.graphs import _CLASSES, _ONTOLOGY, _classes
-from lodestrand.plans.searches import _type_sql
+from lodestrand.plans.searches import _sql, _type_sql
 from lodestrand.plans.timeline import _LATEST, LEGACY, _ev
 from lodestrand.streaming import state
 from lodestrand.tables import table
 
 _US = "epoch_us(timestamp)"
 _MARKERS = "rewr|replac|instead|supersed|overr|swap|rebuil|demot"
-_MODELS = [("claude", "claude"), ("gpt", "gpt"), ("gemini", "gemini"), ("llama", "llama"), ("qwen", "qwen")]
 
 
 def _us(df, col="timestamp"):
@@ -135,7 +134,7 @@ QUERIES = {
     ),
     "jn11_correlated_documents": (
         _correlated,
-        _LATEST + """, k AS (SELECT DISTINCT id, date, regexp_replace(w, '^[^\\w]+|[^\\w]+$', '', 'g') AS word FROM (SELECT id, date, unnest(regexp_split_to_array(lower(trim(summary)), '\\s+')) AS w FROM ev WHERE type = 'git_commit') WHERE length(w) >= 3 AND w NOT IN ("""
+        _LATEST + """, k AS (SELECT DISTINCT id, date, regexp_replace(w, '""" + _sql(T.KEYWORD_EDGES) + """', '', 'g') AS word FROM (SELECT id, date, unnest(regexp_split_to_array(lower(trim(summary)), '\\s+')) AS w FROM ev WHERE type = 'git_commit') WHERE length(w) >= 3 AND w NOT IN ("""
         + ",".join(f"'{w}'" for w in T.STOP_WORDS)
         + """)), t AS (SELECT DISTINCT doc_id, CAST(created_at AS DATE) AS day, unnest(regexp_extract_all(lower(text), '[\\w]+')) AS word FROM documents)
             SELECT id, doc_id, count(*) AS score FROM k JOIN t USING (word) WHERE word <> '' AND t.day BETWEEN k.date - 3 AND k.date + 3 GROUP BY 1, 2 HAVING score >= 2""",
@@ -168,7 +167,7 @@ QUERIES = {
     ),
     "tx19_models": (
         lambda s, d: _model(s, d),
-        "SELECT source, CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{n}'" for n, w in _MODELS) + " ELSE 'unknown' END AS model, count(*) AS n FROM documents GROUP BY 1, 2",
+        "SELECT source, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{rx}') THEN '{n}'" for n, rx in T.MODELS) + " END AS model, count(*) AS n FROM documents GROUP BY 1, 2",
     ),
     "tx21_python_definitions": (
         lambda s, d: C.facts(table(s, d, "raw_data").where("source = 'file'")).where(F.col("file_path").endswith(".py") & F.col("kind").isin("function", "method", "class")).select(F.concat_ws(":", "file_path", "name").alias("id"), "kind").distinct(),
@@ -272,10 +271,7 @@ def _table_rows(s, d):
 
 
 def _model(s, d):
-    out = F
-    for n, w in _MODELS:
-        out = out.when(F.lower("text").contains(w), n)
-    return table(s, d, "documents").groupBy("source", out.otherwise("unknown").alias("model")).agg(F.count("*").alias("n"))
+    return table(s, d, "documents").groupBy("source", T.model_of(F.col("text")).alias("model")).agg(F.count("*").alias("n"))
 
 
 def _adjacent(s, d):

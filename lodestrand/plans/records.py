@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text as T
 from lodestrand.operators import events as E
 from lodestrand.operators import graph as G
+from lodestrand.operators import slots
 from lodestrand.plans.timeline import _LATEST, _ev
 from lodestrand.tables import table
 
@@ -24,6 +25,14 @@ def _conversations(s, d):
 
 
 QUERIES = {
+    "sc13_status_as_of": (
+        lambda s, d: slots.asof_join(
+            table(s, d, "graph_edges").select("source", "target", "relation", "created_at").distinct(),
+            table(s, d, "event_index").where("id is not null and mtime is not null").groupBy(F.col("id").alias("source"), "mtime").agg(F.max("status").alias("status")),
+            ["source"], "created_at", "mtime", "status", 86_400.0),
+        """SELECT e.source, e.target, e.relation, e.created_at, x.status FROM (SELECT DISTINCT source, target, relation, created_at FROM graph_edges) e
+           ASOF LEFT JOIN (SELECT id, mtime, max(status) AS status FROM event_index GROUP BY 1, 2) x ON e.source = x.id AND e.created_at >= x.mtime""",
+    ),
     "fl5_links": (
         lambda s, d: table(s, d, "graph_edges").select("source", "target", "relation").distinct().join(_ev(s, d, "type").where("type = 'incident'").select(F.col("id").alias("source")), "source", "left_semi"),
         _LATEST + "SELECT DISTINCT source, target, relation FROM graph_edges WHERE source IN (SELECT id FROM ev WHERE type = 'incident')",

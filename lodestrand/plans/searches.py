@@ -47,6 +47,10 @@ _HYBRID = _LATEST + """,
 _LINES = "regexp_split_to_array(text, '\\r\\n|\\n|\\r')"
 
 
+def _sql(pattern: str) -> str:
+    return pattern.replace("\\'", "'").replace("'", "''")
+
+
 def _type_sql(col: str) -> str:
     arms = " ".join("WHEN " + " OR ".join(f"contains(lower({col}), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in T.TYPE_RULES)
     return f"CASE {arms} ELSE 'unknown' END"
@@ -60,7 +64,7 @@ def _turn_sql(col: str) -> str:
 
 def _plain_sql(col: str) -> str:
     for n, p in T.PLAIN_PATTERNS:
-        col = f"regexp_replace({col}, '{p}', '[REDACTED]_{n.upper()}', 'g')"
+        col = f"regexp_replace({col}, '{_sql(p)}', '[REDACTED]_{n.upper()}', 'g')"
     return col
 
 
@@ -114,9 +118,10 @@ QUERIES = {
         lambda s, d: _doc(s, d).select("doc_id", T.plain_redact(F.col("text")).alias("redacted")),
         f"SELECT doc_id, {_plain_sql('text')} AS redacted FROM documents",
     ),
+    "tx2_redaction": (lambda s, d: _raw(s, d).select("id", T.exact_redact(F.col("content")).alias("redacted")), None),
     "tx1_pattern_counts": (
-        lambda s, d: _raw(s, d).select("id", *[c.cast("long").alias(n) for n, c in T.pattern_counts(F.col("content")) if n not in ("credit_card", "ssn")]),
-        "SELECT id, " + ", ".join(f"len(regexp_extract_all(content, '{p}')) AS {n}" for n, p in T.PLAIN_PATTERNS if n not in ("credit_card", "ssn")) + " FROM (SELECT id, any_value(content) AS content FROM raw_data GROUP BY id)",
+        lambda s, d: _raw(s, d).select("id", *[c.cast("long").alias(n) for n, c in T.pattern_counts(F.col("content"))]),
+        "SELECT id, " + ", ".join(f"len(regexp_extract_all(content, '{_sql(p)}')) AS {n}" for n, p in T.PLAIN_PATTERNS) + " FROM (SELECT id, any_value(content) AS content FROM raw_data GROUP BY id)",
     ),
     "tx3_event_types": (
         lambda s, d: _doc(s, d).select("doc_id", T.event_type(F.col("text")).alias("kind")),
@@ -135,8 +140,8 @@ QUERIES = {
         "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS summary, 0.5::DOUBLE AS confidence FROM documents",
     ),
     "tx8_noise": (
-        lambda s, d: _raw(s, d).select("id", F.md5(F.trim(F.regexp_replace(F.regexp_replace("content", r"\r\n?", "\n"), r"\n{3,}", "\n\n"))).alias("digest")),
-        r"SELECT id, md5(trim(regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS digest FROM (SELECT id, any_value(content) AS content FROM raw_data GROUP BY id)",
+        lambda s, d: _raw(s, d).where("source <> 'file'").select("id", F.md5(T.without_noise(F.regexp_replace("content", r"\r\n?", "\n"))).alias("digest")),
+        r"SELECT id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '" + _sql(T.NOISE_RE) + r"', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '\A\s+|\s+\z', '', 'g')) AS digest FROM (SELECT id, any_value(content) AS content FROM raw_data WHERE source <> 'file' GROUP BY id)",
     ),
     "tx9_turn_classes": (
         lambda s, d: table(s, d, "session_records").where("text is not null and record_uuid is not null").select("record_uuid", T.turn_class(F.col("text")).alias("category")).distinct(),
@@ -149,7 +154,7 @@ QUERIES = {
     ),
     "tx13_keywords": (
         lambda s, d: _ev(s, d, "summary").select("id", F.explode(T.keywords(F.col("summary"))).alias("word")),
-        _LATEST + "SELECT DISTINCT id, word FROM (SELECT id, regexp_replace(w, '^[^\\w]+|[^\\w]+$', '', 'g') AS word FROM (SELECT id, unnest(regexp_split_to_array(lower(trim(summary)), '\\s+')) AS w FROM ev) WHERE length(w) >= 3 AND w NOT IN ("
+        _LATEST + "SELECT DISTINCT id, word FROM (SELECT id, regexp_replace(w, '" + _sql(T.KEYWORD_EDGES) + "', '', 'g') AS word FROM (SELECT id, unnest(regexp_split_to_array(lower(trim(summary)), '\\s+')) AS w FROM ev) WHERE length(w) >= 3 AND w NOT IN ("
         + ",".join(f"'{w}'" for w in T.STOP_WORDS)
         + ")) WHERE word <> ''",
     ),

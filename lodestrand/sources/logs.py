@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.operators.slots import asof_join
+
 SESSION_SCHEMA = "uuid string, sessionId string, type string, timestamp string, isSidechain boolean, slug string, gitBranch string, message struct<role:string,content:string>"
 
 
@@ -53,14 +55,9 @@ def parse_commits(lines: DataFrame, col: str = "value") -> DataFrame:
     )
 
 
-def snapshots(versions: DataFrame, dates: DataFrame) -> DataFrame:
-    """(path, date, hash): the version of each file as of each date; versions (path, ts, hash), dates (path, date).
-
-    An as-of join as one aggregate: both sides meet per path and day bucket sums are not needed,
-    as a file's versions and dates are joined on the path and reduced by max_by at once.
-    """
-    j = dates.join(versions, "path").where("ts <= date")
-    return j.groupBy("path", "date").agg(F.max_by("hash", "ts").alias("hash"))
+def snapshots(versions: DataFrame, dates: DataFrame, slot: float = 30) -> DataFrame:
+    """(path, date, hash): the version of each file as of each date; versions (path, ts, hash), dates (path, date)."""
+    return asof_join(dates, versions, ["path"], "date", "ts", "hash", slot).where("hash is not null").select("path", "date", "hash")
 
 
 def time_range(text: Column) -> tuple[Column, Column]:
