@@ -57,7 +57,7 @@ def landmarks(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     g = _GEAR[(codes ^ (codes >> np.uint32(10))) & np.uint32(1023)]
     h = np.zeros(n, dtype=np.uint32)
-    for back in range(32):  # h[i] = sum of g[i - back] << back; older characters are shifted out
+    for back in range(min(32, n)):  # h[i] = sum of g[i - back] << back; older characters are shifted out
         h[back:] += g[: n - back] << np.uint32(back)
     # the high bits hold the whole window
     return np.flatnonzero((h >> np.uint32(24)) & np.uint32(_MASK) == 0) + 1
