@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -100,3 +101,36 @@ def test_redaction_keeps_the_rest():
     text = 'a = "ghp_' + "aB3" * 12 + '"  # twice: ghp_' + "aB3" * 12 + "\r\npassword: 'Q1!w2e3r'\t\n"
     out = S.redact(text, [(lo, hi, k) for _, lo, hi, k in S.find_in_block([text])])
     assert re.sub(r"REDACTED_\w+", "*", out) == "a = \"*\"  # twice: *\r\npassword: '*'\t\n"
+
+
+LONG = [
+    ("API_TOKEN={}", tok(900) + "1"), ('api_token: "{}"', tok(5400) + "1"), ("api_token: '{}'", tok(70_000) + "1"), ("api_token = `{}`", tok(70_000) + "1"), ("export DEPLOY_TOKEN={} # x", tok(70_000) + "1"),
+    ("{}", PEM.replace("\n-----END", "\n" + "\n".join(tok(64) for _ in range(1500)) + "\n-----END")), ("{}", "-----BEGIN PGP PRIVATE KEY BLOCK-----\n" + tok(12_000) + "\n-----END PGP PRIVATE KEY BLOCK-----"),
+    ("my api_key is {} until friday", tok(900) + "1"), ("use the value {} for license_key", tok(40_000) + "1"), ("I pasted {} into the auth_token field", tok(900) + "1"), ("set client_secret to {} and rerun", tok(900) + "1"),
+    ("postgres://app:{}@db.example:5432/x", tok(900) + "1"), ("Authorization: Bearer {}", tok(20_000) + "1"), ("<password>{}</password>", tok(20_000) + "1"), ("curl -u me:{} https://h/", tok(900) + "1"),
+    ("sshpass -p '{}' ssh a@b", tok(900) + "1"), ("mysql -u a -p{} db", tok(900) + "1"), ("login('bob', '{}')", tok(900) + "1"), ("ALTER ROLE a PASSWORD '{}'", tok(900) + "1"), ("{}", "sk-" + tok(40_000)),
+]
+
+
+@pytest.mark.parametrize(("frame", "value"), LONG)
+def test_any_length(frame, value):
+    text = f"a = 1\n# {frame.replace('{}', value)}\nb = 2\r\n"
+    spans = S.find_in_block([text])
+    assert [text[lo:hi] for _, lo, hi, _ in spans] == [value]
+    assert S.redact(text, [x[1:] for x in spans]) == text.replace(value, f"REDACTED_{spans[0][3].upper()}")
+
+
+def test_key_blocks_do_not_run_into_each_other():
+    text = PEM[:100] + "\ncut off\n" + PEM + "\nmore\n" + PEM
+    assert [text[lo:hi] for _, lo, hi, _ in S.find_in_block([text])] == [PEM, PEM]
+
+
+@pytest.mark.parametrize("unit", ["key is ", "key=", "key='", "set key to ", "value for ", "pass_phrase: a ", "x://a:", "-----BEGIN PRIVATE KEY-----"])
+def test_long_line_does_not_stall(unit):
+    def took(n):
+        at = time.process_time()
+        S.find_in_block([unit * (n // len(unit))])
+        return time.process_time() - at
+
+    took(1000)
+    assert took(400_000) < 20 + 12 * took(50_000)  # eight times the text
