@@ -121,6 +121,65 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     return found.select(F.array_join("path", " -> ").alias("cycle"), F.size("path").alias("length")).distinct()
 
 
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """(source, target): the edges inside strongly connected components, without loops.
+
+    Nodes without in- or out-edge are trimmed first. Then each node takes the least id that reaches it, and the least that
+    it reaches; an edge between different labels is on no cycle. When nothing goes any more, the least node of each
+    component reaches all of it and is reached from all of it.
+    """
+
+    def trimmed(e):
+        for _ in range(3):
+            e = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+            e = e.join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        return e.select("source", "target")
+
+    def labels(e, a, b):
+        """(id, label): the least id from which ``id`` is reached along a -> b, itself included."""
+        at = cut(e.select(F.col(a).alias("id")).union(e.select(b)).distinct().withColumn("label", F.col("id")))
+        while True:
+            come = at.join(e.select(F.col(a).alias("id"), F.col(b).alias("to")), "id").select(F.col("to").alias("id"), "label")
+            nxt = cut(at.withColumn("was", F.col("label")).unionByName(come, allowMissingColumns=True).groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was")))
+            at = nxt.select("id", "label")
+            if nxt.where("label <> was").isEmpty():
+                return at
+
+    e = cut(edges.where("source <> target").select("source", "target").distinct())
+    n, labelled = e.count(), False
+    while n:
+        nxt = trimmed(e) if not labelled else e
+        if labelled:
+            for a, b in (("source", "target"), ("target", "source")):
+                by = labels(nxt, a, b)
+                ends = nxt.join(by.select(F.col("id").alias("source"), F.col("label").alias("x")), "source").join(by.select(F.col("id").alias("target"), F.col("label").alias("y")), "target")
+                nxt = cut(ends.where("x = y").select("source", "target"))
+        e = cut(nxt)
+        left = e.count()
+        if left == n and labelled:
+            break
+        labelled, n = left == n, left  # labels only where trimming takes no more
+    return e
+
+
+def all_cycles(edges: DataFrame) -> DataFrame:
+    """(cycle, length): the simple cycles of any length, each once, least node first.
+
+    Paths grow inside the components until none is left; their number is that of the graph's simple paths there.
+    """
+    e = cyclic_edges(edges)
+    found = edges.where("source = target").select(F.array("source").alias("path")).distinct()
+    paths, grown = e.where("source < target").select(F.array("source", "target").alias("path")), 0
+    while not paths.isEmpty():
+        nxt = cut(paths.select("path", F.element_at("path", -1).alias("source"), F.element_at("path", 1).alias("first")).join(e, "source"))
+        found = found.unionByName(nxt.where("target = first").select("path"))
+        paths = nxt.where((F.col("target") > F.col("first")) & ~F.array_contains("path", F.col("target"))).select(F.concat("path", F.array("target")).alias("path"))
+        grown += 1
+        if grown % 16 == 0:
+            found = cut(found)
+    return found.select(F.array_join("path", " -> ").alias("cycle"), F.size("path").alias("length")).distinct()
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, n_out, n_in, degree)."""
     ends = edges.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("target", F.lit(0), F.lit(1)))

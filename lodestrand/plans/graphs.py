@@ -110,6 +110,7 @@ QUERIES = {
            UNION SELECT x.a || ' -> ' || y.a || ' -> ' || z.a || ' -> ' || w.a, 4 FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = y.b JOIN e w ON w.a = z.b AND w.b = x.a
                WHERE x.a < y.a AND x.a < z.a AND x.a < w.a AND y.a <> z.a AND y.a <> w.a AND z.a <> w.a""",
     ),
+    "gr6_all_cycles": (lambda s, d: G.all_cycles(_edges(s, d).where("relation = 'overrides'")), None),
     "gr8_experts": (
         lambda s, d: _edges(s, d).where("relation = 'modifies'").select(F.col("target").alias("file"), F.col("source").alias("expert")).distinct(),
         "SELECT DISTINCT target AS file, source AS expert FROM graph_edges WHERE relation = 'modifies'",

@@ -75,6 +75,10 @@ QUERIES = {
            SELECT a AS cycle, a AS first_id FROM e WHERE a = b UNION SELECT x.a || ' -> ' || y.a, x.a FROM e x JOIN e y ON y.a = x.b AND y.b = x.a WHERE x.a < y.a
            UNION SELECT x.a || ' -> ' || y.a || ' -> ' || z.a, x.a FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = y.b AND z.b = x.a WHERE x.a < y.a AND x.a < z.a AND y.a <> z.a""",
     ),
+    "ax2_all_decision_cycles": (
+        lambda s, d: G.all_cycles(_decision_edges(s, d)).select(F.col("cycle"), F.element_at(F.split("cycle", " -> "), 1).alias("first_id")),
+        None,
+    ),
     "tx14_todo_lines": (
         lambda s, d: table(s, d, "raw_data").where(F.col("content").rlike("TODO|FIXME")).dropDuplicates(["id"]).select("id", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("p", "line")).where(F.col("line").rlike("TODO|FIXME")).select("id", (F.col("p") + 1).cast("long").alias("line_no"), F.trim("line").alias("line")),
         r"""WITH l AS (SELECT id, regexp_split_to_array(content, '\r\n|\n|\r') AS a FROM (SELECT id, any_value(content) AS content FROM raw_data GROUP BY id)),

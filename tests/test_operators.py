@@ -80,6 +80,17 @@ def test_reach_and_cycles(spark):
     assert graph.cycles(e.limit(0)).count() == 0 and graph.reach(e.limit(0), starts(spark, "a")).count() == 0
 
 
+def test_all_cycles(spark):
+    ring = [(f"n{i}", f"n{(i + 1) % 8}") for i in range(8)]
+    tail = [("x", "n0"), ("n3", "y"), ("y", "z"), ("q", "q"), ("n5", "n2")]
+    e = simple(spark, ring + tail)
+    assert rows(graph.all_cycles(e)) == sorted([(" -> ".join(f"n{i}" for i in range(8)), 8), ("n2 -> n3 -> n4 -> n5", 4), ("q", 1)], key=repr)
+    assert graph.all_cycles(simple(spark, tail)).collect() == [("q", 1)] and graph.all_cycles(e.limit(0)).count() == 0
+    two = simple(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c")])  # the edge between two components goes
+    assert rows(graph.cyclic_edges(two)) == [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")]
+
+
+
 def test_random_graph_against_search(spark):
     r = random.Random(9)
     pairs = [(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(120)]
