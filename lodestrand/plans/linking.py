@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
@@ -52,6 +53,32 @@ def _correlated(s, d):
     return c.join(w, ["day", "word"]).groupBy("id", "doc_id").agg(F.count("*").alias("score")).where("score >= 2")
 
 
+def _all_correlated(s, d):
+    """Every commit and document of at most three days apart of which the text contains a keyword of the commit, with the number contained.
+
+    Each document is searched for the distinct keywords of its day; what it holds meets the commits by day and word.
+    """
+    c = _ev(s, d).where("type = 'git_commit'").select("id", F.explode(T.keywords(F.col("summary"))).alias("word"), "date")
+    c = c.select("id", "word", F.explode(F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda k: F.date_add("date", k))).alias("day"))
+    words = c.groupBy("day").agg(F.array_join(F.array_sort(F.collect_set("word")), "\n").alias("words"))  # a keyword holds no blank
+
+    def run(batches):
+        kept = {}
+        for b in batches:
+            rows = []
+            for doc, day, text, said in zip(b.doc_id, b.day, b.text, b.words):
+                if said not in kept:
+                    kept = {said: said.split("\n")} if len(kept) > 64 else kept | {said: said.split("\n")}
+                if hit := [w for w in kept[said] if w in text]:
+                    rows.append((doc, day, hit))
+            yield pd.DataFrame(rows, columns=["doc_id", "day", "words"])
+
+    t = table(s, d, "documents").where("text is not null").select("doc_id", F.to_date("created_at").alias("day"), F.lower("text").alias("text")).distinct()
+    held = t.join(words, "day").select("doc_id", "day", "text", "words").mapInPandas(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, day date, words array<string>")
+    held = held.select("doc_id", "day", F.explode("words").alias("word")).distinct()
+    return c.join(held, ["day", "word"]).groupBy("id", "doc_id").agg(F.countDistinct("word").alias("score"))
+
+
 def _candidates(s, d):
     """For the events of the last three days: which of the 48 newest others share session, job or module; the first 12."""
     from pyspark.sql import Window
@@ -146,6 +173,7 @@ QUERIES = {
             n AS (SELECT a.id, b.id AS other, b.us, coalesce(a.j = b.j, FALSE) OR coalesce(a.se = b.se, FALSE) OR coalesce(a.m = b.m, FALSE) AS shares, row_number() OVER (PARTITION BY a.id ORDER BY b.us DESC, b.id) AS r FROM a JOIN x b ON a.id <> b.id)
             SELECT id, other, rank FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY us DESC, other) AS rank FROM n WHERE r <= 48 AND shares) WHERE rank <= 12""",
     ),
+    "jn11_all_correlated_documents": (_all_correlated, None),
     "re1_all_links": (
         lambda s, d: G.time_links(_ev(s, d)).withColumn("origin", F.lit("time")).unionByName(_explicit(s, d).withColumn("origin", F.lit("explicit"))).groupBy("origin", "relation").agg(F.count("*").alias("n")),
         None,
