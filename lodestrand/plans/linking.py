@@ -95,6 +95,23 @@ def _candidates(s, d):
     return j.withColumn("rank", F.row_number().over(w)).where("rank <= 12").select("id", "other", F.col("rank").cast("long").alias("rank"))
 
 
+def _all_candidates(s, d):
+    """For every event: which of the 48 newest others share session, job, module or a file; the first 12."""
+    from pyspark.sql import Window
+
+    ev = _us(_ev(s, d)).select("id", "us", "json_cache", "markdown_path", F.array(F.concat(F.lit("j:"), F.nullif("job_id", F.lit(""))), F.concat(F.lit("s:"), F.nullif(E.metadata("session_id"), F.lit(""))), F.concat(F.lit("m:"), F.nullif(E.metadata("module_path"), F.lit("")))).alias("k"))
+    files = lambda e: E.file_refs(e).select(F.col("event_id").alias("id"), F.concat(F.lit("f:"), "file_path").alias("key"))
+    keys = lambda e: e.select("id", F.explode("k").alias("key")).where("key is not null").unionByName(files(e))
+    newest = ev.orderBy(F.desc("us"), "id").limit(49)  # 49 rows
+    place = newest.select("id", F.row_number().over(Window.orderBy(F.desc("us"), "id")).alias("place"))
+    b = keys(newest).join(place, "id").select(F.col("id").alias("other"), "place", "key")
+    own = place.select("id", F.col("place").alias("own"))
+    j = keys(ev).join(F.broadcast(b), "key").where("id <> other").select("id", "other", "place").distinct().join(F.broadcast(own), "id", "left")
+    j = j.where(F.col("place") - F.when(F.col("own") < F.col("place"), 1).otherwise(0) <= 48)  # 48 others than itself
+    w = Window.partitionBy("id").orderBy("place")
+    return j.withColumn("rank", F.row_number().over(w)).where("rank <= 12").select("id", "other", F.col("rank").cast("long").alias("rank"))
+
+
 def _best_prompt(s, d):
     """The best of five prompt vectors for each vector, where the cosine exceeds 0.2; five columns, no join."""
     v = table(s, d, "embeddings")
@@ -174,6 +191,7 @@ QUERIES = {
             SELECT id, other, rank FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY us DESC, other) AS rank FROM n WHERE r <= 48 AND shares) WHERE rank <= 12""",
     ),
     "jn11_all_correlated_documents": (_all_correlated, None),
+    "jn13_all_candidates": (_all_candidates, None),
     "re1_all_links": (
         lambda s, d: G.time_links(_ev(s, d)).withColumn("origin", F.lit("time")).unionByName(_explicit(s, d).withColumn("origin", F.lit("explicit"))).groupBy("origin", "relation").agg(F.count("*").alias("n")),
         None,

@@ -1,10 +1,12 @@
 """Whole jobs beside queries whose SQL is a bounded form, against plain Python on the smallest tables."""
 
+from collections import defaultdict
 from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
+from lodestrand.operators import events as E
 from lodestrand.plans import catalog
 from lodestrand.plans.timeline import _ev
 from lodestrand.tables import table
@@ -25,3 +27,19 @@ def test_correlated_by_substring(spark, small):
     got = rows(Q["jn11_all_correlated_documents"](spark, small).select("id", "doc_id", "score"))
     assert got == sorted(want, key=repr) and any(s == 1 for *_, s in got)
     assert set(rows(Q["jn11_correlated_documents"](spark, small).select("id", "doc_id"))) <= {x[:2] for x in got}
+
+
+def test_candidates_of_every_event(spark, small):
+    ev = _ev(spark, small).select("id", "timestamp", "job_id", E.metadata("session_id").alias("s"), E.metadata("module_path").alias("m")).collect()
+    files = defaultdict(set)
+    for r in E.file_refs(_ev(spark, small)).collect():
+        files[r.event_id].add(r.file_path)
+    order = sorted(sorted(ev, key=lambda r: r.id), key=lambda r: r.timestamp, reverse=True)
+    want = []
+    for a in ev:
+        others = [b for b in order if b.id != a.id][:48]
+        share = [b for b in others if (a.job_id and a.job_id == b.job_id) or (a.s and a.s == b.s) or (a.m and a.m == b.m) or files[a.id] & files[b.id]]
+        want += [(a.id, b.id, i) for i, b in enumerate(share[:12], 1)]
+    got = rows(Q["jn13_all_candidates"](spark, small).select("id", "other", "rank"))
+    assert got == sorted(want, key=repr)
+    assert len({x[0] for x in got}) > len({x[0] for x in rows(Q["jn13_candidates"](spark, small).select("id"))})
