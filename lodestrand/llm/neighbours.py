@@ -357,23 +357,27 @@ def nearest(event_vectors: DataFrame, vectors_index: DataFrame, k: int = K, widt
     return knn_join(distinct_vectors(keyed).select("id", "vec"), width, k, **index), members(keyed)
 
 
-def similar_pairs(near: DataFrame, member: DataFrame, least: float = 0.9, k: int = K) -> DataFrame:
-    """(key_a, key_b, cosine): pairs of keys of at least ``least`` of which one is among the other's k nearest.
+def key_lists(near: DataFrame, member: DataFrame, least: float | None = None, k: int = K) -> DataFrame:
+    """(x, of): for every key its k nearest other keys as (d, key) with d the negated cosine, copies included; with ``least`` only those of that cosine.
 
     A group of m equal vectors gives its members' first k others: m * k rows at most.
     """
     groups = heads(member, k)
     copies = groups.where(F.size("keys") > 1).select("id", F.col("id").alias("other"), F.lit(1.0).alias("cosine"))
-    close = near.select("id", F.explode("near").alias("n")).where(F.col("n.cosine") >= least).select("id", F.col("n.id").alias("other"), F.col("n.cosine").alias("cosine"))
-    hits = close.unionByName(copies)
+    close = near.select("id", F.explode("near").alias("n"))
+    if least is not None:
+        close = close.where(F.col("n.cosine") >= least)
+    hits = close.select("id", F.col("n.id").alias("other"), F.col("n.cosine").alias("cosine")).unionByName(copies)
     hits = hits.join(groups.withColumnRenamed("id", "other"), "other").select("id", F.explode("keys").alias("other_key"), "cosine")
     # at most k + 1 groups of k + 1 keys for one id
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("d"), F.col("other_key").alias("key"))))
     lists = hits.groupBy("id").agg(F.slice(ranked, 1, k + 1).alias("of"))
-    pairs = member.join(lists, "id").select(
-        F.col("key").alias("x"), F.slice(F.filter("of", lambda o: o["key"] != F.col("key")), 1, k).alias("of")
-    )
-    pairs = pairs.select("x", F.explode("of").alias("o"))
+    return member.join(lists, "id").select(F.col("key").alias("x"), F.slice(F.filter("of", lambda o: o["key"] != F.col("key")), 1, k).alias("of"))
+
+
+def similar_pairs(near: DataFrame, member: DataFrame, least: float = 0.9, k: int = K) -> DataFrame:
+    """(key_a, key_b, cosine): pairs of keys of at least ``least`` of which one is among the other's k nearest."""
+    pairs = key_lists(near, member, least, k).select("x", F.explode("of").alias("o"))
     return (
         pairs.groupBy(F.least("x", "o.key").alias("key_a"), F.greatest("x", "o.key").alias("key_b"))
         .agg(F.max(-F.col("o.d")).alias("cosine"))
@@ -386,19 +390,10 @@ def neighbours_found(event_vectors: DataFrame, vectors_index: DataFrame) -> Data
     return similar_pairs(near, member).select("key_a", "key_b")
 
 
-def neighbour_lists(event_vectors: DataFrame, vectors_index: DataFrame) -> DataFrame:
-    """(key, rank, near_key, cosine): the 10 nearest of each distinct vector, groups of equal vectors by their least key."""
-    keyed = usable(keyed_vectors(event_vectors, vectors_index))
-    reps = distinct_vectors(keyed)
-    near = knn_join(reps.select("id", "vec"))
-    names = reps.select("id", "key")
-    flat = near.select("id", F.posexplode("near").alias("rank", "n")).select("id", (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("other"), F.col("n.cosine").alias("cosine"))
-    return (
-        flat.join(names, "id")
-        .withColumnRenamed("key", "k0")
-        .join(names.select(F.col("id").alias("other"), F.col("key").alias("near_key")), "other")
-        .select(F.col("k0").alias("key"), "rank", "near_key", "cosine")
-    )
+def neighbour_lists(event_vectors: DataFrame, vectors_index: DataFrame, **index) -> DataFrame:
+    """(key, rank, near_key, cosine): the 10 nearest of every key; copies of its vector are among them, equal cosines go by key."""
+    lists = key_lists(*nearest(event_vectors, vectors_index, **index)).select(F.col("x").alias("key"), F.posexplode("of").alias("rank", "o"))
+    return lists.select("key", (F.col("rank") + 1).alias("rank"), F.col("o.key").alias("near_key"), (-F.col("o.d")).alias("cosine"))
 
 
 def recall_at_k(vecs: DataFrame, near: DataFrame, k: int = K, width: int = WIDTH, every: int = 100) -> float:

@@ -86,6 +86,20 @@ def test_hot_copies(spark):
     assert all(len(per[f"c{i:04d}#0"]) == 10 for i in range(50, 300))
 
 
+def test_lists_of_every_key(spark):
+    m = clustered(40, 6)
+    vecs = [(f"e{i:02d}", 0, v) for i, v in enumerate(m)] + [(f"c{i:02d}", 0, m[0]) for i in range(15)]
+    got = {}
+    for r in N.neighbour_lists(*frames(spark, vecs), lists=1, probes=1).orderBy("key", "rank").collect():
+        got.setdefault(r.key, []).append((r.rank, r.near_key, r.cosine))
+    assert set(got) == {f"{e}#0" for e, _, _ in vecs}
+    assert all([x[0] for x in g] == list(range(1, 11)) and k not in {x[1] for x in g} for k, g in got.items())
+    assert [x[1] for x in got["c00#0"]] == [f"c{i:02d}#0" for i in range(1, 11)] and {x[2] for x in got["c14#0"]} == {1.0}
+    s, _ = brute(np.vstack([v for _, _, v in vecs]))
+    for n, (e, _, _) in enumerate(vecs):
+        assert np.allclose([x[2] for x in got[f"{e}#0"]], np.sort(s[n])[::-1][:10], atol=1e-5)
+
+
 def test_empty(spark):
     ev, vi = frames(spark, [])
     assert rows(N.neighbours_found(ev, vi)) == []
