@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
+from lodestrand.operators import code as C
 from lodestrand.operators import storage as K
 from lodestrand.plans.timeline import _LATEST, _ev
 from lodestrand.tables import table
@@ -40,7 +41,22 @@ def _enclosing(s, d):
     return j.groupBy("file_path", "line").agg(F.min(F.struct("line_start", "id"))["id"].alias("symbol"))
 
 
+def _all_calls(s, d):
+    """Each call of a file with the first definition whose lines hold it: equi-join on the file, then the interval."""
+    f = table(s, d, "code_entities").where("line_end is not null and type in ('function', 'method')").select("id", "file_path", "line_start", "line_end").distinct()
+    calls = C.facts(table(s, d, "raw_data").where("source = 'file'")).where("kind = 'call'").select("file_path", "line", "name").distinct()
+    j = calls.join(f, "file_path").where("line between line_start and line_end")
+    return j.groupBy("file_path", "line", "name").agg(F.min(F.struct("line_start", "id"))["id"].alias("symbol"))
+
+
+def _all_impacted(s, d):
+    """The symbols that a change of any line of their files meets: all whose range holds a line."""
+    return table(s, d, "code_entities").where("greatest(line_start, 1) <= line_end").select("id").distinct()
+
+
 QUERIES = {
+    "jn16_all_calls": (_all_calls, None),
+    "jn17_all_impacted_symbols": (_all_impacted, None),
     "sk4_absent_events": (
         lambda s, d: K.insert_absent(table(s, d, "event_index").select("id"), table(s, d, "event_vectors").where("event_id is not null").select(F.col("event_id").alias("id")), ["id"]),
         "SELECT DISTINCT event_id AS id FROM event_vectors WHERE event_id IS NOT NULL AND event_id NOT IN (SELECT id FROM event_index WHERE id IS NOT NULL)",

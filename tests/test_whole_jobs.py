@@ -6,6 +6,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
+from lodestrand.operators import code as C
 from lodestrand.operators import events as E
 from lodestrand.plans import catalog
 from lodestrand.plans.timeline import _ev
@@ -43,3 +44,16 @@ def test_candidates_of_every_event(spark, small):
     got = rows(Q["jn13_all_candidates"](spark, small).select("id", "other", "rank"))
     assert got == sorted(want, key=repr)
     assert len({x[0] for x in got}) > len({x[0] for x in rows(Q["jn13_candidates"](spark, small).select("id"))})
+
+
+def test_calls_and_all_changed_lines(spark, small):
+    e = {tuple(r) for r in table(spark, small, "code_entities").select("id", "file_path", "type", "line_start", "line_end").collect()}
+    calls = {(r.file_path, r.line, r.name) for r in C.facts(table(spark, small, "raw_data").where("source = 'file'")).where("kind = 'call'").collect()}
+    want = []
+    for p, line, name in calls:
+        if hold := sorted((lo, i) for i, f, t, lo, hi in e if f == p and t in ("function", "method") and hi is not None and lo <= line <= hi):
+            want.append((p, line, name, hold[0][1]))
+    assert rows(Q["jn16_all_calls"](spark, small).select("file_path", "line", "name", "symbol")) == sorted(want, key=repr) and any(x[1] % 10 for x in want)
+    got = rows(Q["jn17_all_impacted_symbols"](spark, small))
+    assert got == sorted({(i,) for i, _, _, lo, hi in e if hi is not None and any(lo <= n <= hi for n in range(1, hi + 1))}, key=repr)
+    assert len(got) > Q["jn17_impacted_symbols"](spark, small).count()
