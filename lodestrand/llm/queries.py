@@ -30,6 +30,7 @@ def queries() -> dict[str, Query]:
         "p6_found": lambda s, d: secrets.secrets_found(*raw(s, d)),
         "p6_findings": lambda s, d: secrets.find_secrets(*raw(s, d)).distinct(),
         "p6_redacted": lambda s, d: secrets.redact_secrets(*raw(s, d)).distinct(),
+        "p6_rules": lambda s, d: secrets.rule_counts(*raw(s, d)),
         "p7_found": lambda s, d: leaks.leaks_found(*leak(s, d)),
         "p7_items": lambda s, d: leaks.leaked_items(*leak(s, d)),
         "p8_selection": lambda s, d: mix.mix_selection(*mixed(s, d)),

@@ -1,7 +1,7 @@
 """Credentials embedded in source code and configuration: find and redact.
 
-Method. Contents are cut into overlapping chunks. For each block of chunks (one
-Arrow batch) a trigram index is built: the lower-cased bytes of the block are
+Method. Contents are cut into overlapping chunks. For each block of chunks (of an Arrow
+batch, at most ``BLOCK_CHARS`` at once) a trigram index is built: the lower-cased bytes of the block are
 scanned once with numpy, and every trigram that some rule needs gets a posting
 list, kept as a bitmap over the block's chunks. The needed trigrams are derived
 from the rules' own regular expressions: a walk over the parsed expression gives
@@ -17,6 +17,12 @@ credential may have any length. Where many heads stand before one end, as on one
 long line, the end is searched once, and of overlapping values only the outermost
 accepted one is judged.
 
+In running text no quote or assignment marks a value. Two rules read the grammar (a name,
+a copula and a word; a word, a preposition and a name); whether the word is a secret is
+scored by its length, kinds of characters and changes between them (``secrecy``).
+
+A value found once that can't be a common word is found wherever it stands in the content.
+
 Defined cases: null or empty content has no finding; repeated rows give the same
 findings once; a key block ends before another one of its kind begins; what stands
 before a value is bounded (a name by 60 characters before its key word, what is
@@ -30,17 +36,21 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 2048  # more than the longest head
+BLOCK_CHARS = 8_388_608  # what is indexed at once, however long the contents of a batch
 
 # --- rules ----------------------------------------------------------------------------------
 _WORDS = r"(?:key|token|secret|password|passwd|pwd|pass|auth|pass[_\-]?phrase|credentials?)"
 _NAME = rf"(?P<name>(?<![\w\-])[\w\-]{{0,60}}{_WORDS})(?![\w\-])"
+_SAID = rf"(?P<name>(?<![\w\-])[\w\-]{{0,60}}(?:{_WORDS}|[a-z0-9_\-]pw))(?![\w\-])"
 _VALUE = (
     r"(?#value)(?:\"(?P<dq>(?:[^\"\\\r\n]|\\.)(?:[^\"\\\r\n]++|\\(?!\").)*+)\\?\"|'(?P<sq>(?:[^'\\\r\n]|\\.)(?:[^'\\\r\n]++|\\(?!').)*+)\\?'"
     r"|`(?P<bq>[^`\r\n]++)`|(?P<bare>[^\s\"'`]))"
@@ -75,24 +85,17 @@ RULES: dict[str, tuple[str, str]] = {
     "assigned_pw": ("", rf"(?i)(?P<name>(?<![\w\-])[\w\-]{{0,60}}[a-z0-9_\-]pw)(?![\w\-]){_GLUE}{_VALUE}"),
     "assigned_bare_pw": ("", rf"(?i)(?P<name>(?<![\w\-])pw)[\"'`\] =:][\]=:>\-\s\\]{{0,8}}{_VALUE}"),
     "mysql": ("password_assignment", r"(?i)\b(?:mysql|mariadb)\w{0,20}\b[^\r\n]{0,400}?\s-p(?#value)(?P<v>[^\s\"'`]++)"),
-    "prose_pw": ("", r"(?i)\bvalue\s{1,4}(?#value)(?P<v>\S++)\s{1,4}for\s{1,4}(?:the\s{1,4})?(?P<name>[\w\-]{0,60}pw)\b"),
-    "prose_set_pw": ("", r"(?i)\bset\s{1,4}(?:the\s{1,4})?(?P<name>[\w\-]{0,60}pw)\s{1,4}to\s{1,4}(?#value)(?P<v>[^\s,;]++)"),
-    "prose_is_pw": ("", r"(?i)(?P<name>[\w\-]{0,60}[a-z0-9_\-]pw)\s{1,4}is\s{1,4}(?:now\s{1,4})?(?#value)(?P<v>[^\s,;]++)"),
-    "prose_into_pw": ("", r"(?i)\bpasted\s{1,4}(?#value)(?P<v>\S++)\s{1,4}into\s{1,4}(?:the\s{1,4})?(?P<name>[\w\-]{0,60}pw)\b"),
-    "prose_for": ("", r"(?i)\bvalue\s{1,4}(?P<v>[^\r\n])"),
-    "prose_set": ("", rf"(?i)\bset\s{{1,4}}(?:the\s{{1,4}})?{_NAME}\s{{1,4}}to\s{{1,4}}(?P<v>[^\r\n])"),
-    "prose_is": ("", rf"(?i){_NAME}\s{{1,4}}is\s{{1,4}}(?:now\s{{1,4}})?(?P<v>[^\r\n])"),
-    "prose_into": ("", r"(?i)\bpasted\s{1,4}(?P<v>[^\r\n])"),
+    # running text: "<name> is <value>" and "<value> for the <name>"; what the value looks like decides (see secrecy)
+    "told": ("", rf"(?i){_SAID}\s{{1,4}}(?:is|was|are|becomes?|equals?|to|as)\s{{1,4}}(?:(?:now|still|currently)\s{{1,4}})?(?P<v>[^\r\n])"),
+    "given": ("", rf"(?i)(?<=\s)(?:for|into|in|to|as|of)\s{{1,4}}(?:(?:the|an?|my|our|your|its|this|that)\s{{1,4}})?{_SAID}(?P<v>)"),
 }
 
 #: what ends a value of which the rule's expression holds the first character only; a name that follows is told by group
 _ENDS = {
     k: re.compile(p)
     for k, p in {
-        "prose_for": rf"(?i)(?P<end>\s{{1,4}}for\s{{1,4}}(?:the\s{{1,4}})?{_NAME})|[\r\n]",
-        "prose_set": r"(?i)(?P<end>\s{1,4}and\b|[.,;]?\s{0,8}(?:[\r\n]|$))",
-        "prose_is": r"(?i)(?P<end>\s{1,4}(?:until|and|for|but|now)\b|[.,;]?\s{0,8}(?:[\r\n]|$))",
-        "prose_into": rf"(?i)(?P<end>\s{{1,4}}into\s{{1,4}}(?:the\s{{1,4}})?{_NAME})|[\r\n]",
+        "told": r"\s",
+        "told_phrase": r"\s{1,4}(?:until|and|or|for|but|now|so|because|since|then|which|from|at|on)\b|[.,;]?\s{0,8}(?:[\r\n]|$)",
         "bare": r"[\s,;\"'`]|\\[nr]",
         "bare_phrase": r"[\r\n\"'`]|\s[#;]|\s//|\\n",
         "space": r"\s", "bracket": r"[()\[\]{}<>]", "digit": r"\d",
@@ -115,6 +118,29 @@ _PASS = re.compile(r"(?:password|passwd|pwd|pass|pw|auth|phrase|credentials?)$")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 
 
+_BACK = regex.compile(r"(?r)\S+")
+_KNOWN = re.compile(
+    r"(?i)(?:v?\d+(?:[.\-_:/]\d+)+[\w.\-]*|[\d.,:%+\-/]+\w{0,3}|(?-i:[a-z]+\d*(?:\.\d+)+)|(?-i:[a-z0-9_.\-/\\]*[\w\-]*\.[a-z]{1,5}\d?(?::\d+)?)|[\w.+\-]+@[\w\-]+\.[\w.]+|[a-z][a-z0-9+.\-]*://.*|(?-i:(?:\.{0,2}/)?(?:[a-z0-9_.\-]+/)+[\w.\-]*)"
+    r"|[a-z]+(?:[_\-][a-z]+)*[_\-]?\d{0,2}|.*\(.*|#\d+|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})"
+)
+_IDS = re.compile(r"(?i)(?:commit|revision|rev|sha\d*|md5|digest|checksum|hash|run|build|trace|request|job|ticket|issue|version|release|branch|tag|uuid|id)\W{0,2}\s{1,4}$")
+
+
+def secrecy(value: str) -> float:
+    """How much a word of running text looks like a secret: its length, its kinds of characters and how often they change.
+
+    Numbers, versions, dates, file names, paths, addresses, plain identifiers and calls have none.
+    """
+    if _KNOWN.fullmatch(value):
+        return 0.0
+    kinds = ["u" if c.isupper() else "l" if c.isalpha() else "d" if c.isdigit() else "s" for c in value]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    return min(len(value), 24) / 24 + (len(set(kinds)) - 1) / 2 + changes / max(1, len(value) - 1)
+
+
+LEAST_SECRECY = 1.25
+
+
 def _snake(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).replace("-", "_").lower()
 
@@ -186,11 +212,17 @@ def _candidate(rule: str, m: re.Match, cursors: _Cursors) -> tuple[int, int, str
     if part == "bare":
         end = cursors.next(_ENDS["bare_phrase" if _snake(name).endswith("phrase") else "bare"], lo)
         hi = end.start() if end else len(text)
-    elif rule in _ENDS:
-        end = cursors.next(_ENDS[rule], lo + 1)
-        if not end or end["end"] is None:
+    elif rule == "told":
+        end = cursors.next(_ENDS["told_phrase" if _snake(name).endswith("phrase") else "told"], lo + 1)
+        hi = end.start() if end else len(text)
+    elif rule == "given":
+        hi = m.start() - 1  # the head begins behind a blank
+        while hi > 0 and text[hi - 1].isspace():
+            hi -= 1
+        back = _BACK.match(text, 0, hi)
+        if not back:
             return None
-        hi, name = end.start(), name or end["name"]
+        lo = back.start()
     if part == "v" and name is not None:
         while lo < hi and text[lo] in "\"'`" and not _snake(name).endswith("phrase"):
             lo += 1
@@ -226,7 +258,7 @@ def _accept(rule: str, kind: str, text: str, lo: int, hi: int, name: str | None,
                     value = value.rstrip()
                 value = value.rstrip(" \t,;")
             else:
-                value = value.rstrip(")]}") if part == "bare" else value.strip("\"'`")
+                value = value.rstrip(")]}") if part == "bare" else re.sub(r"[\"'`]?[.,;:]?$", "", value) if rule in ("told", "given") else value.strip("\"'`")
             hi = lo + len(value)
         if not value:
             return None
@@ -235,6 +267,9 @@ def _accept(rule: str, kind: str, text: str, lo: int, hi: int, name: str | None,
             if shape != "private_key" and (s := rx.fullmatch(value)):  # a key block has its own rule
                 return None if re.search(r"(?i)(.)\1{7,}", value) else (lo, lo + len(s[0]), t)
         found = _named(name, value, quoted)
+        if found and rule in ("told", "given") and not _snake(name).endswith("phrase"):
+            if secrecy(value[:LONG_CHARS]) < LEAST_SECRECY or _IDS.search(text, max(0, lo - 40), lo):
+                return None
         return (lo, hi, found) if found else None
     if is_placeholder(value):
         return None
@@ -364,23 +399,70 @@ def _bounds(n: int) -> list[tuple[int, int]]:
     return [(i, min(n, i + CHUNK_CHARS)) for i in range(0, n, CHUNK_CHARS)] or []
 
 
-def find_in_block(contents: list[str | None]) -> list[tuple[int, int, int, str]]:
-    """(content number, start, end, type) of every credential of a block of contents."""
-    chunks, home = [], []
+def _slices(contents: list[str | None]) -> Iterator[list[tuple[int, int, int]]]:
+    """(content number, start, end) of the chunks, a block of at most ``BLOCK_CHARS`` at a time; a long content spans blocks."""
+    some, size = [], 0
     for k, text in enumerate(contents):
         for lo, hi in _bounds(len(text or "")):
-            chunks.append(text[max(0, lo - 256) : hi + OVERLAP_CHARS] if hi < len(text) or lo else text)
-            home.append((k, lo, hi))
+            some.append((k, lo, hi))
+            size += hi - lo
+            if size >= BLOCK_CHARS:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
+def find_in_block(contents: list[str | None], counts: dict[str, list[int]] | None = None) -> list[tuple[int, int, int, str]]:
+    """(content number, start, end, type) of every credential of a block of contents.
+
+    ``counts``: per rule the chunks, its candidate chunks and its matches, summed up for a report on the index.
+    """
     found: dict[int, list[tuple]] = {}
-    cursors = {}
-    for order, (rule, which) in enumerate(candidates(build_index(chunks))):
-        for c in which:
-            k, lo, hi = home[c]
-            own = cursors.setdefault(k, _Cursors(contents[k]))
-            for m in _matches(rule, contents[k], lo, hi):
-                if got := _candidate(rule, m, own):
-                    found.setdefault(k, []).append((got[0], order, rule, got, m))
-    return [(k, *x) for k in sorted(found) for x in _outermost(contents[k], found[k])]
+    cursors: dict[int, _Cursors] = {}
+    for home in _slices(contents):
+        chunks = []
+        for k, lo, hi in home:
+            text = contents[k]
+            chunks.append(text[max(0, lo - 256) : hi + OVERLAP_CHARS] if hi < len(text) or lo else text)
+        cursors = {k: cursors.get(k) or _Cursors(contents[k]) for k in {h[0] for h in home}}
+        for order, (rule, which) in enumerate(candidates(build_index(chunks))):
+            n = 0
+            for c in which:
+                k, lo, hi = home[c]
+                for m in _matches(rule, contents[k], lo, hi):
+                    n += 1
+                    if got := _candidate(rule, m, cursors[k]):
+                        found.setdefault(k, []).append((got[0], order, rule, got, m))
+            if counts is not None:
+                c = counts.setdefault(rule, [0, 0, 0])
+                c[0], c[1], c[2] = c[0] + len(chunks), c[1] + len(which), c[2] + n
+    return [(k, *x) for k in sorted(found) for x in _repeated(contents[k], _outermost(contents[k], found[k]))]
+
+
+def _repeated(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans, with the further places at which a found value stands that can't be a common word.
+
+    Such a value has 16 characters at least, digits and letters; the places are searched for in one pass.
+    """
+    kinds = {v: kind for lo, hi, kind in spans if hi - lo >= 16 and re.search(r"\d", v := text[lo:hi]) and re.search(r"[A-Za-z]", v)}
+    if not kinds:
+        return spans
+    places = ahocorasick.Automaton()
+    for v, kind in kinds.items():
+        places.add_word(v, (len(v), kind))
+    places.make_automaton()
+    more = [(end + 1 - n, end + 1, kind) for end, (n, kind) in places.iter(text)]
+    word = re.compile(r"[\w\-]")
+    whole = [(lo, hi, kind) for lo, hi, kind in more if not (lo and word.match(text[lo - 1])) and not (hi < len(text) and word.match(text[hi]))]
+    out, end, at = [], 0, 0
+    for lo, hi, kind in sorted(whole, key=lambda x: (x[0], -x[1])):
+        while at < len(spans) and spans[at][1] <= lo:
+            at += 1
+        if lo >= end and (at == len(spans) or spans[at][0] >= hi):
+            out.append((lo, hi, kind))
+            end = hi
+    return sorted([*spans, *out])
 
 
 def _matches(rule: str, text: str, lo: int, hi: int) -> Iterator[re.Match]:
@@ -437,19 +519,15 @@ def find_secrets(df: DataFrame, id_col: str = "id", text_col: str = "content") -
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """``text`` with each credential, wherever it stands, replaced by a bare-word mark.
+    """``text`` with each span replaced by a bare-word mark; nothing else is touched.
 
     The mark holds no quote, blank or escape, so strings, keys and columns around it stay valid.
     """
-    marks = {text[lo:hi]: f"REDACTED_{kind.upper()}" for lo, hi, kind in spans}
-    if not marks:
-        return text
-    rx = re.compile("|".join(re.escape(k) for k in sorted(marks, key=len, reverse=True) if len(k) >= 8) or r"(?!)")
     out, at = [], 0
     for lo, hi, kind in spans:
-        out += [rx.sub(lambda m: marks[m[0]], text[at:lo]), f"REDACTED_{kind.upper()}"]
+        out += [text[at:lo], f"REDACTED_{kind.upper()}"]
         at = hi
-    return "".join([*out, rx.sub(lambda m: marks[m[0]], text[at:])])
+    return "".join([*out, text[at:]])
 
 
 def redact_secrets(df: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
@@ -473,6 +551,20 @@ def redact_secrets(df: DataFrame, id_col: str = "id", text_col: str = "content")
     return some.mapInPandas(run, "raw_id string, redacted string, n_findings int")
 
 
+def rule_counts(df: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """(rule, n_chunks, n_candidates, n_matches): how many chunks the postings leave to each rule's expression, over all rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[str, list[int]] = {}
+        for b in batches:
+            find_in_block([None if x is None else str(x) for x in b.content], counts)
+        yield pd.DataFrame([(k, *c) for k, c in counts.items()], columns=["rule", "n_chunks", "n_candidates", "n_matches"])
+
+    some = df.select(F.col(text_col).cast("string").alias("content")).where("content is not null and content <> ''")
+    per = some.mapInPandas(run, "rule string, n_chunks long, n_candidates long, n_matches long")
+    return per.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("n_chunks", "n_candidates", "n_matches")])
+
+
 def secrets_found(raw: DataFrame) -> DataFrame:
     """(raw_id, matched_text) of each credential, each once."""
     return find_secrets(raw).select("raw_id", "matched_text").distinct()

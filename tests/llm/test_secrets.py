@@ -120,6 +120,50 @@ def test_any_length(frame, value):
     assert S.redact(text, [x[1:] for x in spans]) == text.replace(value, f"REDACTED_{spans[0][3].upper()}")
 
 
+def test_only_the_found_spans_are_redacted():
+    text = "password: 'hunter-2'\nhunter-2 is the name of the host group\n"
+    spans = [x[1:] for x in S.find_in_block([text])]
+    assert S.redact(text, spans) == text.replace("'hunter-2'", "'REDACTED_PASSWORD_ASSIGNMENT'")
+    strong = tok(20) + "7a"  # no common word: found wherever it stands, not inside a longer one
+    text = f"api_key = '{strong}'\nprint({strong}) # {strong}x\n"
+    assert S.redact(text, [x[1:] for x in S.find_in_block([text])]) == text.replace(f"'{strong}'", "'REDACTED_GENERIC_API_KEY'").replace(f"({strong})", "(REDACTED_GENERIC_API_KEY)")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "python3.11 for the login_password", "we moved tests/auth_2.py into the auth_token folder", "the token is valid until 2026-01-05T10:00:00", "the password is v1.2.3-beta4", "use https://h.example/a1B2c3 for the api_key",
+        "commit 2e5d420d9541c546ebb2db94a597e7449e9a0509 for the access_token", "the secret is compare_digest_2", "the password is bob.smith2@example.org", "step 12 for the signing_key",
+    ],
+)
+def test_running_text_without_secret(text):
+    assert S.find_in_block([text]) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("our admin_pw was zK4!mmQ2 and it worked", "zK4!mmQ2"), ("enter Zx81-Lamp-rq7 as the wifi_password", "Zx81-Lamp-rq7"), ("the api_key is now 'aB3xyz9LmNop45QrSt'.", "aB3xyz9LmNop45QrSt"),
+        ("paste aB3xyz9LmNop45QrSt in the auth_token box", "aB3xyz9LmNop45QrSt"), ("my pass_phrase is brown horse 77 stapler until friday", "brown horse 77 stapler"),
+    ],
+)
+def test_running_text(text, value):
+    assert [text[lo:hi] for _, lo, hi, _ in S.find_in_block([text])] == [value]
+
+
+def test_blocks_are_bounded_by_characters(monkeypatch):
+    texts = ["x" * 40_000 + " k: ghp_" + "aB3" * 12 + " " + "y" * 30_000, None, "password: 'Ab9!xyz?77'", "z" * 50_000 + "\napi_token = '" + "aB3x" * 9000 + "'"]
+    whole = S.find_in_block(texts)
+    monkeypatch.setattr(S, "BLOCK_CHARS", 20_000)
+    assert S.find_in_block(texts) == whole and len(whole) == 3
+
+
+def test_rule_counts(spark):
+    raw = spark.createDataFrame([("1", "k: ghp_" + "aB3" * 12), ("2", None), ("3", "nothing here")], "id string, content string")
+    got = {r.rule: r for r in S.rule_counts(raw).collect()}
+    assert (got["github"].n_chunks, got["github"].n_candidates, got["github"].n_matches) == (2, 1, 1) and got["slack"].n_candidates == 0
+
+
 def test_key_blocks_do_not_run_into_each_other():
     text = PEM[:100] + "\ncut off\n" + PEM + "\nmore\n" + PEM
     assert [text[lo:hi] for _, lo, hi, _ in S.find_in_block([text])] == [PEM, PEM]
