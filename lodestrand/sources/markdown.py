@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,16 +102,29 @@ def to_markdown(events: DataFrame) -> DataFrame:
 
 
 def write_markdown(events: DataFrame, root: str) -> None:
-    """One ``YYYY/MM/DD/<id>.md`` an event; each task writes its own rows, the path of a row is fixed, so a retry overwrites it."""
-    import os
+    """One ``YYYY/MM/DD/<id>.md`` an event under ``root``, a folder that all executors share.
+
+    Each task writes its own rows through the folder's own file system (named by its URI; one
+    without a scheme is Hadoop's default). The path of a row is fixed, so a retry overwrites it.
+    On a cluster, a ``file:`` folder must be a shared mount.
+    """
+    sc = events.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
 
     def put(rows) -> None:
+        from pyarrow import fs as filesystems
+
+        system, base = filesystems.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+        made = set()
         for r in rows:
-            folder = os.path.join(root, r.day or "undated")
-            os.makedirs(folder, exist_ok=True)
-            part = os.path.join(folder, f".{r.id}.part")
-            with open(part, "w", encoding="utf-8", newline="") as f:
-                f.write(r.text)
-            os.replace(part, os.path.join(folder, f"{PurePosixPath(r.id).name}.md"))
-
-    to_markdown(events).foreachPartition(put)
+            folder = f"{base}/{r.day or 'undated'}"
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            part = f"{folder}/.{PurePosixPath(r.id).name}.part"
+            with system.open_output_stream(part) as out:
+                out.write(r.text.encode("utf-8", "surrogatepass"))
+            system.move(part, f"{folder}/{PurePosixPath(r.id).name}.md")
+
+    to_markdown(events.where("id is not null and id <> ''")).foreachPartition(put)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +18,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    The cluster's setting ``spark.checkpoint.dir`` wins. Only where neither it nor
-    a folder set through the API is there (tests on one machine) a local folder is used.
+    The cluster's setting ``spark.checkpoint.dir`` wins. Where neither it nor a folder set
+    through the API is there, a session on one machine (master ``local``) gets a folder of
+    its own; on a cluster that is an error, as no machine's folder is shared.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or os.path.join(tempfile.gettempdir(), "lodestrand-checkpoints")
     sc.setCheckpointDir(folder)
     return folder
