@@ -10,18 +10,22 @@ Method: prefix-filtered set join with positions.
   item one must be shared by any document that shares the run.
 * Shingles are ordered by rarity, counted over all documents. Of every window of t the
   rarest is kept: these are the necessary prefix tokens, the only ones joined on.
-* A document emits only positions of prefix tokens, with the words around them that a
-  run can reach (length and position bounds). The join is on the shingle's hash.
-* Each candidate is verified on the words themselves: the run of equal words around the
-  shingle must reach ``MIN_WORDS``.
-
-The documents' words never leave their task but for the candidates. The prefix tokens
-are looked up from a closure while there are at most ``MOST_TOKENS`` of them (8 bytes
-each); beyond, every shingle of a document joins by shuffle instead, with the same rows.
+* The documents are read once. A bit filter of fixed size (``FILTER_BITS``, whatever the
+  number of items) drops positions that hold no item's shingle; what it lets through is
+  counted, and of a document only stretches of t such positions in a row go on with their
+  words (length bound), as no shorter one can hold a shared run.
+* In those stretches positions of prefix tokens, found by a second filter of that size, join
+  the items on the shingle's hash, with the words around them that a run can reach (position
+  bound). Each candidate is verified on the words: the run of equal words around the shingle
+  must reach ``MIN_WORDS``.
+
+A filter that lets too much through costs time, never rows: every shingle is compared exactly
+in the join. Skewed hashes (a passage in a third of all documents) are split by adaptive
+execution, as the items' side of a hash is small.
 
 Defined cases: null and empty texts hold no words; texts and items under ``MIN_WORDS``
 words can't match; repeated items and documents are reported for each id; empty tables
-give no rows; extra columns are ignored.
+give no rows; rows without doc_id are left out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from lodestrand.tables import cut
 
 MIN_WORDS = 8
 SHINGLE = 4
-MOST_TOKENS = 2_000_000
+FILTER_BITS = 1 << 25  # 4 MB
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], dtype=np.uint64)
 
@@ -95,31 +99,53 @@ def item_shingles(items: DataFrame, q: int = SHINGLE, least: int = MIN_WORDS) ->
     return items.where("text is not null").select("item_id", "text").distinct().mapInPandas(run, _TOKEN)
 
 
-def _wanted(tokens: DataFrame) -> np.ndarray | None:
-    """The sorted distinct hashes, or None when they are too many for a closure."""
-    some = tokens.select("h").distinct().limit(MOST_TOKENS + 1).toPandas().h.to_numpy()
-    return np.sort(some) if len(some) <= MOST_TOKENS else None
+def bit_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bits set for the hashes of column ``h``; set in the cluster, ``bits`` / 64 words at most reach the driver."""
+    words = hashes.selectExpr(f"cast(pmod(h, {bits}) div 64 as int) as w", f"shiftleft(1L, cast(pmod(h, {bits}) % 64 as int)) as b")
+    some = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(-(-bits // 64), np.uint64)
+    out[some.w.to_numpy(np.int64)] = some.b.to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _may_hold(hs: np.ndarray, filled: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes the filter lets through: all it was filled with and few others."""
+    slot = np.mod(hs, bits)
+    return (filled[slot // 64] >> (slot % 64).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _stretches(held: np.ndarray, t: int) -> list[tuple[int, int]]:
+    """(first, past the last) of the runs of at least ``t`` true values."""
+    edge = np.diff(np.concatenate([[0], held.astype(np.int8), [0]]))
+    return [(int(a), int(z)) for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)) if z - a >= t]
 
 
-def _isin(hs: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(wanted):
-        return np.zeros(len(hs), bool)
-    return wanted[np.minimum(np.searchsorted(wanted, hs), len(wanted) - 1)] == hs
+_SEEN = "h long, n long, doc_id long, words array<string>"
 
 
-def shingle_counts(documents: DataFrame, tokens: DataFrame, q: int = SHINGLE) -> DataFrame:
-    """(h, n): how often the items' shingles occur over all documents; sums per batch before the shuffle."""
-    wanted = _wanted(tokens)
+def scan(documents: DataFrame, shingles: DataFrame, q: int = SHINGLE, least: int = MIN_WORDS, bits: int = FILTER_BITS) -> DataFrame:
+    """One pass over the documents: (h, n) how often a shingle occurs, summed per batch, and (doc_id, words) of the stretches that may match."""
+    filled, t = bit_filter(shingles, bits), least - q + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hs = _shingle_hashes([words(t) for t in b.text], q)
-            h = np.concatenate(hs) if hs else np.zeros(0, np.int64)
-            h, n = np.unique(h if wanted is None else h[_isin(h, wanted)], return_counts=True)
-            yield pd.DataFrame({"h": h, "n": n})
+            lists = [words(x) for x in b.text]
+            parts, rows = [], []
+            for doc, ws, hs in zip(b.doc_id, lists, _shingle_hashes(lists, q)):
+                held = _may_hold(hs, filled, bits)
+                parts.append(hs[held])
+                rows += [(None, None, doc, ws[a : z + q - 1]) for a, z in _stretches(held, t)]
+            h, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
+            counted = pd.DataFrame({"h": pd.array(h, "Int64"), "n": pd.array(n, "Int64"), "doc_id": pd.array([None] * len(h), "Int64"), "words": None})
+            found = pd.DataFrame(rows, columns=["h", "n", "doc_id", "words"]).astype({"h": "Int64", "n": "Int64", "doc_id": "Int64"})
+            yield pd.concat([counted, found]) if len(found) else counted
+
+    return documents.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, _SEEN)
+
 
-    counted = documents.where("text is not null").select("text").mapInPandas(run, "h long, n long")
-    return counted.groupBy("h").agg(F.sum("n").alias("n"))
+def shingle_counts(seen: DataFrame) -> DataFrame:
+    """(h, n): how often the shingles occur over all documents."""
+    return seen.where("h is not null").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def prefix_tokens(shingles: DataFrame, counts: DataFrame, q: int = SHINGLE, least: int = MIN_WORDS) -> DataFrame:
@@ -141,21 +167,19 @@ def prefix_tokens(shingles: DataFrame, counts: DataFrame, q: int = SHINGLE, leas
     return rare.groupBy("item_id").applyInPandas(run, _TOKEN)
 
 
-def _candidates(documents: DataFrame, tokens: DataFrame, q: int, least: int) -> DataFrame:
-    """(doc_id, h, d_around, d_left) of the documents' positions that hold a prefix token."""
-    wanted = _wanted(tokens)
+def _candidates(seen: DataFrame, tokens: DataFrame, q: int, least: int, bits: int) -> DataFrame:
+    """(doc_id, h, d_around, d_left) of the stretches' positions that may hold a prefix token."""
+    filled = bit_filter(tokens, bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            lists = [words(t) for t in b.text]
+            lists = [list(w) for w in b.words]
             rows = []
             for doc, ws, hs in zip(b.doc_id, lists, _shingle_hashes(lists, q)):
-                if len(ws) >= least:
-                    at = range(len(hs)) if wanted is None else np.flatnonzero(_isin(hs, wanted))
-                    rows += [(doc, int(hs[p]), *_around(ws, int(p), q, least)) for p in at]
+                rows += [(doc, int(hs[p]), *_around(ws, int(p), q, least)) for p in np.flatnonzero(_may_hold(hs, filled, bits))]
             yield pd.DataFrame(rows, columns=["doc_id", "h", "d_around", "d_left"])
 
-    return documents.where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, h long, d_around array<string>, d_left int")
+    return seen.where("words is not null").select("doc_id", "words").mapInPandas(run, "doc_id long, h long, d_around array<string>, d_left int")
 
 
 def _run_length(a: list[str], i: int, b: list[str], j: int, q: int) -> int:
@@ -171,12 +195,13 @@ def _run_length(a: list[str], i: int, b: list[str], j: int, q: int) -> int:
     return lo + hi
 
 
-def leaks(documents: DataFrame, items: DataFrame, q: int = SHINGLE, least: int = MIN_WORDS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, q: int = SHINGLE, least: int = MIN_WORDS, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, item_id) of every document and every item of which it holds at least ``least`` words in a row."""
     shingles = item_shingles(items, q, least)
-    # as many rows as the items have shingles; written once, so the corpus is counted once
-    tokens = cut(prefix_tokens(shingles, shingle_counts(documents, shingles, q), q, least))
-    pairs = _candidates(documents, tokens, q, least).join(tokens, "h")
+    seen = cut(scan(documents, shingles, q, least, bits))  # written once: the texts are read once
+    # as many rows as the items have shingles
+    tokens = cut(prefix_tokens(shingles, shingle_counts(seen), q, least))
+    pairs = _candidates(seen, tokens, q, least, bits).join(tokens, "h")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

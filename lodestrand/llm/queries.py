@@ -40,8 +40,17 @@ def queries() -> dict[str, Query]:
     }
 
 
+# every eight words in a row of the documents and of the items
+_LEAKS = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+    dg AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS p FROM d)),
+    ig AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 7)) AS p FROM i)) """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+        "p7_items": _LEAKS + """, l AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
+            SELECT item_id, min(suite) AS suite, min(task) AS task, n_docs FROM (SELECT item_id, count(*) AS n_docs FROM l GROUP BY 1) JOIN eval_items USING (item_id) GROUP BY item_id, n_docs""",
         "p3_found": """
             SELECT DISTINCT event_id, CAST(chunk_seq AS BIGINT) AS chunk_seq
             FROM event_vectors WHERE length(chunk_text) > 3200""",

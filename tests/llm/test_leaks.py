@@ -48,10 +48,22 @@ def test_boundary(spark):
     assert rows(L.leaks_found(*frames(spark, docs, [(5, item)]))) == [(1, 5), (3, 5)]
 
 
-def test_shuffle_path(spark, monkeypatch):
-    monkeypatch.setattr(L, "MOST_TOKENS", 1)
-    item = "one two three four five six seven eight nine ten"
-    assert rows(L.leaks_found(*frames(spark, [(1, "a " + item), (2, "no")], [(5, item)]))) == [(1, 5)]
+def test_full_filter_loses_nothing(spark):
+    """A filter of 64 bits lets nearly all through: the same rows by the same plan."""
+    r = random.Random(2)
+    say = lambda n: " ".join(f"w{r.randrange(30)}" for _ in range(n))
+    items = [(i, say(30)) for i in range(10)]
+    docs = [(d, say(20) + " " + (" ".join(items[d % 10][1].split()[3 : 3 + d % 14]))) for d in range(60)]
+    d, i = frames(spark, docs, items)
+    assert rows(L.leaks(d, i, bits=64)) == rows(L.leaks(d, i)) == brute(docs, items)
+
+
+def test_hot_passage(spark):
+    """A passage in most documents and items: every pair comes out."""
+    passage = "all of this text is shared by very many of them"
+    docs = [(k, f"a{k} b{k} {passage} c{k}") for k in range(400)] + [(k, f"x{k}") for k in range(400, 500)]
+    items = [(k, f"{passage} q{k} r{k}") for k in range(20)]
+    assert L.leaks_found(*frames(spark, docs, items)).count() == 400 * 20
 
 
 def test_empty(spark):
@@ -62,6 +74,6 @@ def test_empty(spark):
 def test_prefix_is_a_part(spark):
     d, i = frames(spark, [(1, "nothing")], [(1, " ".join(f"w{k}" for k in range(60)))])
     s = L.item_shingles(i)
-    kept = L.prefix_tokens(s, L.shingle_counts(d, s)).collect()
+    kept = L.prefix_tokens(s, L.shingle_counts(L.scan(d, s))).collect()
     at = sorted(r.pos for r in kept)
     assert len(at) < 57 and all(b - a <= 5 for a, b in zip(at, at[1:])) and at[0] < 5 and at[-1] > 51
