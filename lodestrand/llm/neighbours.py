@@ -2,24 +2,27 @@
 
 Method.
 
-* Index. Vectors are grouped into lists around centroids that are fitted on a bounded
-  sample (``SAMPLE`` rows, chosen by hash); every vector is indexed. Each gets a code:
-  it is multiplied by a seeded random matrix with orthonormal columns that spreads it
-  over four times its dimensions, and the signs are packed into bits. The correction scalar
-  is the inner product of the vector with its own code.
-* Search. A vector visits the lists of its ``probes`` nearest centroids. There the
-  share of equal bits and the two correction scalars estimate the inner product; the
-  estimate's error bound is ``EPSILON`` standard deviations of that share. Only vectors
-  whose upper bound reaches the k-th best exact value so far are reranked exactly.
-* Lists larger than a block are split on both sides, so no task holds more than
-  ``BLOCK`` vectors of either kind; each vector is shuffled once as data and once for
-  each further list it visits.
-
-Equal vectors are one indexed vector with members; the members are expanded at the end
-and at most the first k + 1 members of a group can be among anyone's k nearest, so a
-group of copies costs a row per member.
-
-Recall depends on ``lists`` and ``probes``; ``recall_at_k`` measures it by brute force
+* Index. Vectors are grouped into lists of ``LIST_SIZE`` on average around centroids that are
+  fitted on a bounded sample (``LIST_SAMPLE`` rows a list, between ``LEAST_SAMPLE`` and
+  ``MOST_SAMPLE``, chosen by hash); every vector is indexed. Each gets a code: it is
+  multiplied by a seeded random matrix with orthonormal columns that spreads it over three
+  times its dimensions, and the signs are packed into bits. The correction scalar is the
+  inner product of the vector with its own code.
+* Search. A vector visits the lists of its ``PROBES`` nearest centroids. There the share of
+  equal bits and the two correction scalars estimate the inner product; the estimate's error
+  bound is ``EPSILON`` standard deviations of that share. Only vectors whose upper bound
+  reaches the k-th best exact value so far are reranked exactly (by one matrix product where
+  they are many of a tile).
+* The size of a list and the number of visits are the same at every size of the table, so
+  work and shuffle grow with the number of vectors; centroids cost 256 bytes a list. Lists
+  larger than a block are split on both sides, so no task holds more than ``BLOCK`` vectors
+  of either kind; each vector is shuffled once as data and once for each further list.
+
+Equal vectors are one indexed vector with members, told apart by a hash of 128 bits; the
+members are expanded at the end and at most the first k + 1 members of a group can be among
+anyone's k nearest, so a group of copies costs a row per member.
+
+Recall depends on the list size and the visits; ``recall_at_k`` measures it by brute force
 for the rows whose hash is divisible by a given number.
 
 Defined cases: null, all-zero, non-finite and differently wide vectors are left out;
@@ -41,18 +44,19 @@ from lodestrand.tables import cut
 
 WIDTH = 64
 K = 10
-SAMPLE = 20_000  # most rows the centroids are fitted on
-LEAST_LISTS, MOST_LISTS = 64, 4096
-LIST_SIZE = 65_536  # vectors a list should hold at most on average
-PROBES = 5
+LIST_SIZE = 8192  # vectors a list holds on average
+PROBES = 4
+LIST_SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 16, 8192, 262_144  # rows the centroids are fitted on
+SPREAD = 3  # bits of a code per dimension
+DENSE = 64  # a tile of which more than one in so many pairs is reranked is multiplied out
 BLOCK = 65_536
 EPSILON = 1.6
 SEED = 7
 
 
 def rotation(width: int, bits: int | None = None, seed: int = SEED) -> np.ndarray:
-    """A (width, bits) matrix with orthonormal rows: a random rotation of the padded space."""
-    bits = bits or 4 * width
+    """A (width, bits) matrix with orthonormal rows: a random rotation of the padded space; ``bits`` is a multiple of 64."""
+    bits = bits or -(-SPREAD * width // 64) * 64
     q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
     return np.ascontiguousarray(q[:width]).astype(np.float32)
 
@@ -123,13 +127,13 @@ class Index:
 def fit_index(vecs: DataFrame, width: int = WIDTH, lists: int | None = None, probes: int | None = None) -> Index:
     """The index fitted on a bounded sample of the distinct vectors."""
     n = vecs.count()
-    lists = lists or int(min(MOST_LISTS, max(LEAST_LISTS, n // LIST_SIZE)))
-    probes = probes or int(np.ceil(PROBES * (lists / LEAST_LISTS) ** 0.8))
-    # by hash of the values: the same rows whatever the partitioning; at most SAMPLE rows reach the driver
-    part = max(1, n // SAMPLE)
-    picked = vecs.where(F.pmod(F.xxhash64("vec", F.lit(SEED)), F.lit(part)) == 0).select("vec").limit(SAMPLE).toPandas()
+    lists = lists or max(1, n // LIST_SIZE)
+    size = min(MOST_SAMPLE, max(LEAST_SAMPLE, LIST_SAMPLE * lists))
+    # by hash of the values: the same rows whatever the partitioning; at most ``size`` rows reach the driver
+    part = max(1, n // size)
+    picked = vecs.where(F.pmod(F.xxhash64("vec", F.lit(SEED)), F.lit(part)) == 0).select("vec").limit(size).toPandas()
     m = np.frombuffer(b"".join(picked.vec), dtype=np.float32).reshape(-1, width) if len(picked) else np.zeros((0, width), np.float32)
-    return Index(fit_centroids(_unit(m), lists) if len(m) else np.zeros((1, width), np.float32), probes, width)
+    return Index(fit_centroids(_unit(m), lists) if len(m) else np.zeros((1, width), np.float32), probes or PROBES, width)
 
 
 _POINT = "id long, vec binary, visits array<int>"
@@ -159,7 +163,7 @@ def search_block(q: np.ndarray, d: np.ndarray, q_id: np.ndarray, d_id: np.ndarra
     """
     qu, du = _unit(q), _unit(d)
     (qc, qf), (dc, df) = encode(qu, turn), encode(du, turn)
-    bits, nd = turn.shape[1], len(d)
+    bits, nd, dt = turn.shape[1], len(d), np.ascontiguousarray(dc.T)
     out = []
     lead = min(nd, 512) if beat is None else 0
     for lo in range(0, len(q), 256):
@@ -175,17 +179,20 @@ def search_block(q: np.ndarray, d: np.ndarray, q_id: np.ndarray, d_id: np.ndarra
             floor = top.min(axis=1) if kk == k else floor
         for a in range(lead, nd, 1024):
             z = min(nd, a + 1024)
-            diff = np.zeros((hi - lo, z - a), dtype=np.uint16)
+            diff = np.zeros((hi - lo, z - a), dtype=np.uint8 if bits < 256 else np.uint16)
             for w in range(qc.shape[1]):
-                diff += np.bitwise_count(qc[lo:hi, w, None] ^ dc[None, a:z, w])
+                diff += np.bitwise_count(qc[lo:hi, w, None] ^ dt[w, None, a:z])
             # share of equal less unequal bits = corrections * asin(inner product), within the slack
             angle = np.arcsin(np.clip(floor, -1, 1))
             p = np.clip(0.5 - angle / np.pi, 1e-3, 0.5)
             slack = 2 * EPSILON * np.sqrt(p * (1 - p) / bits)
             fix = float(df[a:z].max()) if len(df[a:z]) else 1.0
             need = np.where(angle > 0, angle * qf[lo:hi] * fix, angle) - slack
-            limit = np.clip(np.floor(bits * (1 - need) / 2), 0, bits).astype(np.uint16)
-            qi, di = np.nonzero(diff <= limit[:, None])
+            limit = np.clip(np.floor(bits * (1 - need) / 2), 0, bits).astype(diff.dtype)
+            near = diff <= limit[:, None]
+            many = np.count_nonzero(near) * DENSE > near.size
+            tile = qu[lo:hi] @ du[a:z].T if many else None
+            qi, di = np.nonzero(near & (tile >= floor[:, None]) if many else near)
             # once more with each vector's own correction
             est = (1 - 2 * diff[qi, di].astype(np.float32) / bits + slack[qi]) / (qf[lo:hi][qi] * df[a:z][di])
             keep = est >= angle[qi]
@@ -193,7 +200,7 @@ def search_block(q: np.ndarray, d: np.ndarray, q_id: np.ndarray, d_id: np.ndarra
             if counts is not None:
                 counts["seen"] = counts.get("seen", 0) + diff.size
                 counts["reranked"] = counts.get("reranked", 0) + len(qi)
-            exact = np.einsum("ij,ij->i", qu[lo:hi][qi], du[di])
+            exact = tile[qi, di - a] if many else np.einsum("ij,ij->i", qu[lo:hi][qi], du[di])
             exact[q_id[lo:hi][qi] == d_id[di]] = -2
             win = exact >= floor[qi]
             have.append((qi[win], di[win], exact[win]))
@@ -251,9 +258,9 @@ def knn_join(vecs: DataFrame, width: int = WIDTH, k: int = K, lists: int | None
     """(id, near): the k nearest of each distinct vector, best first. ``vecs``: (id, vec), ids unique.
 
     A vector's own list is searched first; its k-th best cosine there is what vectors of the
-    other lists must beat, so those estimates discard nearly all and little is sent on.
+    other lists must beat, so those estimates discard nearly all and little is sent on. Fitting,
+    counting and both searches read ``vecs``: it should be written already.
     """
-    vecs = cut(vecs)  # fitting, counting and both searches read it
     index = fit_index(vecs, width, lists, probes)
     placed = place(vecs, index)
     n_lists, turn = len(index.centroids), rotation(width)
@@ -333,28 +340,32 @@ def knn_join(vecs: DataFrame, width: int = WIDTH, k: int = K, lists: int | None
     return found.select("id", "cosines", "others").groupBy("id").agg(best.alias("near"))
 
 
+def _named(vec: str = "vec") -> list[F.Column]:
+    """A hash of 128 bits in two columns; two different vectors don't share it (chance of 10^-17 at 10^11 vectors)."""
+    return [F.xxhash64(vec).alias("h1"), F.xxhash64(F.lit(SEED), vec).alias("h2")]
+
+
 def distinct_vectors(keyed: DataFrame) -> DataFrame:
-    """(id, vec, n, key): equal vectors once, with a hash as id and the number and least of their keys."""
-    return keyed.groupBy("vec").agg(F.min("key").alias("key")).select(F.xxhash64("vec").alias("id"), "vec", "key")
+    """(id, vec, h1, h2): equal vectors once, numbered and written to the shared folder, so that a number stays the same."""
+    return cut(keyed.select("vec").distinct().select(F.monotonically_increasing_id().alias("id"), "vec", *_named()))
 
 
-def members(keyed: DataFrame) -> DataFrame:
+def members(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     """(id, key) of every key, repeated rows once."""
-    return keyed.select(F.xxhash64("vec").alias("id"), "key").distinct()
+    return keyed.select(*_named(), "key").distinct().join(distinct.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "key")
 
 
 def heads(member: DataFrame, k: int = K) -> DataFrame:
-    """(id, keys): the first k + 1 keys of each group; salted, so no task sorts a hot group."""
-    few = F.slice(F.array_sort(F.collect_list("key")), 1, k + 1)
-    salted = member.groupBy("id", F.pmod(F.xxhash64("key"), F.lit(1024)).alias("salt")).agg(few.alias("keys"))
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("keys"))), 1, k + 1)
-    return salted.groupBy("id").agg(merged.alias("keys"))
+    """(id, keys): the first k + 1 keys of each group; a map task sends k + 1 keys of a group at most."""
+    first = F.row_number().over(Window.partitionBy("id").orderBy("key"))
+    return member.withColumn("r", first).where(F.col("r") <= k + 1).groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
 
 
 def nearest(event_vectors: DataFrame, vectors_index: DataFrame, k: int = K, width: int = WIDTH, **index) -> tuple[DataFrame, DataFrame]:
     """(id, near) of the distinct vectors and (id, key) of their members."""
     keyed = usable(keyed_vectors(event_vectors, vectors_index), width)
-    return knn_join(distinct_vectors(keyed).select("id", "vec"), width, k, **index), members(keyed)
+    distinct = distinct_vectors(keyed)
+    return knn_join(distinct.select("id", "vec"), width, k, **index), members(keyed, distinct)
 
 
 def key_lists(near: DataFrame, member: DataFrame, least: float | None = None, k: int = K) -> DataFrame:

@@ -48,6 +48,13 @@ _LEAKS = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": """
+            WITH v AS (SELECT DISTINCT event_id || '#' || chunk_seq AS key, embedding::DOUBLE[] AS e FROM event_vectors WHERE len(embedding) = 64
+                UNION SELECT 'vec#' || vec_rowid, embedding::DOUBLE[] FROM vectors_index WHERE len(embedding) = 64),
+            g AS (SELECT key, e FROM v WHERE key IS NOT NULL AND list_dot_product(e, e) > 0 AND NOT isnan(list_sum(e)) AND NOT isinf(list_sum(e))),
+            n AS (SELECT a.key AS x, b.key AS y, list_cosine_similarity(a.e, b.e) AS c FROM g a JOIN g b ON a.key <> b.key),
+            t AS (SELECT x, y, c FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS r FROM n) WHERE r <= 10 AND c >= 0.9)
+            SELECT DISTINCT least(x, y) AS key_a, greatest(x, y) AS key_b FROM t""",
         "p7_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
         "p7_items": _LEAKS + """, l AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
             SELECT item_id, min(suite) AS suite, min(task) AS task, n_docs FROM (SELECT item_id, count(*) AS n_docs FROM l GROUP BY 1) JOIN eval_items USING (item_id) GROUP BY item_id, n_docs""",

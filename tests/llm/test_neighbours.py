@@ -100,6 +100,26 @@ def test_lists_of_every_key(spark):
         assert np.allclose([x[2] for x in got[f"{e}#0"]], np.sort(s[n])[::-1][:10], atol=1e-5)
 
 
+def test_lists_are_of_one_size(spark, monkeypatch):
+    """Lists grow in number, not in size; visits stay the same."""
+    monkeypatch.setattr(N, "LIST_SIZE", 100)
+    m = clustered(1200, 7)
+    vecs = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(m)], "id long, vec binary")
+    for n in (150, 600, 1200):
+        index = N.fit_index(vecs.where(f"id < {n}"))
+        assert len(index.centroids) == n // 100 and index.probes == min(N.PROBES, n // 100)
+
+
+def test_numbers_tell_vectors_apart(spark):
+    m = clustered(20, 8)
+    ev, vi = frames(spark, [(f"e{i}", s, m[i % 7]) for i in range(20) for s in (0, 0)], [(i, m[i]) for i in range(7)])
+    keyed = N.usable(N.keyed_vectors(ev, vi))
+    distinct = N.distinct_vectors(keyed)
+    got = N.members(keyed, distinct).join(distinct, "id").collect()
+    assert distinct.count() == 7 and len(got) == 27 and len({r.id for r in got}) == 7
+    assert all(bytes(r.vec) == m[int(r.key.split("#")[0][1:]) % 7].tobytes() for r in got if r.key[0] == "e")
+
+
 def test_empty(spark):
     ev, vi = frames(spark, [])
     assert rows(N.neighbours_found(ev, vi)) == []
