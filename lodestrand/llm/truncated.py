@@ -2,12 +2,12 @@
 
 Two kinds of evidence, over whole texts of all documents:
 
-* Prefix self-join (the method named): the distinct texts, without a trailing mark of
-  omission, are sorted by a range partitioning. A text that is a strict prefix of any
-  other is one of its direct successor in that order, so neighbours in the sorted
-  partitions, and one boundary row a partition, give every such text without pairing a
-  group with itself. The successor's next character tells whether the cut went through
-  a word or sentence.
+* Prefix self-join (the method named). A text without its trailing mark of omission is its
+  core. Of every core the prefixes of 1, 4, 16, 64, ... characters are hashed; a core joins
+  the texts that share its longest such prefix, which gives them the lengths to look at, and
+  the hash of exactly that many characters then tells a strict prefix of a longer text. Only
+  hashes are shuffled, but for the texts that share a prefix with a shorter core. The longer
+  text's next character tells whether the cut went through a word or line.
 * The tail itself. A cut text whose longer copy is not in the corpus can't be found by
   a prefix join, so the end is parsed: a mark of omission, an open code block, open
   JSON, an open table row, or prose that stops inside a word or sentence.
@@ -15,6 +15,8 @@ Two kinds of evidence, over whole texts of all documents:
 A text is truncated when its tail is open, or when a longer copy shows that a tail that
 looks complete (a list item, link, heading, table row) goes on within a word or line.
 
+Each text is read by Python once; what it gives is written to the shared folder.
+
 Defined cases: null, empty and blank texts are not truncated; trailing white space is
 ignored; the same text under several ids is judged alike; ties and repeated rows give
 each id once; a null source is reported as null.
@@ -26,20 +28,17 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import regex
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.tables import cut
 
-LEAST_PREFIX = 20  # characters a shared prefix must have to count as a copy
-_MOST_SEEN = 500_000  # digests a task remembers at once; forgetting only sends a copy again
-_MOST_MARK = 200  # no mark of omission is longer; white space before it is stripped apart
-
-_MARK = re.compile(
-    r"(?:\s*(?:[\[(<{]\s*(?:…|\.{3,}|(?:text |output |content |message |rest |remainder )?(?:was |is )?(?:truncated|cut(?: off| short)?|snip(?:ped)?|omitted|abbreviated|shortened|continued|more|gekürzt|abgeschnitten|tronqué|coupé|truncado|recortado|cortado|截断|已截断|省略|下略|未完)[^\])>}\n]{0,60})\s*[\])>}]"
-    r"|(?:…|\.{3,}|⋯)\s*(?:\(?(?:truncated|more|continued|cut)\)?)?|\b(?:read more|show more|see more)(?:…|\.{3})?))\s*$",
-    re.I,
+# matched from the end of the text backwards
+_MARK = regex.compile(
+    r"(?ri)(?:\s*(?:[\[(<{]\s*(?:…|\.{3,}|(?:text |output |content |message |rest |remainder )?(?:was |is )?(?:truncated|cut(?: off| short)?|snip(?:ped)?|omitted|abbreviated|shortened|continued|more|gekürzt|abgeschnitten|tronqué|coupé|truncado|recortado|cortado|截断|已截断|省略|下略|未完)[^\])>}\n]*)\s*[\])>}]"
+    r"|(?:…|\.{3,}|⋯)\s*(?:\(?(?:truncated|more|continued|cut)\)?)?|\b(?:read more|show more|see more)(?:…|\.{3})?))\s*$"
 )
 _CLOSERS = "”\"'’)]}」』】》）*_`~»›"
 _STOPS = ".!?。！？؟।…"
@@ -54,8 +53,7 @@ _GREETING = re.compile(r"(?i)^(?:thanks|thank you|cheers|regards|best(?: regards
 def without_mark(text: str) -> tuple[str, bool]:
     """The text without trailing space and mark of omission, and whether there was a mark."""
     bare = text.rstrip()
-    at = max(0, len(bare) - _MOST_MARK)  # a mark ends the text and is shorter than this
-    m = _MARK.search(bare, at)
+    m = _MARK.match(bare)
     return (bare[: m.start()].rstrip(), True) if m and m.start() > 0 else (bare, False)
 
 
@@ -107,6 +105,8 @@ def tail_state(text: str | None) -> str:
         return "loose"
     if re.match(r"^[a-z]+\([^)\n]*\)!?:\s\S", last) and len(last) <= 100:
         return "loose"
+    if any(_GREETING.match(g) and len(g) <= 40 and all(len(x) <= 60 for x in lines[-i:]) for i, g in enumerate(reversed(lines[-4:])) if i):
+        return "loose"  # name, place or firm under a greeting
     own_paragraph = len(lines) == 1 or not lines[-2].strip()
     if _SUBJECT.match(last) and own_paragraph and len(last) <= 100:
         return "loose"
@@ -115,106 +115,73 @@ def tail_state(text: str | None) -> str:
     return "open"
 
 
-_HIT = "h long, goes_on boolean, pid int, edge int, core string"
-
-
-def _key_hash(text: str) -> int:
-    import xxhash
+STEP = 4  # each hashed prefix is so many times as long as the one before
 
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
+def _hash(text: str) -> int:
+    """The same as Spark's xxhash64 of the string."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
 
-def _goes_on(core: str, longer: str) -> bool:
-    """The cut between ``core`` and the longer copy lies within a word or line."""
-    nxt = longer[len(core) : len(core) + 1]
-    return bool(core) and (core[-1].isalnum() and nxt.isalnum() or nxt not in "\n\r")
 
-
-def prefix_hits(documents: DataFrame, text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """(h, goes_on): hash of every text that is a strict prefix of another; goes_on: cut within a word or line."""
-    spark = documents.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-    def core_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        seen: set[bytes] = set()  # copies within a task go on once, so a hot text is a row a task
-        for b in batches:
-            kept = []
-            for t in b.text:
-                c = without_mark(t)[0]
-                d = xxhash.xxh3_128_digest(c.encode("utf-8", "surrogatepass"))
-                if c and d not in seen:
-                    kept.append(c)
-                    seen.add(d)
-            if len(seen) > _MOST_SEEN:
-                seen.clear()
-            yield pd.DataFrame({"core": kept})
-
-    cores = documents.select(F.col(text_col).alias("text")).where("text is not null").mapInPandas(core_of, "core string")
-    ordered = cores.repartitionByRange(n, "core").sortWithinPartitions("core")
-
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = TaskContext.get().partitionId()
-        before, first, rows = None, None, []
-        for b in batches:
-            for text in b.core:
-                if text == before:
-                    continue
-                if before is None:
-                    first = text
-                elif len(before) >= LEAST_PREFIX and text.startswith(before):
-                    rows.append((_key_hash(before), _goes_on(before, text), pid, 0, None))
-                before = text
-            yield pd.DataFrame(rows, columns=["h", "goes_on", "pid", "edge", "core"])
-            rows = []
-        if before is not None:  # one row for each end of the partition
-            ends = [(None, None, pid, -1, first), (None, None, pid, 1, before)]
-            yield pd.DataFrame(ends, columns=["h", "goes_on", "pid", "edge", "core"])
-
-    found = cut(ordered.mapInPandas(neighbours, _HIT))
-    # two rows a partition, whatever the size of the corpus
-    w = Window.orderBy("pid", "edge")
-    ends = found.where("edge <> 0").withColumn("next", F.lead("core").over(w)).where("edge = 1 and next is not null")
-
-    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hit = [(_key_hash(a), _goes_on(a, z)) for a, z in zip(b.core, b.next) if a != z and len(a) >= LEAST_PREFIX and z.startswith(a)]
-            yield pd.DataFrame(hit, columns=["h", "goes_on"])
-
-    bounds = ends.select("core", "next").mapInPandas(across, "h long, goes_on boolean")
-    inner = found.where("edge = 0").select("h", "goes_on")
-    return inner.unionByName(bounds).groupBy("h").agg(F.max("goes_on").alias("goes_on"))
+def ladder(core: str) -> list[int]:
+    """Hashes of the prefixes of 1, STEP, STEP ** 2, ... characters that the text has."""
+    out, n = [], 1
+    while n <= len(core):
+        out.append(_hash(core[:n]))
+        n *= STEP
+    return out
 
 
 def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, tail, h): how each text ends and the hash of its text without mark."""
+    """(doc_id, source, n, tail, core_n, h, ladder): how each text ends; length, hash and prefix hashes of its core."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [None if t is None else str(t) for t in b.text]
+            cores = ["" if t is None else without_mark(t)[0] for t in texts]
             yield pd.DataFrame(
                 {
                     "doc_id": b.doc_id,
                     "source": b.source,
+                    "n": pd.array([None if t is None else len(t) for t in texts], "Int64"),
                     "tail": [tail_state(t) for t in texts],
-                    "h": [0 if not t else _key_hash(without_mark(t)[0]) for t in texts],
+                    "core_n": [len(c) for c in cores],
+                    "h": [_hash(c) for c in cores],
+                    "ladder": [ladder(c) for c in cores],
                 }
             )
 
-    some = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    some = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).cast("string").alias("text"))
     kind = dict(some.dtypes)["doc_id"]
-    return some.mapInPandas(run, f"doc_id {kind}, source string, tail string, h long")
+    return some.mapInPandas(run, f"doc_id {kind}, source string, n long, tail string, core_n int, h long, ladder array<long>")
+
+
+def prefix_hits(documents: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(core_n, h, goes_on): every core that is a strict prefix of another; goes_on: the other goes on in the same line."""
+    # a copied text counts once
+    cores = judged.where("core_n > 0").groupBy("core_n", "h").agg(F.min_by(F.struct("doc_id", "ladder"), "doc_id").alias("r")).select("core_n", "h", "r.doc_id", "r.ladder")
+    short = cores.groupBy((F.size("ladder") - 1).alias("level"), F.element_at("ladder", -1).alias("key")).agg(F.collect_set("core_n").alias("lengths"))  # fewer than STEP ** (level + 1)
+    long = cores.select("doc_id", "core_n", "h", F.posexplode("ladder").alias("level", "key"))
+    asked = long.join(short, ["level", "key"]).select("doc_id", F.col("core_n").alias("own_n"), F.col("h").alias("own"), F.filter("lengths", lambda x: x < F.col("core_n")).alias("lengths"))
+    asked = asked.where(F.size("lengths") > 0)
+    texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(asked, "doc_id")
+    same = texts.where(F.xxhash64(F.expr("substring(text, 1, own_n)")) == F.col("own")).select("text", F.explode("lengths").alias("core_n"))
+    heads = same.select("core_n", F.xxhash64(F.expr("substring(text, 1, core_n)")).alias("h"), (~F.expr("substring(text, core_n + 1, 1)").isin("\n", "\r")).alias("goes_on"))
+    found = heads.groupBy("core_n", "h").agg(F.max("goes_on").alias("goes_on"))
+    return found.join(cores.select("core_n", "h"), ["core_n", "h"], "left_semi")
 
 
 def truncated_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, tail, has_longer_copy, truncated) of every document."""
+    """(doc_id, source, n, tail, has_longer_copy, truncated) of every document."""
+    judged = cut(judge(documents))
     return (
-        judge(documents)
-        .join(prefix_hits(documents), "h", "left")
+        judged.select("doc_id", "source", "n", "tail", "core_n", "h")
+        .join(prefix_hits(documents, judged), ["core_n", "h"], "left")
         .select(
             "doc_id",
             "source",
+            "n",
             "tail",
             F.col("goes_on").isNotNull().alias("has_longer_copy"),
             ((F.col("tail") == "open") | ((F.col("tail") == "loose") & F.coalesce("goes_on", F.lit(False)))).alias("truncated"),
@@ -233,14 +200,13 @@ def united_source(col) -> F.Column:
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:
-    """(source, n_docs, n_truncated, rate, usual_limit): how often each source truncates and at which length most."""
-    d = truncated_documents(documents).join(
-        documents.select("doc_id", F.char_length("text").alias("n")), "doc_id"
-    ).withColumn("source", united_source(F.col("source")))
-    limits = d.where("truncated").groupBy("source", "n").agg(F.count("*").alias("c"))
-    usual = limits.groupBy("source").agg(F.max(F.struct("c", F.col("n").alias("at")))["at"].alias("usual_limit"))
-    rates = d.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("truncated").cast("long")).alias("n_truncated"))
-    return (
-        rates.join(usual, rates.source.eqNullSafe(usual.source), "left")
-        .select(rates.source, "n_docs", "n_truncated", (F.col("n_truncated") / F.col("n_docs")).alias("rate"), "usual_limit")
-    )
+    """(source, n_docs, n_truncated, n_by_copy, n_by_tail, rate, usual_limit): how often each source truncates, by which evidence, and at which length most.
+
+    A truncated text counts by copy where a longer one is there, else by its tail.
+    """
+    d = truncated_documents(documents).withColumn("source", united_source(F.col("source")))
+    t = F.col("truncated").cast("long")
+    per = d.groupBy("source", "n").agg(F.count("*").alias("c"), F.sum(t).alias("t"), F.sum(t * F.col("has_longer_copy").cast("long")).alias("by_copy"))
+    usual = F.max(F.when(F.col("t") > 0, F.struct("t", "n")))["n"]
+    rates = per.groupBy("source").agg(F.sum("c").alias("n_docs"), F.sum("t").alias("n_truncated"), F.sum("by_copy").alias("n_by_copy"), usual.alias("usual_limit"))
+    return rates.select("source", "n_docs", "n_truncated", "n_by_copy", (F.col("n_truncated") - F.col("n_by_copy")).alias("n_by_tail"), (F.col("n_truncated") / F.col("n_docs")).alias("rate"), "usual_limit")
