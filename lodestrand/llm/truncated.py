@@ -115,6 +115,7 @@ def tail_state(text: str | None) -> str:
     return "open"
 
 
+BROADCAST_IDS = 2_000_000  # at 8 bytes each
 STEP = 4  # each hashed prefix is so many times as long as the one before
 
 
@@ -164,8 +165,11 @@ def prefix_hits(documents: DataFrame, judged: DataFrame, id_col: str = "doc_id",
     short = cores.groupBy((F.size("ladder") - 1).alias("level"), F.element_at("ladder", -1).alias("key")).agg(F.collect_set("core_n").alias("lengths"))  # fewer than STEP ** (level + 1)
     long = cores.select("doc_id", "core_n", "h", F.posexplode("ladder").alias("level", "key"))
     asked = long.join(short, ["level", "key"]).select("doc_id", F.col("core_n").alias("own_n"), F.col("h").alias("own"), F.filter("lengths", lambda x: x < F.col("core_n")).alias("lengths"))
-    asked = asked.where(F.size("lengths") > 0)
-    texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(asked, "doc_id")
+    asked = cut(asked.where(F.size("lengths") > 0))
+    texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if asked.count() <= BROADCAST_IDS:  # then only the texts asked for are shuffled; beyond, all are
+        texts = texts.join(F.broadcast(asked.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = texts.join(asked, "doc_id")
     same = texts.where(F.xxhash64(F.expr("substring(text, 1, own_n)")) == F.col("own")).select("text", F.explode("lengths").alias("core_n"))
     heads = same.select("core_n", F.xxhash64(F.expr("substring(text, 1, core_n)")).alias("h"), (~F.expr("substring(text, core_n + 1, 1)").isin("\n", "\r")).alias("goes_on"))
     found = heads.groupBy("core_n", "h").agg(F.max("goes_on").alias("goes_on"))

@@ -28,7 +28,7 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t, s, None, "x") for i, (t, s) in enumerate(texts)], DOC)
 
 
-def test_prefix_join(spark):
+def test_prefix_join(spark, monkeypatch):
     r = random.Random(1)
     long = [" ".join(r.choice(["red", "green", "blue", "日志"]) for _ in range(60)) + "." for _ in range(80)]
     texts = [(t, "a") for t in long]
@@ -39,6 +39,8 @@ def test_prefix_join(spark):
     cores = {T.without_mark(t)[0] for t, _ in texts if t}
     want = {(len(c), T._hash(c)) for c in cores if any(o != c and o.startswith(c) for o in cores)}
     assert set(hits) == want and len(want) >= 40 and all(hits.values())
+    monkeypatch.setattr(T, "BROADCAST_IDS", 0)
+    assert {(x.core_n, x.h): x.goes_on for x in T.prefix_hits(docs, T.judge(docs)).collect()} == hits
 
 
 def test_hash_is_sparks(spark):
