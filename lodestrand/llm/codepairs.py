@@ -3,19 +3,26 @@
 Method. Signatures are detected with regular expressions per language family;
 bodies are delimited by an indentation stack (Python) or by a stack of opening
 and closing braces, respectively end keywords, with strings and comments skipped;
-a comment is attached when it ends on the line straight above the definition
-(annotations may stand between), a Python docstring when it is the first statement
-of the body. Qualified names come from the stack of enclosing classes.
+a comment is attached when it ends at most ``distance`` lines above the definition (1: on
+the line straight above; annotations may stand between), a Python docstring when it is the
+first statement of the body; it goes before a comment. Qualified names come from the stack
+of enclosing classes.
 
 Each file is read alone, so the extraction is a narrow transformation. The pairing
 with ``code_entities`` is an equi-join on the entity id; files enter it as extracted
 rows (id, signature, doc), never as contents. Hot files or repeated rows are reduced
-per key before the join.
+per key before the join. A listed docstring is the wording that counts; ``origin`` tells
+whether the extraction found the documentation in the file.
+
+Whether documentation is real is scored: words that say something of their own count 1,
+those of the name and those without content (grammar, vague words, words about the
+documentation or its state) nothing; one word is enough.
 
 Defined cases: null or empty content gives no pair; a body that is never closed ends
 with the file; nested definitions are listed with their own name; repeated rows give
 one pair; extra columns are ignored; when an id is defined twice in a file the first
-definition with documentation counts.
+definition with documentation counts; a signature whose brackets never close ends with its
+first line.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,36 +86,68 @@ def _read_string(lines: list[str], at: int) -> tuple[str, int] | None:
         k, rest = k + 1, lines[k + 1]
 
 
-def _signature_end(lines: list[str], at: int, closer: str, most: int = 200) -> tuple[str, int]:
-    """The signature's text on one line and the line on which its brackets close before ``closer``."""
+# a line that can't stand inside a signature's brackets: the signature was never closed
+_NEXT_PY = re.compile(r"^[ \t]*(?:async[ \t]+def|def|class|return|import|from|if|for|while|try|with)\b")
+
+
+def _signature_end(lines: list[str], at: int) -> tuple[str, int]:
+    """A Python signature's text on one line and the line on which its brackets close before the colon."""
     depth, parts = 0, []
-    for k in range(at, min(len(lines), at + most)):
+    for k in range(at, len(lines)):
         line, quote = lines[k], ""
+        if k > at and _NEXT_PY.match(line):
+            break
         for j, c in enumerate(line):
             if quote:
                 quote = "" if c == quote and line[j - 1] != "\\" else quote
             elif c in "\"'":
                 quote = c
-            elif c in "([" or c == "{" and closer != "{":
+            elif c in "([{":
                 depth += 1
-            elif c in ")]" or c == "}" and closer != "{":
+            elif c in ")]}":
                 depth -= 1
-            elif c == "#" and closer == ":":
+            elif c == "#":
                 line = line[:j]
                 break
-            elif c == closer and depth <= 0:
+            elif c == ":" and depth <= 0:
                 parts.append(line[:j])
                 return _tidy(" ".join(parts)), k
         parts.append(line)
     return _tidy(parts[0]), at
 
 
+class _Openings:
+    """Where the signatures of a text of blanked lines end: at the first opening brace or semicolon outside their brackets."""
+
+    def __init__(self, code: list[str]):
+        self.code, text = code, "\n".join(code)
+        self.text = text
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        up, down = np.isin(chars, [ord("("), ord("[")]), np.isin(chars, [ord(")"), ord("]")])
+        self.depth = np.concatenate([[0], np.cumsum(up.astype(np.int32) - down.astype(np.int32))])
+        self.ends = np.flatnonzero((chars == ord("{")) | (chars == ord(";")))
+        self.starts = np.concatenate([[0], np.cumsum([len(line) + 1 for line in code])])
+
+    def after(self, k: int) -> tuple[str, int]:
+        """The signature's text on one line, and the line on which it ends."""
+        at = self.starts[k]
+        lo, width = int(np.searchsorted(self.ends, at)), 64
+        while lo < len(self.ends):
+            some = self.ends[lo : lo + width]
+            hit = np.flatnonzero(self.depth[some] <= self.depth[at])
+            if len(hit):
+                end = int(some[hit[0]])
+                return _tidy(self.text[at:end]), int(np.searchsorted(self.starts, end, side="right")) - 1
+            lo, width = lo + width, width * 2
+        return _tidy(self.code[k]), k
+
+
 def _tidy(signature: str) -> str:
     """On one line, as if it had been written on one."""
     return re.sub(r",?\s*\)", ")", re.sub(r"\(\s+", "(", re.sub(r"\s+", " ", signature))).strip()
 
 
-def _python(lines: list[str]) -> list[dict]:
+def _python(lines: list[str], distance: int = 1) -> list[dict]:
     out: list[dict] = []
     stack: list[tuple[int, str, str, int]] = []  # indent, kind, qualified name, place in out
     k = 0
@@ -142,7 +182,7 @@ def _python(lines: list[str]) -> list[dict]:
         owner = next((s for s in reversed(stack)), None)
         kind = "class" if m[2] == "class" else "method" if owner and owner[1] == "class" else "function"
         qualified = f"{owner[2]}.{m[3]}" if owner and owner[1] == "class" else m[3]
-        signature, end = _signature_end(lines, k, ":")
+        signature, end = _signature_end(lines, k)
         doc, j = None, end + 1
         while j < len(lines) and not lines[j].strip():
             j += 1
@@ -152,6 +192,8 @@ def _python(lines: list[str]) -> list[dict]:
             if got:
                 doc, j = got
                 end = j
+        if doc is None or not doc.strip():
+            doc = _comment_above(lines, k, distance) or doc
         out.append({"name": qualified, "kind": kind, "signature": signature, "doc": doc, "line_start": k + 1, "line_end": None})
         stack.append((indent, "class" if kind == "class" else "def", qualified, len(out) - 1))
         last = end + 1
@@ -161,10 +203,10 @@ def _python(lines: list[str]) -> list[dict]:
 
 
 # --- brace and end-keyword languages --------------------------------------------------------
-def _comment_above(lines: list[str], at: int) -> str | None:
-    """The comment that ends straight above line ``at``; annotations may stand between."""
-    k = at - 1
-    while k >= 0 and re.match(r"^\s*(?:@\w|#\[|\[[A-Z]\w*)", lines[k]):
+def _comment_above(lines: list[str], at: int, distance: int = 1) -> str | None:
+    """The comment that ends at most ``distance`` lines above line ``at``; annotations may stand between."""
+    k, blank = at - 1, 0
+    while k >= 0 and (re.match(r"^\s*(?:@\w|#\[|\[[A-Z]\w*)", lines[k]) or not lines[k].strip() and (blank := blank + 1) < distance):
         k -= 1
     if k < 0:
         return None
@@ -223,9 +265,10 @@ def _blank_out(lines: list[str], strings: str) -> list[str]:
     return out
 
 
-def _braces(lines: list[str], ext: str) -> list[dict]:
+def _braces(lines: list[str], ext: str, distance: int = 1) -> list[dict]:
     out: list[dict] = []
     code = _blank_out(lines, "\"'`" if ext not in ("rs",) else '"')
+    openings = _Openings(code)
     stack: list[tuple[str, str, int]] = []  # kind, name, place in out; one entry per open brace
     pending: tuple[str, str, int] | None = None
     for k, line in enumerate(code):
@@ -234,8 +277,8 @@ def _braces(lines: list[str], ext: str) -> list[dict]:
         c = _CLASS.match(line)
         if c and not inside_def:
             name = c[1]
-            signature, _ = _signature_end(code, k, "{")
-            out.append({"name": name, "kind": "class", "signature": signature, "doc": _comment_above(lines, k), "line_start": k + 1, "line_end": None})
+            signature, _ = openings.after(k)
+            out.append({"name": name, "kind": "class", "signature": signature, "doc": _comment_above(lines, k, distance), "line_start": k + 1, "line_end": None})
             pending = ("class", name, len(out) - 1)
         elif not inside_def or re.match(r"^\s*(?:async\s+)?function\b|^\s*func\s+\w", line):
             for n, rx in enumerate(_BRACE_DEFS):
@@ -243,7 +286,7 @@ def _braces(lines: list[str], ext: str) -> list[dict]:
                     continue
                 if not (m := rx.match(line)):
                     continue
-                signature, end = _signature_end(code, k, "{")
+                signature, end = openings.after(k)
                 opened = "{" in code[end] or n == 2
                 if n in (3, 4, 5) and not opened and ";" not in code[end]:
                     continue
@@ -254,7 +297,7 @@ def _braces(lines: list[str], ext: str) -> list[dict]:
                 holder = recv or (owner[1] if owner and owner[0] == "class" else None)
                 out.append(
                     {"name": f"{holder}.{name}" if holder else name, "kind": "method" if holder else "function", "signature": signature,
-                     "doc": _comment_above(lines, k), "line_start": k + 1, "line_end": k + 1 if not opened else None}
+                     "doc": _comment_above(lines, k, distance), "line_start": k + 1, "line_end": k + 1 if not opened else None}
                 )
                 pending = ("def", name, len(out) - 1) if opened else None
                 break
@@ -275,7 +318,7 @@ def _braces(lines: list[str], ext: str) -> list[dict]:
 _OPENERS = re.compile(r"^\s*(?:class|module|def|if|unless|while|until|case|begin|for|function|local\s+function)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$")
 
 
-def _ended(lines: list[str]) -> list[dict]:
+def _ended(lines: list[str], distance: int = 1) -> list[dict]:
     """Languages whose bodies close with an ``end`` keyword."""
     out: list[dict] = []
     stack: list[tuple[str, str, int]] = []
@@ -290,11 +333,11 @@ def _ended(lines: list[str]) -> list[dict]:
             continue
         owner = next((s for s in reversed(stack) if s[0] == "class"), None)
         if c := re.match(r"^\s*(?:class|module)\s+([A-Z]\w*)", bare):
-            out.append({"name": c[1], "kind": "class", "signature": line.strip(), "doc": _comment_above(lines, k), "line_start": k + 1, "line_end": None})
+            out.append({"name": c[1], "kind": "class", "signature": line.strip(), "doc": _comment_above(lines, k, distance), "line_start": k + 1, "line_end": None})
             stack.append(("class", c[1], len(out) - 1))
         elif m := _WORD_DEFS.match(bare.replace("local function", "function")):
             name = f"{owner[1]}.{m[1]}" if owner else m[1]
-            out.append({"name": name, "kind": "method" if owner else "function", "signature": line.strip(), "doc": _comment_above(lines, k), "line_start": k + 1, "line_end": None})
+            out.append({"name": name, "kind": "method" if owner else "function", "signature": line.strip(), "doc": _comment_above(lines, k, distance), "line_start": k + 1, "line_end": None})
             if not re.search(r"\bend\s*$", bare):
                 stack.append(("def", m[1], len(out) - 1))
         elif _OPENERS.search(bare) and not re.search(r"\bend\s*$", bare):
@@ -305,15 +348,15 @@ def _ended(lines: list[str]) -> list[dict]:
     return out
 
 
-def extract(text: str | None, path: str | None) -> list[dict]:
+def extract(text: str | None, path: str | None, distance: int = 1) -> list[dict]:
     """Definitions of one file: name, kind, signature, doc (raw or None), line_start, line_end."""
     if not text:
         return []
     ext = (path or "").rsplit(".", 1)[-1].lower()
     lines = _lines(text)
     if ext in _PYTHON:
-        return _python(lines)
-    return _ended(lines) if ext in _ENDED else _braces(lines, ext)
+        return _python(lines, distance)
+    return _ended(lines, distance) if ext in _ENDED else _braces(lines, ext, distance)
 
 
 # --- is a documentation real? ---------------------------------------------------------------
@@ -331,7 +374,15 @@ _EMPTY = re.compile(
     r"|@?\{?@?inheritdoc\}?|(?:override|overridden|inherited)(?: method)?|auto-?generated.*)$",
     re.I,
 )
-_FILLER = {"the", "a", "an", "this", "that", "function", "method", "routine", "procedure", "does", "do", "to", "of", "for", "is", "it", "helper", "class", "and", "will", "implementation", "implements", "performs", "perform", "executes", "called", "named", "runs", "run", "our", "its"}
+# words without content of their own: grammar, vague words, words about the documentation and its state
+_FILLER = set(
+    "the a an this that these those some any all each every no not only just also here there it its itself our your my their his her we you they i me one ones"
+    " is are was be been being has have had do does did done doing will would can could should shall may might must to of for in on at by with from as into and or but if then than so such per via etc"
+    " function functions method methods routine procedure helper util utility class object implementation implements implement performs perform executes execute execution called call calls named name runs run works work working"
+    " thing things stuff misc miscellaneous various something anything somehow whatever other others foo bar baz blah"
+    " todo fixme xxx tbd wip hack placeholder stub dummy temp temporary text doc docs documentation docstring description describe comment comments note notes documented undocumented"
+    " now later soon yet still finished unfinished incomplete implemented unimplemented needed needs missing added add write written fill filled better properly".split()
+)
 
 
 def _words(text: str) -> list[str]:
@@ -386,16 +437,20 @@ def is_real(doc: str | None, name: str) -> bool:
     text = " ".join(said)
     if re.search(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]", text):
         return True
-    mine = {_stem(w) for w in _words(own)} | {_stem(w) for w in _words((name or "").replace(".", " "))}
-    beyond = [w for w in _words(text) if _stem(w) not in mine and w not in _FILLER]
-    return len(beyond) >= 1
+    return said_beyond(text, name) >= 1
+
+
+def said_beyond(text: str, name: str | None) -> int:
+    """How many different words of ``text`` say something beyond the name."""
+    mine = {_stem(w) for w in _words((name or "").split(".")[-1])} | {_stem(w) for w in _words((name or "").replace(".", " "))}
+    return len({_stem(w) for w in _words(text) if w not in _FILLER} - mine)
 
 
 # --- operators ------------------------------------------------------------------------------
 PAIR = "file_path string, name string, kind string, signature string, doc string, line_start int, line_end int"
 
 
-def extract_pairs(raw: DataFrame, text_col: str = "content", files_col: str = "files_mentioned") -> DataFrame:
+def extract_pairs(raw: DataFrame, text_col: str = "content", files_col: str = "files_mentioned", distance: int = 1) -> DataFrame:
     """Every definition of every source file: (file_path, name, kind, signature, doc, line_start, line_end)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -404,7 +459,7 @@ def extract_pairs(raw: DataFrame, text_col: str = "content", files_col: str = "f
             rows = [
                 (path, d["name"], d["kind"], d["signature"], d["doc"], d["line_start"], d["line_end"])
                 for path, text in zip(b.file_path, b.content)
-                for d in extract(text, path)
+                for d in extract(text, path, distance)
             ]
             out = pd.DataFrame(rows, columns=cols)
             yield out.astype({"line_start": "Int32", "line_end": "Int32"})
@@ -422,8 +477,9 @@ def _real(doc: pd.Series, name: pd.Series) -> pd.Series:
 def documented_pairs(raw: DataFrame, entities: DataFrame) -> DataFrame:
     """Code-description pairs of the listed functions and methods, without trivial ones.
 
-    Columns: entity_id, name, signature, docstring, line_start, line_end. The listed
-    docstring and signature win; the file gives them where they are null.
+    Columns: entity_id, name, signature, docstring, line_start, line_end, origin. The listed
+    docstring and signature win; the file gives them where they are null. ``origin`` is file
+    where the extraction found documentation, listed where only the table has it.
     """
     listed = (
         entities.where(F.col("type").isin("function", "method") & F.col("id").isNotNull())
@@ -448,6 +504,7 @@ def documented_pairs(raw: DataFrame, entities: DataFrame) -> DataFrame:
             F.coalesce("listed_doc", "f.doc").alias("docstring"),
             "f.line_start",
             "f.line_end",
+            F.when(F.trim("f.doc") != "", "file").otherwise("listed").alias("origin"),
         )
         .where(F.col("docstring").isNotNull())
         .where(_real(F.col("docstring"), F.coalesce("name", F.lit("")).cast(StringType())))

@@ -82,7 +82,7 @@ def test_python():
     assert set(d) == {"plain", "split", "inner", "bare", "Box", "Box.get", "Box.Deep", "Box.Deep.dig"} or set(d) >= {"plain", "split", "bare", "Box", "Box.get"}
     assert d["plain"]["doc"] == "Says\n    much more." and d["plain"]["line_start"] == 5 and d["plain"]["line_end"] == 8
     assert d["split"]["doc"] == "Keeps odd rows." and d["split"]["signature"].startswith("def split(a: int = 3")
-    assert d["bare"]["doc"] is None and d["bare"]["kind"] == "function" and "ghost" not in d
+    assert d["bare"]["doc"] == "# not a docstring" and d["bare"]["kind"] == "function" and "ghost" not in d
     assert d["Box.get"]["kind"] == "method"
     assert d["Box"]["kind"] == "class" and d["Box"]["doc"] == "A class."
 
@@ -115,6 +115,7 @@ def test_odd_texts(text):
         ("See above.", "f", False), ("The run job function.", "runJob", False), ("Does run job.", "run_job", False), ("run_job", "run_job", False),
         ("Run job.", "A.run_job", False), ("FIXME\n\nArgs:\n    a: a", "f", False), ("/**\n * @param a the a\n */", "f", False),
         ("Parameters: a, b", "f", False), ("待补充", "f", False), ("n/a", "f", False), ("--------", "f", False),
+        ("Placeholder text for now.", "f", False), ("Does stuff.", "f", False), ("Misc things", "f", False), ("Not done", "f", False), ("To be implemented later.", "load", False),
         ("缓存合并了旧的记录。", "f", True), ("Run job; raises KeyError when it is late.", "run_job", True), ("runJob rejects old rows.", "runJob", True),
         ("Returns pending rows older than the mark.\n@param a b", "f", True), ("TODO\nKeeps the oldest row.", "f", True),
     ],
@@ -123,6 +124,29 @@ def test_is_real(doc, name, real):
     assert P.is_real(doc, name) is real
 
 
+def test_comment_above_python():
+    text = "# Keeps the oldest row.\n@cached\n@other(1)\ndef f(a):\n    return a\n\n# Far away.\n\ndef g(a):\n    return a\n\n# Above.\ndef h(a):\n    \"\"\"Inside.\"\"\"\n"
+    d = by_name(text, "a.py")
+    assert P.prose_of(d["f"]["doc"]) == "Keeps the oldest row." and d["g"]["doc"] is None and d["h"]["doc"] == "Inside."
+    assert {x["name"]: x["doc"] for x in P.extract(text, "a.py", distance=2)}["g"] == "# Far away."
+
+
+@pytest.mark.parametrize(("path", "head", "tail"), [("a.py", "def f(\n", "):\n    \"\"\"Keeps rows.\"\"\"\n"), ("a.js", "// Keeps rows.\nfunction f(\n", ") {\n}\n")])
+def test_signatures_of_any_length(path, head, tail):
+    args = "".join(f"    arg_{i},\n" for i in range(1500))
+    d = by_name(head + args + tail, path)["f"]
+    assert d["signature"].count("arg_") == 1500 and P.prose_of(d["doc"]) == "Keeps rows."
+
+
+@pytest.mark.parametrize(("path", "line"), [("a.py", "def f(a,\n"), ("a.js", "function f(a,\n"), ("a.java", "  public int f(int a,\n"), ("a.c", "int f(int a,\n")])
+def test_unclosed_signatures_do_not_stall(path, line):
+    import time
+
+    at = time.process_time()
+    P.extract(line * 5_000, path)
+    assert time.process_time() - at < 20
+
+
 def test_pairs(spark):
     raw = spark.createDataFrame(
         [
@@ -140,6 +164,7 @@ def test_pairs(spark):
         "id string, name string, type string, signature string, docstring string",
     )
     assert rows(P.pairs_found(raw, ent)) == [("a.py:plain",), ("b.js:mul",), ("gone.py:f",)]
+    assert {r.entity_id: r.origin for r in P.documented_pairs(raw, ent).collect()} == {"a.py:plain": "file", "b.js:mul": "file", "gone.py:f": "listed"}
     one = {r.entity_id: r for r in P.documented_pairs(raw, ent).collect()}["a.py:plain"]
     assert one.signature == "def plain(a, b)" and one.line_start == 5
     assert rows(P.pairs_found(raw.limit(0), ent.limit(0))) == []
