@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -390,6 +391,7 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+@lru_cache(maxsize=65_536)
 def _stem(w: str) -> str:
     for end in ("ing", "ies", "es", "ed", "s"):
         if w.endswith(end) and len(w) - len(end) >= 3:
@@ -420,6 +422,18 @@ def prose_of(doc: str) -> str:
     return "\n".join(kept).strip()
 
 
+_BEHIND_NAME = re.compile(r"(?:\(\))?`?(?=$|[\s:.,\-])[\s:\-–.]*")
+
+
+def _without_name(line: str, own: str) -> str:
+    """A line without the function's name before what it says; no expression is built per name."""
+    at = 1 if line.startswith("`") else 0
+    if not own or not line.startswith(own, at):
+        return line
+    m = _BEHIND_NAME.match(line, at + len(own))
+    return line[m.end() :].strip() if m else line
+
+
 def is_real(doc: str | None, name: str) -> bool:
     """True when the documentation says something about the function beyond its name."""
     if not doc:
@@ -427,7 +441,7 @@ def is_real(doc: str | None, name: str) -> bool:
     own = (name or "").split(".")[-1]
     said = []
     for line in prose_of(doc).split("\n"):
-        line = re.sub(rf"^`?{re.escape(own)}(?:\(\))?`?(?=$|[\s:.,\-])[\s:\-–.]*", "", line.strip()).strip() if own else line.strip()
+        line = _without_name(line.strip(), own)
         bare = line.strip(" \t.:;!?*-=_#~`'\"()[]")
         if not bare or _EMPTY.match(bare) or _EMPTY.match(line):
             continue
