@@ -63,7 +63,8 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"doc_id": b.doc_id, "source": b.source, "n_tokens": _count(list(b.text), tokenizer)})
+                code, texts = pd.factorize(b.text)  # copies are tokenised once a batch
+                yield pd.DataFrame({"doc_id": b.doc_id, "source": b.source, "n_tokens": np.array(_count(list(texts), tokenizer))[code]})
 
     some = documents.where("text is not null and text <> ''").select("doc_id", united(F.col("source")).alias("source"), "text")
     return some.mapInPandas(run, "doc_id long, source string, n_tokens int").where("n_tokens > 0")
@@ -193,3 +194,16 @@ def mix_selection(documents: DataFrame, targets: DataFrame) -> DataFrame:
 def mix_shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """Target, feasible and actual share of every source with a target."""
     return mix(documents, targets)[1]
+
+
+def mix_balance(documents: DataFrame, targets: DataFrame, off: float = 1e-3) -> DataFrame:
+    """(source, target_share, feasible_share, in_share, in_repeats): whether the selection, added up anew, keeps each target.
+
+    ``in_share``: the share of the selected tokens is at most ``off`` from the feasible one.
+    """
+    chosen, report = mix(documents, targets)
+    used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens").cast("long") * F.col("copies")).alias("t"), F.max("copies").alias("c"))
+    all_used = used.agg(F.sum("t").alias("all"))  # one row
+    r = report.select("source", "target_share", "feasible_share", "max_repeats").join(used, "source", "left").join(F.broadcast(all_used))
+    share = F.coalesce(F.try_divide("t", "all"), F.lit(0.0))
+    return r.select("source", F.round("target_share", 9).alias("target_share"), F.round("feasible_share", 9).alias("feasible_share"), (F.abs(share - F.col("feasible_share")) <= off).alias("in_share"), (F.coalesce("c", F.lit(0)) <= F.col("max_repeats")).alias("in_repeats"))

@@ -25,16 +25,19 @@ def queries() -> dict[str, Query]:
         "p1_pairs": lambda s, d: codepairs.documented_pairs(*code(s, d)),
         "p3_found": lambda s, d: split.split_found(*items(s, d)),
         "p3_pieces": lambda s, d: split.split_items(*items(s, d)),
+        "p3_rebuilt": lambda s, d: split.rebuilt(*items(s, d)),
         "p4_found": lambda s, d: neighbours.neighbours_found(*vec(s, d)),
         "p4_neighbours": lambda s, d: neighbours.neighbour_lists(*vec(s, d)),
         "p6_found": lambda s, d: secrets.secrets_found(*raw(s, d)),
         "p6_findings": lambda s, d: secrets.find_secrets(*raw(s, d)).distinct(),
         "p6_redacted": lambda s, d: secrets.redact_secrets(*raw(s, d)).distinct(),
+        "p6_restored": lambda s, d: secrets.restored(*raw(s, d)).select("raw_id", "digest"),
         "p6_rules": lambda s, d: secrets.rule_counts(*raw(s, d)),
         "p7_found": lambda s, d: leaks.leaks_found(*leak(s, d)),
         "p7_items": lambda s, d: leaks.leaked_items(*leak(s, d)),
         "p8_selection": lambda s, d: mix.mix_selection(*mixed(s, d)),
         "p8_shares": lambda s, d: mix.mix_shares(*mixed(s, d)),
+        "p8_balance": lambda s, d: mix.mix_balance(*mixed(s, d)),
         "p9_found": lambda s, d: truncated.truncated_found(*docs(s, d)),
         "p9_rates": lambda s, d: truncated.truncation_rates(*docs(s, d)).withColumn("rate", F.round("rate", 9)),
     }
@@ -58,6 +61,15 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
         "p7_items": _LEAKS + """, l AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
             SELECT item_id, min(suite) AS suite, min(task) AS task, n_docs FROM (SELECT item_id, count(*) AS n_docs FROM l GROUP BY 1) JOIN eval_items USING (item_id) GROUP BY item_id, n_docs""",
+        "p3_rebuilt": """
+            SELECT event_id, CAST(chunk_seq AS BIGINT) AS chunk_seq, length(t) AS n_chars, md5(t) AS digest, TRUE AS within_limit, TRUE AS overlaps
+            FROM (SELECT event_id, chunk_seq, min(chunk_text) AS t FROM event_vectors WHERE length(chunk_text) > 3200 GROUP BY 1, 2)""",
+        "p6_restored": "SELECT DISTINCT id AS raw_id, md5(content) AS digest FROM raw_data WHERE id IS NOT NULL",
+        "p8_balance": r"""
+            WITH t AS (SELECT regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') AS source, sum(target_share) AS target_share FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+            d AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') AS source, TRUE AS here FROM documents WHERE text <> '' AND source IS NOT NULL)
+            SELECT source, round(target_share, 9) AS target_share, round(coalesce(CASE WHEN here THEN target_share END, 0) / sum(CASE WHEN here THEN target_share END) OVER (), 9) AS feasible_share, TRUE AS in_share, TRUE AS in_repeats
+            FROM t LEFT JOIN d USING (source)""",
         "p3_found": """
             SELECT DISTINCT event_id, CAST(chunk_seq AS BIGINT) AS chunk_seq
             FROM event_vectors WHERE length(chunk_text) > 3200""",

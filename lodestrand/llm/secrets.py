@@ -551,6 +551,32 @@ def redact_secrets(df: DataFrame, id_col: str = "id", text_col: str = "content")
     return some.mapInPandas(run, "raw_id string, redacted string, n_findings int")
 
 
+def restored(df: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """(raw_id, digest, n_unreadable) of every row: the redacted content with its findings put back, from both operators' results.
+
+    ``n_unreadable``: findings of which the mark stands where the value stood.
+    """
+    some = df.select(F.col(id_col).alias("raw_id"), F.col(text_col).alias("content")).where("raw_id is not null").distinct()
+    red = redact_secrets(some, "raw_id", "content")
+    found = find_secrets(some, "raw_id", "content").groupBy("raw_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "matched_text", "type"))).alias("found"))  # a content's own findings
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, text, found in zip(b.raw_id, b.redacted, b.found):
+                parts, at, orig, good = [], 0, 0, 0
+                for f in found if found is not None and text is not None else ():
+                    mark, gap = f"REDACTED_{f['type'].upper()}", f["start_pos"] - orig
+                    good += text[at + gap : at + gap + len(mark)] == mark
+                    parts += [text[at : at + gap], f["matched_text"]]
+                    at, orig = at + gap + len(mark), f["start_pos"] + len(f["matched_text"])
+                rows.append((key, None if text is None else "".join([*parts, text[at:]]), good))
+            yield pd.DataFrame(rows, columns=["raw_id", "text", "n"])
+
+    back = red.join(found, "raw_id", "left").select("raw_id", "redacted", "found").mapInPandas(run, "raw_id string, text string, n long")
+    return back.select("raw_id", F.md5("text").alias("digest"), F.col("n").alias("n_unreadable"))
+
+
 def rule_counts(df: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(rule, n_chunks, n_candidates, n_matches): how many chunks the postings leave to each rule's expression, over all rows."""
 

@@ -198,3 +198,17 @@ def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
 def split_found(items: DataFrame) -> DataFrame:
     """(event_id, chunk_seq) of each item that had to be split, from its pieces."""
     return split_long(items).where("piece = 0").select("event_id", F.col("chunk_seq").cast("long").alias("chunk_seq"))
+
+
+def rebuilt(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(event_id, chunk_seq, n_chars, digest, within_limit, overlaps): each split item put together again from its pieces.
+
+    ``overlaps``: every piece but the first begins before the end of the one before it.
+    """
+    w = Window.partitionBy("event_id", "chunk_seq").orderBy("piece")  # the pieces of one item
+    p = split_long(items, limit, overlap).withColumn("end", F.col("start_char") + F.char_length("chunk_text"))
+    p = p.withColumn("before", F.coalesce(F.lag("end").over(w), F.lit(0)))
+    own = F.struct("piece", F.expr("substring(chunk_text, before - start_char + 1)").alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["t"]), "")
+    per = p.groupBy("event_id", "chunk_seq").agg(text.alias("t"), F.max(F.char_length("chunk_text")).alias("most"), F.min((F.col("piece") == 0) | (F.col("start_char") < F.col("before"))).alias("overlaps"))
+    return per.select("event_id", F.col("chunk_seq").cast("long").alias("chunk_seq"), F.char_length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"), (F.col("most") <= limit).alias("within_limit"), "overlaps")
