@@ -196,14 +196,14 @@ def mix_shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return mix(documents, targets)[1]
 
 
-def mix_balance(documents: DataFrame, targets: DataFrame, off: float = 1e-3) -> DataFrame:
+def mix_balance(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, feasible_share, in_share, in_repeats): whether the selection, added up anew, keeps each target.
 
-    ``in_share``: the share of the selected tokens is at most ``off`` from the feasible one.
+    ``in_share``: the selected tokens are at most one document (the longest selected) from the feasible share of all.
     """
     chosen, report = mix(documents, targets)
-    used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens").cast("long") * F.col("copies")).alias("t"), F.max("copies").alias("c"))
-    all_used = used.agg(F.sum("t").alias("all"))  # one row
+    used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens").cast("long") * F.col("copies")).alias("t"), F.max("copies").alias("c"), F.max("n_tokens").alias("longest"))
+    all_used = used.agg(F.sum("t").alias("all"), F.max("longest").alias("most"))  # one row
     r = report.select("source", "target_share", "feasible_share", "max_repeats").join(used, "source", "left").join(F.broadcast(all_used))
-    share = F.coalesce(F.try_divide("t", "all"), F.lit(0.0))
-    return r.select("source", F.round("target_share", 9).alias("target_share"), F.round("feasible_share", 9).alias("feasible_share"), (F.abs(share - F.col("feasible_share")) <= off).alias("in_share"), (F.coalesce("c", F.lit(0)) <= F.col("max_repeats")).alias("in_repeats"))
+    off = F.abs(F.coalesce("t", F.lit(0)) - F.col("feasible_share") * F.coalesce("all", F.lit(0)))
+    return r.select("source", F.round("target_share", 9).alias("target_share"), F.round("feasible_share", 9).alias("feasible_share"), (off <= F.coalesce("most", F.lit(0))).alias("in_share"), (F.coalesce("c", F.lit(0)) <= F.col("max_repeats")).alias("in_repeats"))
