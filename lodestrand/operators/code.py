@@ -70,3 +70,68 @@ def facts(raw: DataFrame, text_col: str = "content", files_col: str = "files_men
 
     f = raw.select(F.explode(files_col).alias("file_path"), F.col(text_col).alias("content")).where(F.col("file_path").rlike(r"\.(?:py|js|jsx|ts|tsx)$") & F.col("content").isNotNull())
     return f.mapInPandas(run, FACT)
+
+
+SMELL = "file_path string, rule string, severity string, line int"
+# fixed values: the severity of each rule
+SEVERITY = {"bare_except": "P0", "broad_catch": "P1", "swallowed_error": "P0", "empty_function": "P2"}
+
+
+def python_smells(text: str) -> list[tuple[str, str, int]]:
+    """(rule, severity, line) of one Python text, from its syntax tree; none where it doesn't parse.
+
+    bare_except: ``except:``. broad_catch: ``except Exception`` or ``BaseException``.
+    swallowed_error: a handler of nothing but pass and return. empty_function: a body of
+    nothing but pass and ``...``, a docstring aside.
+    """
+    try:
+        tree = ast.parse(text.replace("\r\n", "\n").replace("\r", "\n"))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    out = []
+    blank = lambda b: isinstance(b, ast.Pass) or isinstance(b, ast.Expr) and isinstance(b.value, ast.Constant) and (b.value.value is ... or isinstance(b.value.value, str))
+    for n in ast.walk(tree):
+        if isinstance(n, ast.ExceptHandler):
+            if n.type is None:
+                out.append(("bare_except", n.lineno))
+            elif isinstance(n.type, ast.Name) and n.type.id in ("Exception", "BaseException"):
+                out.append(("broad_catch", n.lineno))
+            if all(isinstance(b, (ast.Pass, ast.Return)) for b in n.body):
+                out.append(("swallowed_error", n.lineno))
+        elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and all(map(blank, n.body)):
+            out.append(("empty_function", n.lineno))
+    return [(rule, SEVERITY[rule], line) for rule, line in sorted(out, key=lambda x: (x[1], x[0]))]
+
+
+def smells(raw: DataFrame, text_col: str = "content", files_col: str = "files_mentioned") -> DataFrame:
+    """(file_path, rule, severity, line) of every Python file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, *x) for p, t in zip(b.file_path, b.content) for x in python_smells(t)]
+            yield pd.DataFrame(rows, columns=["file_path", "rule", "severity", "line"]).astype({"line": "int32"})
+
+    f = raw.select(F.explode(files_col).alias("file_path"), F.col(text_col).alias("content")).where(F.col("file_path").endswith(".py") & F.col("content").isNotNull())
+    return f.mapInPandas(run, SMELL)
+
+
+def references(facts: DataFrame, names: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(source, kind, name, target): imports that name a file, by any of its module names, and calls that name a symbol.
+
+    ``names``: (module, file_path); ``symbols``: (name, file_path). Two equi-joins.
+    """
+    f = facts.select(F.col("file_path").alias("source"), "kind", "name").distinct()
+    n = names.select(F.lit("import").alias("kind"), F.col("module").alias("name"), F.col("file_path").alias("target"))
+    n = n.unionByName(symbols.select(F.lit("call").alias("kind"), "name", F.col("file_path").alias("target")))
+    return f.join(n.distinct(), ["kind", "name"]).select("source", "kind", "name", "target")
+
+
+def impacted(symbols: DataFrame, changed: DataFrame) -> DataFrame:
+    """(id): symbols whose lines hold a changed line, once each. ``symbols``: (id, file_path, line_start, line_end); ``changed``: (file_path, line).
+
+    A point in an interval as an equi-join on file and block of 64 lines.
+    """
+    block = lambda c: F.floor(F.col(c) / 64)
+    s = symbols.where("line_start is not null and line_end >= line_start").select("id", "file_path", "line_start", "line_end", F.explode(F.sequence(block("line_start"), block("line_end"))).alias("b"))
+    c = changed.select("file_path", "line").distinct().withColumn("b", block("line"))
+    return s.join(c, ["file_path", "b"]).where("line between line_start and line_end").select("id").distinct()

@@ -36,16 +36,42 @@ def class_of(col) -> F.Column:
     return out.otherwise(None)
 
 
-def merged_edges(edges: DataFrame) -> DataFrame:
-    """One row per (source, target, relation): greatest weight, first creation, union of the metadata's keys."""
-    meta = F.from_json(F.coalesce("metadata", F.lit("{}")), "map<string,string>")
-    # right-biased by time: per key the value of the latest row that has it
-    pairs = edges.select("source", "target", "relation", "created_at", F.explode_outer(meta).alias("k", "v"))
-    by_key = pairs.groupBy("source", "target", "relation", "k").agg(F.max(F.struct("created_at", "v"))["v"].alias("v"))
-    maps = by_key.where("k is not null").groupBy("source", "target", "relation").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))).alias("metadata"))
-    base = edges.groupBy("source", "target", "relation").agg(F.max("weight").alias("weight"), F.min("created_at").alias("created_at"))
-    on = ["source", "target", "relation"]
-    return base.join(maps, on, "left").select(*on, "weight", F.coalesce("metadata", F.lit("{}")).alias("metadata"), "created_at")
+_EDGE = ["source", "target", "relation"]
+
+
+def merged_metadata(rows: DataFrame, unite_lists: bool = True) -> DataFrame:
+    """(source, target, relation, metadata): the rows' metadata merged in order of ``created_at``, then of its text.
+
+    A later value of a key takes the place of an earlier one; with ``unite_lists`` a list that
+    follows a list adds the elements not yet there. Keys are sorted. Metadata that is no JSON
+    object counts as empty.
+    """
+    order = F.struct("created_at", F.col("metadata").alias("m"))
+    v = rows.where(F.is_variant_null(F.try_parse_json("metadata")).isNotNull() & F.col("metadata").rlike(r"^\s*\{"))
+    v = v.select(*_EDGE, order.alias("o"), F.try_parse_json("metadata").alias("v")).lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    v = v.select(*_EDGE, "o", "key", "value").where("key is not null")
+    is_list = F.schema_of_variant("value").startswith("ARRAY") if unite_lists else F.lit(False)
+    v = v.select(*_EDGE, "o", "key", F.to_json("value").alias("j"), is_list.alias("l"), F.when(is_list, F.col("value").cast("array<variant>")).alias("a"))
+    # the last value that is no list, and the lists behind it
+    k = [*_EDGE, "key"]
+    single = v.where("not l").groupBy(*k).agg(F.max(F.struct("o", "j")).alias("s"))
+    items = v.where("l").join(single.select(*[F.col(c).alias(f"{c}_k") for c in k], "s"), [F.col(c).eqNullSafe(F.col(f"{c}_k")) for c in k], "left").where("s is null or o > s.o")
+    items = items.select(*k, F.col("o"), F.posexplode_outer("a").alias("at", "x")).select(*k, "o", "at", F.to_json("x").alias("x"))
+    first = items.groupBy(*k, "x").agg(F.min(F.struct("o", "at")).alias("f"))
+    united = first.groupBy(*k).agg(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("f", "x")))).alias("xs"))  # one value's own elements
+    united = united.select(*k, F.concat(F.lit("["), F.array_join(F.transform("xs", lambda e: e["x"]), ","), F.lit("]")).alias("j"))
+    alone = single.select(*k, "s.j").join(united.select(*k), k, "left_anti")
+    both = united.unionByName(alone).select(*_EDGE, F.struct("key", F.concat(F.lit('"'), "key", F.lit('":'), "j").alias("t")).alias("e"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["t"]), ",")  # the keys of one edge
+    return both.groupBy(*_EDGE).agg(F.concat(F.lit("{"), text, F.lit("}")).alias("metadata"))
+
+
+def merged_edges(edges: DataFrame, unite_lists: bool = True) -> DataFrame:
+    """One row per (source, target, relation): greatest weight, first creation, merged metadata."""
+    base = edges.groupBy(*_EDGE).agg(F.max("weight").alias("weight"), F.min("created_at").alias("created_at"))
+    meta = merged_metadata(edges, unite_lists).select(*[F.col(c).alias(f"{c}_k") for c in _EDGE], "metadata")
+    j = base.join(meta, [F.col(c).eqNullSafe(F.col(f"{c}_k")) for c in _EDGE], "left")
+    return j.select(*_EDGE, "weight", F.coalesce("metadata", F.lit("{}")).alias("metadata"), "created_at")
 
 
 def related(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -68,18 +94,29 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def reach(edges: DataFrame, starts: DataFrame, backward: bool = False, most: int = 1000) -> DataFrame:
-    """(start, id): everything reachable along (or against) the edges, without the start unless on a cycle back."""
+def edges_within(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
+    """(start, source, target, relation, level): the edges at either end of the nodes within ``depth`` steps, at the least level of such an end."""
+    near = cut(k_hop(edges, starts, depth))
+    e = edges.select(*_EDGE).distinct()
+    ends = e.withColumn("id", F.col("source")).unionByName(e.withColumn("id", F.col("target")))
+    return ends.join(near, "id").groupBy("start", *_EDGE).agg(F.min("level").alias("level"))
+
+
+def reach(edges: DataFrame, starts: DataFrame, backward: bool = False) -> DataFrame:
+    """(start, id): everything reachable along (or against) the edges, without the start unless on a cycle back.
+
+    Rounds go on until nothing new is met; what was seen is written together every eight rounds.
+    """
     a, b = ("target", "source") if backward else ("source", "target")
     step = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
     front = cut(starts.select("start", F.col("start").alias("id")).distinct().join(step, "id").select("start", F.col("next").alias("id")).distinct())
-    seen = front
-    for _ in range(most):
-        if front.isEmpty():
-            break
+    seen, rounds = front, 0
+    while not front.isEmpty():
         new = front.join(step, "id").select("start", F.col("next").alias("id")).distinct()
         front = cut(new.join(seen, ["start", "id"], "left_anti"))
-        seen = seen.unionByName(front)
+        seen, rounds = seen.unionByName(front), rounds + 1
+        if rounds % 8 == 0:
+            seen = cut(seen)
     return seen.where("start <> id")
 
 
@@ -106,21 +143,6 @@ def causal_chain(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFra
     return seen.where("level > 0").select("start", "id", "level", F.row_number().over(w).alias("position"))
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """(cycle, length): simple cycles of at most ``longest`` nodes, each once, least node first."""
-    e = edges.where("source <> target").select("source", "target").distinct()
-    loops = edges.where("source = target").select(F.array("source").alias("path")).distinct()
-    # paths only go to greater nodes than their first, so each cycle is found from its least node
-    paths = e.where("source < target").select(F.array("source", "target").alias("path"))
-    found = loops
-    for _ in range(2, longest + 1):
-        nxt = paths.select("path", F.element_at("path", -1).alias("source"), F.element_at("path", 1).alias("first")).join(e, "source")
-        found = found.unionByName(nxt.where("target = first").select("path"))
-        paths = nxt.where((F.col("target") > F.col("first")) & ~F.array_contains("path", F.col("target"))).select(F.concat("path", F.array("target")).alias("path"))
-        paths = cut(paths)
-    return found.select(F.array_join("path", " -> ").alias("cycle"), F.size("path").alias("length")).distinct()
-
-
 def cyclic_edges(edges: DataFrame) -> DataFrame:
     """(source, target): the edges inside strongly connected components, without loops.
 
@@ -186,8 +208,8 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.count("*").alias("degree"))
 
 
-def band_join(left: DataFrame, right: DataFrame, at: str, window: int) -> DataFrame:
-    """Pairs with 0 <= left.at - right.at <= window, as an equi-join on slots of the window's width.
+def band_join(left: DataFrame, right: DataFrame, at: str, window: int, keys: list[str] | None = None) -> DataFrame:
+    """Pairs with equal ``keys`` and 0 <= left.at - right.at <= window, as an equi-join on slots of the window's width.
 
     The right side is replicated to its own and the next slot; both sides keep all columns,
     the right ones prefixed ``past_``.
@@ -196,29 +218,41 @@ def band_join(left: DataFrame, right: DataFrame, at: str, window: int) -> DataFr
     b = right.select([F.col(c).alias(f"past_{c}") for c in right.columns])
     b = b.withColumn("_slot", F.explode(F.array(F.floor(F.col(f"past_{at}") / window), F.floor(F.col(f"past_{at}") / window) + 1)))
     gap = F.col(at) - F.col(f"past_{at}")
-    return a.join(b, "_slot").where((gap >= 0) & (gap <= window)).drop("_slot")
+    keys = keys or []
+    j = a.join(b.withColumnsRenamed({f"past_{c}": c for c in keys}), ["_slot", *keys])
+    return j.where((gap >= 0) & (gap <= window)).drop("_slot")
+
+
+SALTS = 8  # parts of a busy time slot
 
 
 def time_links(events: DataFrame, window_s: int = 7200) -> DataFrame:
     """(source, target, relation, weight): rule-based links between events of one time window.
 
-    Only the types a rule can use enter the join: commits meet incidents and decisions,
-    decisions meet incidents; the rest of the all-pairs join could never give a link.
+    What an event says is read once, before the join: only events that say what a rule asks
+    for meet the kind of event the rule names, by rule, time slot and salt.
     """
-    text = F.lower(F.col("summary"))
-    e = events.select("id", "type", text.alias("said"), F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"))
-    commit = F.col("type").isin("git_commit", "code_change")
-    incident = (F.col("type") == "incident") | (F.col("type").isin("diagnostic", "unknown") & F.col("said").rlike("error|fail|exception|bug|crash"))
-    e = e.select("id", "us", "said", F.when(commit, "c").when(F.col("type") == "decision", "d").when(incident, "i").alias("k")).where("k is not null")
-    pairs = band_join(e.where("k in ('c', 'd')"), e.where("k in ('d', 'i')"), "us", window_s * 1_000_000)
+    said = F.lower(F.col("summary"))
+    kind = F.when(F.col("type").isin("git_commit", "code_change"), "c").when(F.col("type") == "decision", "d")
+    kind = kind.when((F.col("type") == "incident") | (F.col("type").isin("diagnostic", "unknown") & said.rlike("error|fail|exception|bug|crash")), "i")
+    e = events.select("id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"), kind.alias("k"), said.alias("said")).where("k is not null")
+    asks = F.filter(
+        F.array(
+            F.when((F.col("k") == "c") & F.col("said").rlike("fix|resolv|close"), "fixes"),
+            F.when((F.col("k") == "c") & F.col("said").rlike("implement|feat|reali"), "realizes"),
+            F.when((F.col("k") == "d") & F.col("said").rlike("incident|outage|fail|fix"), "triggers"),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    later = e.select("id", "us", F.explode(asks).alias("relation"), salt.alias("salt"))
+    past = e.select("id", "us", F.explode(F.when(F.col("k") == "i", F.array(F.lit("fixes"), F.lit("triggers"))).when(F.col("k") == "d", F.array(F.lit("realizes"))).otherwise(F.array())).alias("relation"))
+    past = past.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    pairs = band_join(later, past, "us", window_s * 1_000_000, ["relation", "salt"])
     # the past event comes first; equal times by id
     pairs = pairs.where("past_us < us or (past_us = us and past_id < id)")
-    fixes = (F.col("k") == "c") & (F.col("past_k") == "i") & F.col("said").rlike("fix|resolv|close")
-    realizes = (F.col("k") == "c") & (F.col("past_k") == "d") & F.col("said").rlike("implement|feat|reali")
-    triggers = (F.col("k") == "d") & (F.col("past_k") == "i") & F.col("said").rlike("incident|outage|fail|fix")
-    rel = F.when(fixes, "fixes").when(realizes, "realizes").when(triggers, "triggers")
-    back = rel == "triggers"
-    return pairs.withColumn("relation", rel).where("relation is not null").select(
+    back = F.col("relation") == "triggers"
+    return pairs.select(
         F.when(back, F.col("past_id")).otherwise(F.col("id")).alias("source"), F.when(back, F.col("id")).otherwise(F.col("past_id")).alias("target"), "relation", F.lit(0.7).alias("weight")
     )
 
@@ -275,3 +309,20 @@ def layer_violations(deps: DataFrame, layers: list[str]) -> DataFrame:
     """(source, target): dependencies of a lower layer on a higher one; layers by name contained in the module."""
     rank = lambda c: F.coalesce(*[F.when(F.col(c).contains(n), F.lit(i)) for i, n in enumerate(layers)])
     return deps.where(rank("source") > rank("target")).select("source", "target").distinct()
+
+
+def forbidden_dependencies(deps: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """(source, target, rule): dependencies that a rule forbids; ``*`` at either end stands for any module. The first rule that matches counts."""
+    hit = F
+    for a, b in rules:
+        cond = F.lit(True)
+        cond = cond & (F.col("source") == a) if a != "*" else cond
+        cond = cond & (F.col("target") == b) if b != "*" else cond
+        hit = hit.when(cond, f"{a} -> {b}")
+    return deps.select("source", "target", hit.otherwise(None).alias("rule")).where("rule is not null").distinct()
+
+
+def file_imports(facts: DataFrame, names: DataFrame) -> DataFrame:
+    """(source, target): files and the files they import. ``facts``: imports (file_path, name); ``names``: (module, file_path)."""
+    i = facts.where("kind = 'import'").select(F.col("file_path").alias("source"), F.col("name").alias("module")).distinct()
+    return i.join(names.select("module", F.col("file_path").alias("target")), "module").select("source", "target").where("source <> target").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.operators.graph import merged_edges
+
 # fixed values: the states of a chunk and the steps between them
 CHUNK_STATES = ["raw", "embedded", "extracted"]
 CHUNK_STEPS = {("raw", "embedded"), ("embedded", "extracted")}
@@ -28,9 +30,14 @@ def delete_where(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
 
 
-def merge_links(links: DataFrame) -> DataFrame:
-    """Links merged on (source, target, relation): greatest weight."""
-    return links.groupBy("source", "target", "relation").agg(F.max("weight").alias("weight"))
+def merge_links(links: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """Links merged on (source, target, relation): greatest weight, metadata updated by key in order of ``created_at``.
+
+    ``owners`` (id): links whose source is none of them are refused; null sources are too.
+    """
+    if owners is not None:
+        links = links.join(owners.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+    return merged_edges(links, unite_lists=False).drop("created_at")
 
 
 # --- write-ahead log: id, timestamp, event_type (pending, completed, failed), data, retry_count
@@ -56,13 +63,45 @@ def log_stats(log: DataFrame) -> DataFrame:
 
 
 def sync_status(found: DataFrame, stored: DataFrame) -> DataFrame:
-    """(path, state): added, updated, skipped (mtime within 1 ms) or removed. Both sides: (path, mtime)."""
-    f, s = found.groupBy("path").agg(F.max("mtime").alias("m")), stored.groupBy("path").agg(F.max("mtime").alias("o"))
-    both = f.join(s, "path", "full_outer")
-    state = F.when(F.col("o").isNull() & F.col("m").isNotNull(), "added").when(F.col("m").isNull(), "removed").when(F.abs(F.col("m") - F.col("o")) < 0.001, "skipped").otherwise("updated")
+    """(path, state): added, updated, skipped (mtime within 1 ms), error or removed. ``found``: (path, mtime, text); ``stored``: (path, mtime).
+
+    A file that has to be read must begin with a line of three dashes, or it counts as an error.
+    """
+    f = found.groupBy("path").agg(F.max(F.struct("mtime", F.substring("text", 1, 3).alias("head"))).alias("f"))
+    s = stored.groupBy("path").agg(F.max("mtime").alias("o"), F.lit(True).alias("there"))
+    both = f.withColumn("here", F.lit(True)).join(s, "path", "full_outer")
+    same = F.coalesce(F.abs(F.col("f.mtime") - F.col("o")) < 0.001, F.lit(False))
+    state = F.when(F.col("here").isNull(), "removed").when(same, "skipped").when(~F.coalesce(F.col("f.head") == "---", F.lit(False)), "error").when(F.col("there").isNull(), "added").otherwise("updated")
     return both.select("path", state.alias("state"))
 
 
+def removed_rows(rows: DataFrame, gone: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and (keys, n) how many of each key were deleted; null keys stay."""
+    hit = rows.join(gone.select(*keys).distinct(), keys, "left_semi")
+    return delete_where(rows, gone, keys), hit.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def migrated(records: DataFrame) -> DataFrame:
+    """(id, version, type, content): records of any version as version 2; a second run changes nothing.
+
+    Expects id, version, timestamp, date, type, description, content. A version 0 or 1 record
+    gets ``-`` of its type as ``_`` and its description under the first heading, or before the
+    text where there is none; an absent id is made from the date and the content.
+    """
+    v = schema_version(F.col("version"), F.col("id"), F.col("timestamp"), F.col("date"))
+    old = v < 2
+    text = F.coalesce("content", F.lit(""))
+    about = F.coalesce("description", F.lit(""))
+    head = F.regexp_extract(text, r"(?m)^#[^\n]*$", 0)
+    first = F.when(head == "", 0).otherwise(F.position(head, text) + F.char_length(head) - 1)
+    injected = F.concat(F.substr(text, F.lit(1), first), F.when(first > 0, F.lit("\n\n")).otherwise(F.lit("")), about, F.when(first > 0, F.lit("")).otherwise(F.lit("\n\n")), F.substr(text, first + 1))
+    made = F.concat(F.lit("evt_"), F.substring(F.sha2(F.concat_ws("|", F.col("date").cast("string"), text), 256), 1, 16))
+    return records.select(
+        F.coalesce("id", made).alias("id"), F.greatest(v, F.lit(2)).alias("version"), F.when(old, F.regexp_replace("type", "-", "_")).otherwise(F.col("type")).alias("type"),
+        F.when(old & (about != "") & ~text.contains(about), injected).otherwise(text).alias("content"),
+    )
+
+
 def legal_step(before: Column, after: Column) -> Column:
     """Whether a chunk may go from one state to the other."""
     ok = F.lit(False)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrand.functions import text as T
+from lodestrand.operators import code as C
 from lodestrand.operators import events as E
 from lodestrand.operators import graph as G
 from lodestrand.plans.timeline import _LATEST, _ev
@@ -36,6 +38,51 @@ _CLASSES = """classes AS (
 _ONTOLOGY = "ontology(rel, dom, rng, ord) AS (VALUES ('implements','Decision','Requirement',1),('realizes','Commit','Decision',2),('modifies','Commit','Function',3),('triggers','Incident','Decision',4),('validates','Experiment','Decision',5),('overrides','Decision','Decision',6),('fixes','Commit','Incident',7))"
 
 
+# dependencies no module may have; a rule may name any module
+_FORBIDDEN = [("src/watermark", "*"), ("*", "lib/cache"), ("tools/descendant", "src/watermark")]
+
+
+def _cycle_sql(edges: str, columns: str) -> str:
+    """Every simple cycle of the edges (a, b), found from its least node."""
+    return f"""WITH RECURSIVE e AS ({edges}), w(path, last) AS (
+            SELECT [a, b], b FROM e WHERE a < b UNION ALL SELECT list_append(path, b), b FROM w JOIN e ON e.a = w.last WHERE b > path[1] AND NOT list_contains(path, b)),
+        c AS (SELECT [a] AS path FROM e WHERE a = b UNION ALL SELECT path FROM w JOIN e ON e.a = w.last AND e.b = path[1])
+        SELECT DISTINCT {columns} FROM (SELECT array_to_string(path, ' -> ') AS cycle, CAST(len(path) AS INTEGER) AS length, path[1] AS first_id FROM c)"""
+
+
+def _chain_sql() -> str:
+    """Three levels of causes, each node at the first place where it is met."""
+    sql = f"""WITH {_STARTS}, e AS (SELECT source, target, max(created_at) AS c, arg_min(relation, (-created_at, relation)) AS relation FROM graph_edges WHERE relation IN {_CAUSAL_SQL} GROUP BY 1, 2),
+        s0 AS (SELECT start, start AS id, 0 AS level, 0 AS place FROM starts)"""
+    for k in (1, 2, 3):
+        sql += f""", f{k} AS (SELECT n.start, e.source AS id, {k} AS level, min((n.place, -e.c, e.source, e.relation)) AS o FROM s{k - 1} n JOIN e ON e.target = n.id WHERE n.level = {k - 1} AND NOT EXISTS (SELECT 1 FROM s{k - 1} x WHERE x.start = n.start AND x.id = e.source) GROUP BY 1, 2),
+        s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT start, id, level, row_number() OVER (PARTITION BY start ORDER BY o) FROM f{k})"""
+    return sql + " SELECT start, id, CAST(level AS INTEGER) AS level, row_number() OVER (PARTITION BY start ORDER BY level, place) AS position FROM s3 WHERE level > 0"
+
+
+def _merged_sql(table_name: str, more: str) -> str:
+    """Greatest weight and, of each key of the metadata, the value of the latest row; for metadata without lists."""
+    return f"""WITH p AS (SELECT source, target, relation, created_at, metadata, unnest(json_keys(metadata)) AS k FROM {table_name} WHERE metadata IS NOT NULL),
+        v AS (SELECT source, target, relation, k, arg_max(json_extract(metadata, '$.' || k)::VARCHAR, (created_at, metadata)) AS j FROM p GROUP BY 1, 2, 3, 4),
+        m AS (SELECT source, target, relation, '{{' || string_agg('"' || k || '":' || j, ',' ORDER BY k) || '}}' AS metadata FROM v GROUP BY 1, 2, 3),
+        b AS (SELECT source, target, relation, max(weight) AS weight{more} FROM {table_name} GROUP BY 1, 2, 3)
+        SELECT b.*, coalesce(m.metadata, '{{}}') AS metadata FROM b LEFT JOIN m ON m.source IS NOT DISTINCT FROM b.source AND m.target IS NOT DISTINCT FROM b.target AND m.relation IS NOT DISTINCT FROM b.relation"""
+
+
+def _reasoned(s, d):
+    """Edges between decisions, reasonings and conventions."""
+    x = _ev(s, d, "type").where("type in ('decision', 'reasoning', 'convention')").select("id")
+    e = _edges(s, d).select("source", "target").distinct()
+    return e.join(x.withColumnRenamed("id", "source"), "source", "left_semi").join(x.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
+def _file_imports(s, d):
+    """Files and the files their imports name, by any of the names a file has."""
+    files = table(s, d, "code_entities").select("file_path").distinct()
+    names = files.select("file_path", F.explode(T.module_names(F.col("file_path"))).alias("module"))
+    return G.file_imports(C.facts(table(s, d, "raw_data").where("source = 'file'")), names)
+
+
 def _gate(s, d):
     ev = _ev(s, d).select(
         "id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"), E.metadata("session_id").alias("session"),
@@ -66,6 +113,17 @@ def _file_history(s, d):
     return m.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("target", "source", F.col("rank").cast("long").alias("rank"))
 
 
+JN6_SQL = (
+    _LATEST + """, e AS (SELECT * FROM (SELECT id, epoch_us(timestamp) AS us, lower(summary) AS said,
+              CASE WHEN type IN ('git_commit','code_change') THEN 'c' WHEN type = 'decision' THEN 'd'
+                   WHEN type = 'incident' OR (type IN ('diagnostic','unknown') AND regexp_matches(lower(summary), 'error|fail|exception|bug|crash')) THEN 'i' END AS k FROM ev) WHERE k IS NOT NULL),
+            p AS (SELECT c.id AS cid, b.id AS pid, CASE WHEN c.k = 'c' AND b.k = 'i' AND regexp_matches(c.said, 'fix|resolv|close') THEN 'fixes'
+                  WHEN c.k = 'c' AND b.k = 'd' AND regexp_matches(c.said, 'implement|feat|reali') THEN 'realizes'
+                  WHEN c.k = 'd' AND b.k = 'i' AND regexp_matches(c.said, 'incident|outage|fail|fix') THEN 'triggers' END AS relation
+                FROM e c JOIN e b ON c.us - b.us BETWEEN 0 AND 7200000000 AND (b.us < c.us OR (b.us = c.us AND b.id < c.id)))
+            SELECT CASE WHEN relation = 'triggers' THEN pid ELSE cid END AS source, CASE WHEN relation = 'triggers' THEN cid ELSE pid END AS target, relation, 0.7::DOUBLE AS weight FROM p WHERE relation IS NOT NULL"""
+)
+
 QUERIES = {
     "gr1_related": (
         lambda s, d: G.related(_edges(s, d), _starts(s, d)),
@@ -78,16 +136,15 @@ QUERIES = {
             FROM (SELECT DISTINCT source, target FROM graph_edges WHERE relation = 'modifies') g JOIN ev ON ev.id = g.source) WHERE rank <= 10""",
     ),
     "gr3_causal_chain": (
-        lambda s, d: G.causal_chain(_edges(s, d), _starts(s, d), 3).select("start", "id", "level"),
-        f"""WITH RECURSIVE {_STARTS}, e AS (SELECT DISTINCT source, target FROM graph_edges WHERE relation IN {_CAUSAL_SQL}),
-            walk(start, id, level) AS (SELECT start, start, 0 FROM starts UNION SELECT w.start, e.source, w.level + 1 FROM walk w JOIN e ON e.target = w.id WHERE w.level < 3)
-            SELECT start, id, CAST(min(level) AS INTEGER) AS level FROM walk WHERE id <> start GROUP BY 1, 2""",
+        lambda s, d: G.causal_chain(_edges(s, d), _starts(s, d), 3).select("start", "id", "level", F.col("position").cast("long").alias("position")),
+        _chain_sql(),
     ),
     "gr4_two_hops": (
-        lambda s, d: G.k_hop(_edges(s, d), _starts(s, d), 2),
+        lambda s, d: G.edges_within(_edges(s, d), _starts(s, d), 2),
         f"""WITH RECURSIVE {_STARTS}, e AS (SELECT source AS a, target AS b FROM graph_edges UNION SELECT target, source FROM graph_edges),
-            walk(start, id, level) AS (SELECT start, start, 0 FROM starts UNION SELECT w.start, e.b, w.level + 1 FROM walk w JOIN e ON e.a = w.id WHERE w.level < 2)
-            SELECT start, id, CAST(min(level) AS INTEGER) AS level FROM walk GROUP BY 1, 2""",
+            walk(start, id, level) AS (SELECT start, start, 0 FROM starts UNION SELECT w.start, e.b, w.level + 1 FROM walk w JOIN e ON e.a = w.id WHERE w.level < 2),
+            n AS (SELECT start, id, CAST(min(level) AS INTEGER) AS level FROM walk GROUP BY 1, 2), g AS (SELECT DISTINCT source, target, relation FROM graph_edges)
+            SELECT start, source, target, relation, min(level) AS level FROM (SELECT start, g.*, level FROM g JOIN n ON n.id = source UNION ALL SELECT start, g.*, level FROM g JOIN n ON n.id = target) GROUP BY 1, 2, 3, 4""",
     ),
     "gr5_descendants": (
         lambda s, d: G.reach(_edges(s, d).where("relation = 'triggers'"), _starts(s, d)),
@@ -102,15 +159,10 @@ QUERIES = {
             SELECT start, id FROM walk WHERE start <> id""",
     ),
     "gr6_cycles": (
-        lambda s, d: G.cycles(_edges(s, d).where("relation = 'overrides'"), 4),
-        """WITH e AS (SELECT DISTINCT source AS a, target AS b FROM graph_edges WHERE relation = 'overrides')
-           SELECT a AS cycle, 1 AS length FROM e WHERE a = b
-           UNION SELECT x.a || ' -> ' || y.a, 2 FROM e x JOIN e y ON y.a = x.b AND y.b = x.a WHERE x.a < y.a
-           UNION SELECT x.a || ' -> ' || y.a || ' -> ' || z.a, 3 FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = y.b AND z.b = x.a WHERE x.a < y.a AND x.a < z.a AND y.a <> z.a
-           UNION SELECT x.a || ' -> ' || y.a || ' -> ' || z.a || ' -> ' || w.a, 4 FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = y.b JOIN e w ON w.a = z.b AND w.b = x.a
-               WHERE x.a < y.a AND x.a < z.a AND x.a < w.a AND y.a <> z.a AND y.a <> w.a AND z.a <> w.a""",
-    ),
-    "gr6_all_cycles": (lambda s, d: G.all_cycles(_edges(s, d).where("relation = 'overrides'")), None),
+        lambda s, d: G.all_cycles(_reasoned(s, d)),
+        _LATEST.replace("WITH ev", "WITH RECURSIVE ev") + ", " + _cycle_sql("SELECT DISTINCT source AS a, target AS b FROM graph_edges WHERE source IN (SELECT id FROM ev WHERE type IN ('decision', 'reasoning', 'convention')) AND target IN (SELECT id FROM ev WHERE type IN ('decision', 'reasoning', 'convention'))", "cycle, length").replace("WITH RECURSIVE ", "", 1),
+    ),
+    "gr7_import_cycles": (lambda s, d: G.all_cycles(_file_imports(s, d)), None),
     "gr8_experts": (
         lambda s, d: _edges(s, d).where("relation = 'modifies'").select(F.col("target").alias("file"), F.col("source").alias("expert")).distinct(),
         "SELECT DISTINCT target AS file, source AS expert FROM graph_edges WHERE relation = 'modifies'",
@@ -130,14 +182,7 @@ QUERIES = {
     ),
     "jn6_time_links": (
         lambda s, d: G.time_links(_ev(s, d, "type", "summary", "timestamp")),
-        _LATEST + """, e AS (SELECT * FROM (SELECT id, epoch_us(timestamp) AS us, lower(summary) AS said,
-              CASE WHEN type IN ('git_commit','code_change') THEN 'c' WHEN type = 'decision' THEN 'd'
-                   WHEN type = 'incident' OR (type IN ('diagnostic','unknown') AND regexp_matches(lower(summary), 'error|fail|exception|bug|crash')) THEN 'i' END AS k FROM ev) WHERE k IS NOT NULL),
-            p AS (SELECT c.id AS cid, b.id AS pid, CASE WHEN c.k = 'c' AND b.k = 'i' AND regexp_matches(c.said, 'fix|resolv|close') THEN 'fixes'
-                  WHEN c.k = 'c' AND b.k = 'd' AND regexp_matches(c.said, 'implement|feat|reali') THEN 'realizes'
-                  WHEN c.k = 'd' AND b.k = 'i' AND regexp_matches(c.said, 'incident|outage|fail|fix') THEN 'triggers' END AS relation
-                FROM e c JOIN e b ON c.us - b.us BETWEEN 0 AND 7200000000 AND (b.us < c.us OR (b.us = c.us AND b.id < c.id)))
-            SELECT CASE WHEN relation = 'triggers' THEN pid ELSE cid END AS source, CASE WHEN relation = 'triggers' THEN cid ELSE pid END AS target, relation, 0.7::DOUBLE AS weight FROM p WHERE relation IS NOT NULL""",
+        JN6_SQL,
     ),
     "jn8_inferred": (
         _inferred,
@@ -167,6 +212,13 @@ QUERIES = {
            r AS (SELECT *, CASE WHEN contains(source, 'lib') THEN 0 WHEN contains(source, 'src') THEN 1 WHEN contains(source, 'tools') THEN 2 END AS a, CASE WHEN contains(target, 'lib') THEN 0 WHEN contains(target, 'src') THEN 1 WHEN contains(target, 'tools') THEN 2 END AS b FROM m)
            SELECT DISTINCT source, target FROM r WHERE a > b""",
     ),
+    "ax5_forbidden": (
+        lambda s, d: G.forbidden_dependencies(_module_edges(s, d), _FORBIDDEN),
+        """WITH m AS (SELECT DISTINCT string_split(x.file_path, '/')[1] || '/' || string_split(x.file_path, '/')[2] AS source, string_split(y.file_path, '/')[1] || '/' || string_split(y.file_path, '/')[2] AS target
+              FROM code_entities x JOIN code_entities y ON x.name = y.name AND x.file_path <> y.file_path), r(n, a, b) AS (VALUES """
+        + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_FORBIDDEN))
+        + """) SELECT source, target, arg_min(a || ' -> ' || b, n) AS rule FROM m JOIN r ON (a = '*' OR a = source) AND (b = '*' OR b = target) GROUP BY 1, 2""",
+    ),
     "ag9_relations": (
         lambda s, d: _edges(s, d).groupBy("relation").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.countDistinct("target").alias("n_targets")),
         "SELECT relation, count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets FROM graph_edges GROUP BY 1",
@@ -179,10 +231,7 @@ QUERIES = {
         lambda s, d: _edges(s, d).groupBy("source", "relation").agg(F.countDistinct("target").alias("n"), F.max("weight").alias("most")),
         "SELECT source, relation, count(DISTINCT target) AS n, max(weight) AS most FROM graph_edges GROUP BY 1, 2",
     ),
-    "sk8_merged_edges": (
-        lambda s, d: G.merged_edges(_edges(s, d)).select("source", "target", "relation", "weight", "created_at"),
-        "SELECT source, target, relation, max(weight) AS weight, min(created_at) AS created_at FROM graph_edges GROUP BY 1, 2, 3",
-    ),
+    "sk8_merged_edges": (lambda s, d: G.merged_edges(_edges(s, d)), _merged_sql("graph_edges", ", min(created_at) AS created_at")),
     "sk8_unknown_nodes": (
         lambda s, d: _ends(s, d).join(table(s, d, "event_index").select("id").union(table(s, d, "code_entities").select("id")), "id", "left_anti"),
         "SELECT DISTINCT id FROM (SELECT source AS id FROM graph_edges UNION ALL SELECT target FROM graph_edges) WHERE id IS NOT NULL AND id <> '' AND id NOT IN (SELECT id FROM event_index WHERE id IS NOT NULL) AND id NOT IN (SELECT id FROM code_entities WHERE id IS NOT NULL)",

@@ -11,13 +11,31 @@ from lodestrand.operators import events as E
 from lodestrand.operators import graph as G
 from lodestrand.operators import similarity as V
 from lodestrand.operators import slots
-from lodestrand.plans.graphs import _CLASSES, _ONTOLOGY, _classes
+from lodestrand.plans.graphs import _CLASSES, _ONTOLOGY, JN6_SQL, _classes
 from lodestrand.plans.searches import _sql, _type_sql
 from lodestrand.plans.timeline import _LATEST, LEGACY, _ev
 from lodestrand.streaming import state
 from lodestrand.tables import table
 
 _US = "epoch_us(timestamp)"
+# which of the 48 newest others share session, job, module or a file; the first 12
+_CANDIDATES = f""", x AS (SELECT id, {_US} AS us, nullif(job_id, '') AS j, nullif(json_extract_string(json_cache, '$.metadata.session_id'), '') AS se, nullif(json_extract_string(json_cache, '$.metadata.module_path'), '') AS m,
+        list_filter([regexp_replace(replace(json_extract_string(json_cache, '$.metadata.module_path'), '\\', '/'), '/+', '/', 'g'), regexp_replace(replace(markdown_path, '\\', '/'), '/+', '/', 'g')], lambda p: p <> '') AS f FROM ev),
+    nx AS (SELECT * FROM x ORDER BY us DESC, id LIMIT 49),
+    n AS (SELECT a.id, b.id AS other, b.us, coalesce(a.j = b.j, FALSE) OR coalesce(a.se = b.se, FALSE) OR coalesce(a.m = b.m, FALSE) OR list_has_any(a.f, b.f) AS shares, row_number() OVER (PARTITION BY a.id ORDER BY b.us DESC, b.id) AS r FROM x a JOIN nx b ON a.id <> b.id),
+    cand AS (SELECT id, other, rank FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY us DESC, other) AS rank FROM n WHERE r <= 48 AND shares) WHERE rank <= 12)"""
+_SEMANTIC = _LATEST + _CANDIDATES + f""", {_CLASSES}, {_ONTOLOGY},
+    vec AS (SELECT event_id AS id, arg_max(embedding, (embedded_at, embedding))::DOUBLE[] AS e FROM event_vectors WHERE event_id <> '' AND chunk_seq = 0 AND len(embedding) = 64 GROUP BY 1),
+    node AS (SELECT id, class, e FROM classes JOIN vec USING (id)), pr AS (SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b FROM cand),
+    ps AS (SELECT a, b, x.class AS ca, y.class AS cb, CASE WHEN list_dot_product(x.e, x.e) > 0 AND list_dot_product(y.e, y.e) > 0 THEN list_cosine_similarity(x.e, y.e) END AS weight FROM pr JOIN node x ON x.id = a JOIN node y ON y.id = b),
+    pl AS (SELECT a, b, weight, (SELECT arg_min(rel, ord) FROM ontology WHERE dom = ca AND rng = cb) AS fwd, (SELECT arg_min(rel, ord) FROM ontology WHERE dom = cb AND rng = ca) AS rev FROM ps WHERE weight >= 0.85),
+    sem AS (SELECT CASE WHEN fwd IS NULL THEN b ELSE a END AS source, CASE WHEN fwd IS NULL THEN a ELSE b END AS target, coalesce(fwd, rev) AS relation, weight FROM pl WHERE coalesce(fwd, rev) IS NOT NULL)"""
+_HISTORY = _LATEST.replace("WITH ev", "WITH RECURSIVE ev") + """, refs AS (SELECT DISTINCT id AS start, regexp_replace(replace(json_extract_string(json_cache, '$.metadata.module_path'), '\\', '/'), '/+', '/', 'g') AS file FROM ev),
+    seeds AS (SELECT start, file FROM refs WHERE file <> '' AND file NOT LIKE '%.md'),
+    ce AS (SELECT DISTINCT source, target FROM graph_edges WHERE relation IN ('caused_by','triggers','leads_to','correlated_with','depends_on_causal','resulted_in')),
+    w(start, id, level) AS (SELECT DISTINCT start, start, 0 FROM seeds UNION SELECT w.start, ce.source, level + 1 FROM w JOIN ce ON ce.target = w.id WHERE level < 2),
+    c AS (SELECT DISTINCT file, w.id FROM w JOIN seeds USING (start) WHERE w.id <> w.start AND w.id IN (SELECT id FROM ev))
+    SELECT DISTINCT file, start AS id, 'direct' AS how FROM seeds UNION ALL SELECT file, id, 'causal' FROM c WHERE NOT EXISTS (SELECT 1 FROM seeds WHERE seeds.file = c.file AND seeds.start = c.id)"""
 _MARKERS = "rewr|replac|instead|supersed|overr|swap|rebuil|demot"
 
 
@@ -26,12 +44,53 @@ def _us(df, col="timestamp"):
 
 
 def _explicit(s, d):
-    """Links of a chunk's event to the events the chunk lists, with the relation the ontology infers."""
+    """Links of a chunk's event to the events the chunk lists, with the relation the ontology infers; causal ones pass the gate, the others are written as they are."""
     c = table(s, d, "chunks").select(F.col("source_event_id").alias("source"), F.explode(F.from_json("event_ids", "array<string>")).alias("target")).where("source <> '' and source <> target").distinct()
     cl = _classes(s, d)
     j = c.join(cl.select(F.col("id").alias("source"), F.col("class").alias("a")), "source", "left").join(cl.select(F.col("id").alias("target"), F.col("class").alias("b")), "target", "left")
     rel, _ = G.inferred_relation(F.col("a"), F.col("b"))
-    return j.select("source", "target", F.coalesce(rel, F.lit("related_to")).alias("relation"), F.lit(1.0).alias("weight"))
+    links = j.select("source", "target", F.coalesce(rel, F.lit("related_to")).alias("relation"), F.lit(1.0).alias("weight"))
+    ends = _us(_ev(s, d)).select("id", "us", _anchor_list().alias("anchors"), E.metadata("session_id").alias("session"))
+    p = links.join(ends.select(F.col("id").alias("source"), F.col("us").alias("s_us"), F.col("anchors").alias("s_anchors")), "source", "left")
+    p = p.join(ends.select(F.col("id").alias("target"), F.col("us").alias("t_us"), F.col("anchors").alias("t_anchors"), F.col("session").alias("t_session")), "target", "left")
+    g = G.causal_gate(p.withColumn("s_global", F.lit(False)))
+    gate = F.when(~F.col("relation").isin(G.CAUSAL), "semantic").when(F.col("s_us").isNull() | F.col("t_us").isNull(), "missing").otherwise(F.coalesce("reason", F.lit("causal")))
+    return g.select("source", "target", "relation", "weight", gate.alias("gate"))
+
+
+def _anchor_list():
+    """Session, service, module and job of an event, those it has."""
+    named = [F.concat(F.lit(f"{k}:"), E.metadata(f)) for k, f in (("session", "session_id"), ("service", "service_name"), ("module", "module_path"))]
+    return F.filter(F.array(*named, F.concat(F.lit("job:"), F.nullif("job_id", F.lit("")))), lambda a: a.isNotNull())
+
+
+def _semantic(s, d, least=0.85):
+    """Links between an event and its reasoning candidates of a cosine of ``least``, where the ontology knows a relation of their classes.
+
+    An event's vector is its first chunk's, the latest embedded; twelve candidates an event at most.
+    """
+    v = table(s, d, "event_vectors").where("event_id <> '' and chunk_seq = 0 and size(embedding) = 64")
+    v = v.groupBy(F.col("event_id").alias("id")).agg(F.max_by("embedding", F.struct("embedded_at", "embedding")).alias("e"))
+    cl = _classes(s, d)
+    n = cl.join(v, "id")
+    c = _candidates(s, d).select(F.least("id", "other").alias("source"), F.greatest("id", "other").alias("target")).distinct()
+    j = c.join(n.select(F.col("id").alias("source"), F.col("class").alias("a"), F.col("e").alias("x")), "source").join(n.select(F.col("id").alias("target"), F.col("class").alias("b"), F.col("e").alias("y")), "target")
+    rel, turned = G.inferred_relation(F.col("a"), F.col("b"))
+    j = j.withColumn("relation", rel).withColumn("turned", turned).where("relation is not null").withColumn("weight", T.cosine(F.col("x"), F.col("y"))).where(F.col("weight") >= least)
+    return j.select(F.when(F.col("turned"), F.col("target")).otherwise(F.col("source")).alias("source"), F.when(F.col("turned"), F.col("source")).otherwise(F.col("target")).alias("target"), "relation", "weight")
+
+
+def _history(s, d):
+    """Events of each source file with the causes of those events, two levels back: (file, id, how), direct before causal.
+
+    All files at once: seeds by path or name, then one traversal for all seeds.
+    """
+    ev = _ev(s, d, "json_cache")
+    seeds = E.file_refs(ev).where(~F.col("file_path").endswith(".md")).select(F.col("file_path").alias("file"), F.col("event_id").alias("start")).distinct()
+    chain = G.causal_chain(table(s, d, "graph_edges"), seeds.select("start"), 2).join(ev.select("id"), "id", "left_semi")
+    causal = seeds.join(chain, "start").select("file", "id", F.lit("causal").alias("how")).distinct()
+    direct = seeds.select("file", F.col("start").alias("id"), F.lit("direct").alias("how"))
+    return direct.unionByName(causal.join(direct.select("file", "id"), ["file", "id"], "left_anti"))
 
 
 def _overrides(s, d):
@@ -46,14 +105,6 @@ def _overrides(s, d):
 
 
 def _correlated(s, d):
-    """Commits and documents of at most three days apart that share keywords of the commit: equi-join on day and word."""
-    c = _ev(s, d).where("type = 'git_commit'").select("id", F.explode(T.keywords(F.col("summary"))).alias("word"), "date")
-    c = c.select("id", "word", F.explode(F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda k: F.date_add("date", k))).alias("day"))
-    w = table(s, d, "documents").select("doc_id", F.to_date("created_at").alias("day"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\w]+"), F.lit(0)))).alias("word"))
-    return c.join(w, ["day", "word"]).groupBy("id", "doc_id").agg(F.count("*").alias("score")).where("score >= 2")
-
-
-def _all_correlated(s, d):
     """Every commit and document of at most three days apart of which the text contains a keyword of the commit, with the number contained.
 
     Each document is searched for the distinct keywords of its day; what it holds meets the commits by day and word.
@@ -80,22 +131,6 @@ def _all_correlated(s, d):
 
 
 def _candidates(s, d):
-    """For the events of the last three days: which of the 48 newest others share session, job or module; the first 12."""
-    from pyspark.sql import Window
-
-    ev = _us(_ev(s, d)).select("id", "us", "date", F.array(F.concat(F.lit("j:"), F.nullif("job_id", F.lit(""))), F.concat(F.lit("s:"), F.nullif(E.metadata("session_id"), F.lit(""))), F.concat(F.lit("m:"), F.nullif(E.metadata("module_path"), F.lit("")))).alias("k"))
-    ev = ev.withColumn("k", F.filter("k", lambda x: x.isNotNull()))
-    newest = ev.orderBy(F.desc("us"), "id").limit(49).withColumn("place", F.row_number().over(Window.orderBy(F.desc("us"), "id")))  # 49 rows
-    a = ev.where("date >= '2026-01-30'").select("id", F.explode("k").alias("key"))
-    b = newest.select(F.col("id").alias("other"), "place", F.explode("k").alias("key"))
-    own = newest.select("id", F.col("place").alias("own"))
-    j = a.join(F.broadcast(b), "key").where("id <> other").select("id", "other", "place").distinct().join(F.broadcast(own), "id", "left")
-    j = j.where(F.col("place") - F.when(F.col("own") < F.col("place"), 1).otherwise(0) <= 48)  # 48 others than itself
-    w = Window.partitionBy("id").orderBy("place")
-    return j.withColumn("rank", F.row_number().over(w)).where("rank <= 12").select("id", "other", F.col("rank").cast("long").alias("rank"))
-
-
-def _all_candidates(s, d):
     """For every event: which of the 48 newest others share session, job, module or a file; the first 12."""
     from pyspark.sql import Window
 
@@ -173,29 +208,28 @@ QUERIES = {
     "jn10_explicit_links": (
         _explicit,
         _LATEST + f""", {_CLASSES}, {_ONTOLOGY}, c AS (SELECT DISTINCT source_event_id AS source, unnest(from_json(event_ids, '["VARCHAR"]')) AS target FROM chunks WHERE source_event_id <> ''),
-            j AS (SELECT c.source, c.target, a.class AS a, b.class AS b FROM c LEFT JOIN classes a ON a.id = c.source LEFT JOIN classes b ON b.id = c.target WHERE c.source <> c.target)
-            SELECT source, target, coalesce((SELECT arg_min(rel, ord) FROM ontology WHERE dom = a AND rng = b), (SELECT arg_min(rel, ord) FROM ontology WHERE dom = b AND rng = a), 'related_to') AS relation, 1.0::DOUBLE AS weight FROM j""",
+            j AS (SELECT c.source, c.target, a.class AS a, b.class AS b FROM c LEFT JOIN classes a ON a.id = c.source LEFT JOIN classes b ON b.id = c.target WHERE c.source <> c.target),
+            r AS (SELECT source, target, coalesce((SELECT arg_min(rel, ord) FROM ontology WHERE dom = a AND rng = b), (SELECT arg_min(rel, ord) FROM ontology WHERE dom = b AND rng = a), 'related_to') AS relation FROM j),
+            n AS (SELECT id, epoch_us(timestamp) AS us, json_extract_string(json_cache, '$.metadata.session_id') AS se, json_extract_string(json_cache, '$.metadata.service_name') AS sv, json_extract_string(json_cache, '$.metadata.module_path') AS mo, nullif(job_id, '') AS jo FROM ev)
+            SELECT source, target, relation, 1.0::DOUBLE AS weight, CASE WHEN relation <> 'triggers' THEN 'semantic' WHEN x.id IS NULL OR y.id IS NULL THEN 'missing' WHEN y.us + 1000000 < x.us THEN 'time'
+                WHEN NOT (coalesce(x.se = y.se, FALSE) OR coalesce(x.sv = y.sv, FALSE) OR coalesce(x.mo = y.mo, FALSE) OR coalesce(x.jo = y.jo, FALSE)) THEN 'isolation' ELSE 'causal' END AS gate
+            FROM r LEFT JOIN n x ON x.id = source LEFT JOIN n y ON y.id = target""",
     ),
     "jn11_correlated_documents": (
         _correlated,
         _LATEST + """, k AS (SELECT DISTINCT id, date, regexp_replace(w, '""" + _sql(T.KEYWORD_EDGES) + """', '', 'g') AS word FROM (SELECT id, date, unnest(regexp_split_to_array(lower(trim(summary)), '\\s+')) AS w FROM ev WHERE type = 'git_commit') WHERE length(w) >= 3 AND w NOT IN ("""
         + ",".join(f"'{w}'" for w in T.STOP_WORDS)
-        + """)), t AS (SELECT DISTINCT doc_id, CAST(created_at AS DATE) AS day, unnest(regexp_extract_all(lower(text), '[\\w]+')) AS word FROM documents)
-            SELECT id, doc_id, count(*) AS score FROM k JOIN t USING (word) WHERE word <> '' AND t.day BETWEEN k.date - 3 AND k.date + 3 GROUP BY 1, 2 HAVING score >= 2""",
-    ),
-    "jn13_candidates": (
-        _candidates,
-        _LATEST + f""", x AS (SELECT id, {_US} AS us, date, nullif(job_id, '') AS j, nullif(json_extract_string(json_cache, '$.metadata.session_id'), '') AS se, nullif(json_extract_string(json_cache, '$.metadata.module_path'), '') AS m FROM ev),
-            a AS (SELECT * FROM x WHERE date >= DATE '2026-01-30'),
-            n AS (SELECT a.id, b.id AS other, b.us, coalesce(a.j = b.j, FALSE) OR coalesce(a.se = b.se, FALSE) OR coalesce(a.m = b.m, FALSE) AS shares, row_number() OVER (PARTITION BY a.id ORDER BY b.us DESC, b.id) AS r FROM a JOIN x b ON a.id <> b.id)
-            SELECT id, other, rank FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY us DESC, other) AS rank FROM n WHERE r <= 48 AND shares) WHERE rank <= 12""",
+        + """)), t AS (SELECT DISTINCT doc_id, CAST(created_at AS DATE) AS day, lower(text) AS said FROM documents)
+            SELECT id, doc_id, count(*) AS score FROM k JOIN t ON t.day BETWEEN k.date - 3 AND k.date + 3 AND contains(said, word) WHERE word <> '' GROUP BY 1, 2""",
     ),
-    "jn11_all_correlated_documents": (_all_correlated, None),
-    "jn13_all_candidates": (_all_candidates, None),
+    "jn13_candidates": (_candidates, _LATEST + _CANDIDATES + " SELECT id, other, rank FROM cand"),
     "re1_all_links": (
-        lambda s, d: G.time_links(_ev(s, d)).withColumn("origin", F.lit("time")).unionByName(_explicit(s, d).withColumn("origin", F.lit("explicit"))).groupBy("origin", "relation").agg(F.count("*").alias("n")),
-        None,
+        lambda s, d: G.time_links(_ev(s, d)).withColumn("origin", F.lit("time")).unionByName(_semantic(s, d).withColumn("origin", F.lit("semantic"))).select("origin", "source", "target", "relation", F.round("weight", 6).alias("weight")),
+        _SEMANTIC + JN6_SQL[len(_LATEST) :].replace("\n            SELECT CASE", ", time_links AS (SELECT CASE") + """)
+            SELECT 'time' AS origin, source, target, relation, weight FROM time_links UNION ALL SELECT 'semantic', source, target, relation, round(weight, 6) FROM sem""",
     ),
+    "jn7_semantic_links": (lambda s, d: _semantic(s, d, 0.0).withColumn("weight", F.round("weight", 6)), _SEMANTIC.replace(">= 0.85", ">= 0.0") + " SELECT source, target, relation, round(weight, 6) AS weight FROM sem"),
+    "jn19_causal_history": (_history, _HISTORY),
     "tx10_best_prompt": (
         _best_prompt,
         """SELECT vec_id, prompt, round(c, 6) AS score FROM (SELECT v.vec_id, p.vec_id AS prompt, list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS c,

@@ -8,6 +8,7 @@ from lodestrand.functions import text as T
 from lodestrand.operators import events as E
 from lodestrand.operators import graph as G
 from lodestrand.operators import slots
+from lodestrand.plans.graphs import _cycle_sql
 from lodestrand.plans.timeline import _LATEST, _ev
 from lodestrand.tables import table
 
@@ -53,14 +54,6 @@ QUERIES = {
         lambda s, d: _ev(s, d, "type", "date").groupBy("type").agg(F.count("*").alias("n"), F.min("date").cast("string").alias("first_day"), F.max("date").cast("string").alias("last_day"), F.countDistinct("markdown_path").alias("n_files")),
         _LATEST + "SELECT type, count(*) AS n, CAST(min(date) AS VARCHAR) AS first_day, CAST(max(date) AS VARCHAR) AS last_day, count(DISTINCT markdown_path) AS n_files FROM ev GROUP BY 1",
     ),
-    "tk6_by_severity": (
-        lambda s, d: table(s, d, "sensitive_findings").select("raw_id", "type", "start_pos", F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).otherwise(2).alias("rank")).orderBy("rank", "raw_id", "start_pos", "type").limit(100),
-        "SELECT raw_id, type, start_pos, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END AS rank FROM sensitive_findings ORDER BY rank, raw_id, start_pos, type LIMIT 100",
-    ),
-    "sk21_path_records": (
-        lambda s, d: _ev(s, d, "date").select("id", F.when(F.size(F.split("markdown_path", "/")) == 3, "session-end").when(F.col("markdown_path").contains("/jobs/"), "job-end").otherwise("event").alias("kind"), F.size(F.split("markdown_path", "/")).cast("long").alias("depth")),
-        _LATEST + "SELECT id, CASE WHEN len(string_split(markdown_path, '/')) = 3 THEN 'session-end' WHEN contains(markdown_path, '/jobs/') THEN 'job-end' ELSE 'event' END AS kind, len(string_split(markdown_path, '/')) AS depth FROM ev",
-    ),
     "sk25_to_embed": (
         lambda s, d: _ev(s, d, "date").select("id").join(table(s, d, "event_vectors").where("embedding is not null").select(F.col("event_id").alias("id")), "id", "left_anti").orderBy("id").limit(100),
         _LATEST + "SELECT id FROM ev WHERE id NOT IN (SELECT event_id FROM event_vectors WHERE embedding IS NOT NULL) ORDER BY id LIMIT 100",
@@ -70,14 +63,8 @@ QUERIES = {
         _LATEST + "SELECT id FROM ev WHERE id IN (SELECT source FROM graph_edges WHERE contains(target, 'cache') AND relation = 'modifies') ORDER BY timestamp DESC, id LIMIT 500",
     ),
     "ax2_decision_cycles": (
-        lambda s, d: G.cycles(_decision_edges(s, d), 3).select(F.col("cycle"), F.element_at(F.split("cycle", " -> "), 1).alias("first_id")),
-        _LATEST + """, d AS (SELECT id FROM ev WHERE type IN ('decision', 'reasoning', 'convention')), e AS (SELECT DISTINCT source AS a, target AS b FROM graph_edges WHERE source IN (SELECT id FROM d) AND target IN (SELECT id FROM d))
-           SELECT a AS cycle, a AS first_id FROM e WHERE a = b UNION SELECT x.a || ' -> ' || y.a, x.a FROM e x JOIN e y ON y.a = x.b AND y.b = x.a WHERE x.a < y.a
-           UNION SELECT x.a || ' -> ' || y.a || ' -> ' || z.a, x.a FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = y.b AND z.b = x.a WHERE x.a < y.a AND x.a < z.a AND y.a <> z.a""",
-    ),
-    "ax2_all_decision_cycles": (
-        lambda s, d: G.all_cycles(_decision_edges(s, d)).select(F.col("cycle"), F.element_at(F.split("cycle", " -> "), 1).alias("first_id")),
-        None,
+        lambda s, d: G.all_cycles(_overriding(s, d)).select(F.col("cycle"), F.element_at(F.split("cycle", " -> "), 1).alias("first_id")),
+        _LATEST.replace("WITH ev", "WITH RECURSIVE ev") + ", " + _cycle_sql("SELECT DISTINCT source AS a, target AS b FROM graph_edges WHERE relation = 'overrides' AND source IN (SELECT id FROM ev WHERE type = 'decision') AND target IN (SELECT id FROM ev WHERE type = 'decision')", "cycle, first_id").replace("WITH RECURSIVE ", "", 1),
     ),
     "tx14_todo_lines": (
         lambda s, d: table(s, d, "raw_data").where(F.col("content").rlike("TODO|FIXME")).dropDuplicates(["id"]).select("id", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("p", "line")).where(F.col("line").rlike("TODO|FIXME")).select("id", (F.col("p") + 1).cast("long").alias("line_no"), F.trim("line").alias("line")),
@@ -127,9 +114,10 @@ def _touching(s, d):
     return a.unionByName(b).groupBy("source", "target", "relation").agg(F.max("weight").alias("weight"))
 
 
-def _decision_edges(s, d):
-    x = _ev(s, d, "type").where("type in ('decision', 'reasoning', 'convention')").select("id")
-    e = table(s, d, "graph_edges").select("source", "target").distinct()
+def _overriding(s, d):
+    """Edges by which a decision overrides a decision."""
+    x = _ev(s, d, "type").where("type = 'decision'").select("id")
+    e = table(s, d, "graph_edges").where("relation = 'overrides'").select("source", "target").distinct()
     return e.join(x.withColumnRenamed("id", "source"), "source", "left_semi").join(x.withColumnRenamed("id", "target"), "target", "left_semi")
 
 

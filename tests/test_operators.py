@@ -1,5 +1,6 @@
 """Operators against plain Python on small fixtures, with hot keys, ties, nulls and empty tables."""
 
+import json
 import random
 
 import pandas as pd
@@ -75,9 +76,9 @@ def test_reach_and_cycles(spark):
     e = simple(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b")])
     assert {r.id for r in graph.reach(e, starts(spark, "a")).collect()} == {"b", "c", "d"}
     assert {r.id for r in graph.reach(e, starts(spark, "c"), backward=True).collect()} == {"a", "b", "d"}
-    assert rows(graph.cycles(e)) == [("b -> c -> d", 3)]
-    assert rows(graph.cycles(simple(spark, [("a", "a"), ("a", "b"), ("b", "a")]))) == [("a -> b", 2), ("a", 1)]
-    assert graph.cycles(e.limit(0)).count() == 0 and graph.reach(e.limit(0), starts(spark, "a")).count() == 0
+    assert rows(graph.all_cycles(e)) == [("b -> c -> d", 3)]
+    assert rows(graph.all_cycles(simple(spark, [("a", "a"), ("a", "b"), ("b", "a")]))) == [("a -> b", 2), ("a", 1)]
+    assert graph.all_cycles(e.limit(0)).count() == 0 and graph.reach(e.limit(0), starts(spark, "a")).count() == 0
 
 
 def test_all_cycles(spark):
@@ -91,6 +92,103 @@ def test_all_cycles(spark):
 
 
 
+def test_metadata_merge(spark):
+    """Lists unite in order, all else is overwritten by the later row; a value that is no list ends a list."""
+    rows_ = [
+        ("a", "b", "r", 0.2, '{"files": ["x", "y"], "by": "one", "n": {"k": 1}, "l": [1]}', 1.0), ("a", "b", "r", 0.9, '{"files": ["y", "z"], "by": "two", "l": "s"}', 2.0), ("a", "b", "r", None, '{"l": [2, 2], "t": true}', 3.0),
+        ("a", "b", "r", 0.1, None, 4.0), ("a", "b", "r", 0.1, "not json", 5.0), ("c", "d", "r", None, None, None), (None, "d", "r", 0.5, '{"q": "it\'s \\"so\\""}', None),
+    ]
+    e = spark.createDataFrame(rows_, "source string, target string, relation string, weight double, metadata string, created_at double")
+    got = {(r.source, r.target): (r.weight, json.loads(r.metadata), r.created_at) for r in graph.merged_edges(e).collect()}
+    assert got[("a", "b")] == (0.9, {"files": ["x", "y", "z"], "by": "two", "n": {"k": 1}, "l": [2], "t": True}, 1.0)
+    assert got[("c", "d")] == (None, {}, None) and got[(None, "d")] == (0.5, {"q": 'it\'s "so"'}, None)
+    links = {r.source: json.loads(r.metadata) for r in storage.merge_links(e, spark.createDataFrame([("a",), ("a",)], "id string")).collect()}
+    assert links == {"a": {"files": ["y", "z"], "by": "two", "n": {"k": 1}, "l": [2, 2], "t": True}}
+    assert graph.merged_edges(e.limit(0)).count() == 0
+
+
+def test_forbidden_and_imports(spark):
+    d = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "b"), (None, "c")], "source string, target string")
+    assert rows(graph.forbidden_dependencies(d, [("a", "*"), ("*", "c")])) == sorted([("a", "b", "a -> *"), ("b", "c", "* -> c"), (None, "c", "* -> c")], key=repr)
+    f = spark.createDataFrame([("p/a.py", "import", "b"), ("p/b.py", "import", "p.a"), ("p/a.py", "call", "x"), ("p/a.py", "import", "os")], "file_path string, kind string, name string")
+    n = spark.createDataFrame([("a", "p/a.py"), ("p.a", "p/a.py"), ("b", "p/b.py"), ("p.b", "p/b.py")], "module string, file_path string")
+    assert rows(graph.all_cycles(graph.file_imports(f, n))) == [("p/a.py -> p/b.py", 2)]
+
+
+SMELLY = '''
+def a():
+    """Doc."""
+    ...
+
+async def b():
+    pass
+
+def c():
+    try:
+        x()
+    except:
+        pass
+    try:
+        x()
+    except Exception as e:
+        raise
+    try:
+        x()
+    except (ValueError, KeyError):
+        return
+    except BaseException:
+        log(1)
+'''
+
+
+def test_smells(spark):
+    got = code.python_smells(SMELLY)
+    assert got == [("empty_function", "P2", 2), ("empty_function", "P2", 6), ("bare_except", "P0", 12), ("swallowed_error", "P0", 12), ("broad_catch", "P1", 16), ("swallowed_error", "P0", 20), ("broad_catch", "P1", 22)]
+    raw = spark.createDataFrame([(SMELLY.replace("\n", "\r\n"), ["p/a.py"]), ("def (", ["b.py"]), (None, ["c.py"]), (SMELLY, ["d.js"]), (SMELLY, None)], "content string, files_mentioned array<string>")
+    assert [tuple(r)[1:] for r in code.smells(raw).collect()] == got and code.smells(raw.limit(0)).count() == 0
+
+
+def test_references_and_impact(spark):
+    f = spark.createDataFrame([("a.py", "import", "x.b", "", 1), ("a.py", "call", "go", "", 3), ("a.py", "call", "go", "", 9), ("a.py", "call", "x.b", "", 4)], code.FACT)
+    n = spark.createDataFrame([("b", "x/b.py"), ("x.b", "x/b.py")], "module string, file_path string")
+    y = spark.createDataFrame([("go", "x/b.py"), ("go", "c.py")], "name string, file_path string")
+    assert rows(code.references(f, n, y)) == [("a.py", "call", "go", "c.py"), ("a.py", "call", "go", "x/b.py"), ("a.py", "import", "x.b", "x/b.py")]
+    sym = spark.createDataFrame([("s1", "a", 1, 200), ("s2", "a", 63, 64), ("s3", "a", 130, 129), ("s4", "b", 1, 5), ("s5", "a", None, 5)], "id string, file_path string, line_start int, line_end int")
+    ch = spark.createDataFrame([("a", 64), ("a", 64), ("a", 150), ("b", 6)], "file_path string, line int")
+    assert rows(code.impacted(sym, ch)) == [("s1",), ("s2",)]
+
+
+def test_sync_and_migration(spark):
+    found = spark.createDataFrame([("a", 1.0, "---\nx"), ("b", 2.0, "---"), ("c", 3.0, "no"), ("d", 4.0005, "no"), ("a", 0.5, "zz"), ("e", 9.0, None)], "path string, mtime double, text string")
+    stored = spark.createDataFrame([("b", 1.0), ("d", 4.0), ("gone", 1.0)], "path string, mtime double")
+    assert rows(storage.sync_status(found, stored)) == [("a", "added"), ("b", "updated"), ("c", "error"), ("d", "skipped"), ("e", "error"), ("gone", "removed")]
+    old = spark.createDataFrame(
+        [("x", 2, None, None, "a-b", "about", "# T\nbody"), (None, None, None, "2026-01-05", "job-end", "about", "intro\n# T\nbody"), ("y", None, None, "2026-01-05", "t", "about", "body"), ("z", None, None, None, None, None, None)],
+        "id string, version int, timestamp string, date string, type string, description string, content string",
+    )
+    one = storage.migrated(old)
+    got = {r.content: r for r in one.collect()}
+    assert got["# T\nbody"].type == "a-b" and got["intro\n# T\n\nabout\nbody"].type == "job_end" and got["about\n\nbody"].version == 2 and got[""].id == "z"
+    again = one.withColumn("timestamp", F.lit("2026")).withColumn("date", F.lit("2026")).withColumn("description", F.lit("about"))
+    assert rows(storage.migrated(again)) == rows(one)
+    stay, n = storage.removed_rows(old.select("id", "type"), old.where("type = 't'").select("type"), ["type"])
+    assert stay.count() == 3 and rows(n) == [("t", 1)]
+
+
+def test_similar_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(similarity, "ROW_BLOCK", 10)
+    r = random.Random(3)
+    vecs = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(90, None), (91, [0.0] * 4), (92, [1.0, 2.0]), (93, [1.0, None, 2.0, 3.0]), (5, [1.0, 1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(vecs, "id long, embedding array<double>")
+    q = v.where("id % 3 = 0")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    good = [(i, x) for i, x in vecs if x and None not in x and any(x)]
+    want = sorted((i, j) for i, x in good if i % 3 == 0 for j, y in good if i != j and len(x) == len(y) and cos(x, y) >= 0.7)
+    assert sorted((a.query_id, a.id) for a in similarity.similar_to(q, v, 0.7).collect()) == want and want
+    assert similarity.similar_to(q.limit(0), v, 0.7).count() == 0 and similarity.similar_to(q, v.limit(0), 0.7).count() == 0
+
+
 def test_random_graph_against_search(spark):
     r = random.Random(9)
     pairs = [(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(120)]
@@ -144,7 +242,7 @@ def test_upserts(spark):
     new = spark.createDataFrame([("a", 1.0, "y"), ("b", 1.0, "y"), ("c", None, "y"), ("c", None, "y")], "id string, at double, v string")
     assert rows(storage.upsert(old, new, ["id"], "at")) == sorted([("a", 1.0, "y"), ("b", 2.0, "x"), ("c", None, "y"), (None, 1.0, "n")], key=repr)
     assert rows(storage.insert_absent(old, new, ["id"])) == [("c", None, "y")]
-    f = spark.createDataFrame([("p", 1.0), ("q", 2.0), ("r", 3.0)], "path string, mtime double")
+    f = spark.createDataFrame([("p", 1.0, "---"), ("q", 2.0, "---"), ("r", 3.0, "---")], "path string, mtime double, text string")
     s = spark.createDataFrame([("p", 1.0005), ("q", 1.0), ("z", 1.0)], "path string, mtime double")
     assert rows(storage.sync_status(f, s)) == [("p", "skipped"), ("q", "updated"), ("r", "added"), ("z", "removed")]
 
