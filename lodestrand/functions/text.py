@@ -160,18 +160,30 @@ def plain_redact(col: Column) -> Column:
 def redact_overlapping(texts: pd.Series) -> pd.Series:
     """All patterns found on the text as it is, replaced from the last start to the first.
 
-    Findings that overlap are replaced one after the other on the text as it has become,
-    which is how the plain redaction treats them; findings of one start keep pattern order.
+    A finding that reaches into text already replaced takes as many characters of what stands
+    there by then; findings of one start keep pattern order. The text is built backwards: what
+    is behind the current start is kept as a list of pieces, of which a finding eats the first.
     """
     rules = [(n, re.compile(p)) for n, p in PLAIN_PATTERNS]
 
     def one(text: str | None) -> str | None:
         if not text:
             return text
-        found = [(m.start(), m.end(), n) for n, rx in rules for m in rx.finditer(text)]
-        for lo, hi, n in sorted(found, key=lambda f: -f[0]):
-            text = f"{text[:lo]}[REDACTED]_{n.upper()}{text[hi:]}"
-        return text
+        found = [(m.start(), i, m.end() - m.start(), n) for i, (n, rx) in enumerate(rules) for m in rx.finditer(text)]
+        behind: list[str] = []  # pieces of the result, the first one last
+        at = len(text)
+        for lo, _, size, n in sorted(found, key=lambda f: (-f[0], f[1])):
+            if lo < at:
+                behind.append(text[lo:at])
+                at = lo
+            while size and behind:
+                piece = behind.pop()
+                if len(piece) > size:
+                    behind.append(piece[size:])
+                size -= min(size, len(piece))
+            behind.append(f"[REDACTED]_{n.upper()}")
+        behind.append(text[:at])
+        return "".join(reversed(behind))
 
     return texts.map(one)
 
@@ -191,3 +203,32 @@ def cosine(a: Column, b: Column) -> Column:
 def clipped(col: Column, n: int) -> Column:
     """First ``n`` characters, with ``...`` in place of the last three when longer."""
     return F.when(F.char_length(col) <= n, col).otherwise(F.concat(F.substring(col, 1, n - 3), F.lit("...")))
+
+
+def bullets(col: Column) -> Column:
+    """The items of a list, trimmed; in their order."""
+    return F.transform(F.regexp_extract_all(col, F.lit(r"(?m)^[ \t]*[-*][ \t]*([^\r\n]+)$"), F.lit(1)), F.trim)
+
+
+def task_items(col: Column, checked: bool) -> Column:
+    """The items of checked (or open) boxes, in their order."""
+    lines = F.filter(F.split(col, r"\r\n|\n|\r"), lambda x: x.contains("- [x] " if checked else "- [ ] "))
+    items = F.transform(lines, lambda x: F.trim(F.replace(x, F.lit("- [x] " if checked else "- [ ] "), F.lit(""))))
+    return F.filter(items, lambda x: x != "")
+
+
+def tolerant_json(text: Column) -> Column:
+    """The JSON of a model's answer as text: the whole, else what a fence holds, else from the first brace to the last; null where none parses."""
+    t = F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    fenced = F.nullif(F.regexp_extract(t, r"```(?:json)?\s*((?s:.*?))\s*```", 1), F.lit(""))
+    braces = F.nullif(F.regexp_extract(t, r"(\{(?s:.*)\})", 1), F.lit(""))
+    tries = [F.when(F.try_parse_json(x).isNotNull(), x) for x in (t, fenced, braces)]
+    return F.coalesce(*tries)
+
+
+def repaired_list(text: Column) -> Column:
+    """The JSON list of a model's answer as text: without fences; cut off behind its last whole object and closed where it broke off."""
+    t = F.regexp_replace(F.regexp_replace(text, r"\A\s*```\w*\s*|\s*```\s*\z", ""), r"\A\s+|\s+\z", "")
+    closed = F.concat(F.regexp_extract(t, r"\A(\[(?s:.*)\})", 1), F.lit("]"))
+    inner = F.nullif(F.regexp_extract(t, r"(\[(?s:.*)\])", 1), F.lit(""))
+    return F.coalesce(*[F.when(F.try_parse_json(x).isNotNull() & x.startswith("["), x) for x in (t, inner, closed)])

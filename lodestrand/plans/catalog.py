@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import graphs, integrity, linking, records, searches, storing, timeline
+from lodestrand.plans import extraction, graphs, integrity, linking, records, searches, storing, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [integrity, timeline, graphs, searches, storing, linking, records]
+MODULES = [integrity, timeline, graphs, searches, storing, linking, records, extraction]
 
 
 def queries() -> dict[str, Query]:

@@ -148,24 +148,11 @@ def _candidates(s, d):
 
 
 def _best_prompt(s, d):
-    """The best of five prompt vectors for each vector, where the cosine exceeds 0.2; five columns, no join."""
+    """The best of five prompt vectors for each vector, where the cosine exceeds 0.7; five columns, no join."""
     v = table(s, d, "embeddings")
     p = {r.vec_id: [float(x) for x in r.embedding] for r in v.where("vec_id < 5").select("vec_id", "embedding").collect()}  # five rows by definition
     scores = F.array(*[F.struct(T.cosine(F.col("embedding"), F.array(*[F.lit(x) for x in e])).alias("c"), F.lit(-k).alias("k")) for k, e in sorted(p.items())])
-    return v.select("vec_id", F.array_max(scores).alias("b")).where("b.c > 0.2").select("vec_id", (-F.col("b.k")).cast("long").alias("prompt"), F.round("b.c", 6).alias("score"))
-
-
-def _first_layer(s, d):
-    c = table(s, d, "chunks").where("content is not null").select("chunk_id", T.turn_class(F.col("content")).alias("category"), F.substring("content", 1, 50).alias("summary")).distinct()
-    kind = F.when(F.col("category").isin("completed_task", "decision"), "decision").when(F.col("category") == "problem", "diagnostic").when(F.col("category") == "pending", "task")
-    c = c.withColumn("type", kind).where("type is not null")
-    return c.select(F.concat(F.lit("evt_"), F.substring(F.sha2(F.concat(F.col("chunk_id"), F.lit(":l1:0")), 256), 1, 16)).alias("id"), "chunk_id", "type", "summary")
-
-
-def _turn(col):
-    from lodestrand.plans.searches import _turn_sql
-
-    return _turn_sql(col)
+    return v.select("vec_id", F.array_max(scores).alias("b")).where("b.c > 0.7").select("vec_id", (-F.col("b.k")).cast("long").alias("prompt"), F.round("b.c", 6).alias("score"))
 
 
 def _stream(s, d, name, build, mode):
@@ -233,17 +220,7 @@ QUERIES = {
     "tx10_best_prompt": (
         _best_prompt,
         """SELECT vec_id, prompt, round(c, 6) AS score FROM (SELECT v.vec_id, p.vec_id AS prompt, list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS c,
-             row_number() OVER (PARTITION BY v.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]) DESC, p.vec_id) AS r FROM embeddings v JOIN embeddings p ON p.vec_id < 5) WHERE r = 1 AND c > 0.2""",
-    ),
-    "tx12_first_layer": (
-        _first_layer,
-        f"""SELECT DISTINCT 'evt_' || substr(sha256(chunk_id || ':l1:0'), 1, 16) AS id, chunk_id, CASE WHEN k IN ('completed_task', 'decision') THEN 'decision' WHEN k = 'problem' THEN 'diagnostic' ELSE 'task' END AS type, substr(content, 1, 50) AS summary
-            FROM (SELECT chunk_id, content, {{TURN}} AS k FROM chunks WHERE content IS NOT NULL) WHERE k IN ('completed_task', 'decision', 'problem', 'pending')""",
-    ),
-    "tx15_table_rows": (
-        lambda s, d: _table_rows(s, d),
-        r"""SELECT DISTINCT doc_id, trim(regexp_extract(l, '^\|([^|]*)\|([^|]*)\|', 1)) AS field, trim(regexp_extract(l, '^\|([^|]*)\|([^|]*)\|', 2)) AS value FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS l FROM documents)
-            WHERE regexp_matches(l, '^\|([^|]*)\|([^|]*)\|') AND NOT regexp_matches(l, '^\|\s*-+') AND NOT regexp_matches(l, '^\| field')""",
+             row_number() OVER (PARTITION BY v.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]) DESC, p.vec_id) AS r FROM embeddings v JOIN embeddings p ON p.vec_id < 5) WHERE r = 1 AND c > 0.7""",
     ),
     "tx19_models": (
         lambda s, d: _model(s, d),
@@ -335,7 +312,6 @@ QUERIES = {
             UNION ALL SELECT DISTINCT id, 'code', CASE WHEN lower(name) = 'cache' THEN 1.0 ELSE 0.8 END::DOUBLE, 0 FROM code_entities WHERE contains(lower(name), 'cache')) ORDER BY relevance DESC, us DESC, id LIMIT 200""",
     ),
 }
-QUERIES["tx12_first_layer"] = (QUERIES["tx12_first_layer"][0], QUERIES["tx12_first_layer"][1].replace("{TURN}", _turn("content")))
 
 
 def _similar(s, d):
@@ -343,13 +319,6 @@ def _similar(s, d):
     return V.similar_to(v.where("vec_id % 100 = 0"), v, 0.3, "vec_id").withColumn("score", F.round("score", 6))
 
 
-def _table_rows(s, d):
-    rx = r"^\|([^|]*)\|([^|]*)\|"
-    lines = table(s, d, "documents").where(F.col("text").contains("|")).select("doc_id", F.explode(F.split("text", r"\r\n|\n|\r")).alias("l"))
-    lines = lines.where(F.col("l").rlike(rx) & ~F.col("l").rlike(r"^\|\s*-+") & ~F.col("l").rlike(r"^\| field"))
-    return lines.select("doc_id", F.trim(F.regexp_extract("l", rx, 1)).alias("field"), F.trim(F.regexp_extract("l", rx, 2)).alias("value")).distinct()
-
-
 def _model(s, d):
     return table(s, d, "documents").groupBy("source", T.model_of(F.col("text")).alias("model")).agg(F.count("*").alias("n"))
 

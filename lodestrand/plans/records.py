@@ -12,7 +12,6 @@ from lodestrand.plans.graphs import _cycle_sql
 from lodestrand.plans.timeline import _LATEST, _ev
 from lodestrand.tables import table
 
-_MARK = r"job-[a-z]+-\d+"
 _ANCHORS = """a AS (SELECT id, unnest([ 'session:' || json_extract_string(json_cache, '$.metadata.session_id'), 'module:' || json_extract_string(json_cache, '$.metadata.module_path'), 'job:' || nullif(job_id, '')]) AS anchor FROM ev)"""
 
 
@@ -66,15 +65,6 @@ QUERIES = {
         lambda s, d: G.all_cycles(_overriding(s, d)).select(F.col("cycle"), F.element_at(F.split("cycle", " -> "), 1).alias("first_id")),
         _LATEST.replace("WITH ev", "WITH RECURSIVE ev") + ", " + _cycle_sql("SELECT DISTINCT source AS a, target AS b FROM graph_edges WHERE relation = 'overrides' AND source IN (SELECT id FROM ev WHERE type = 'decision') AND target IN (SELECT id FROM ev WHERE type = 'decision')", "cycle, first_id").replace("WITH RECURSIVE ", "", 1),
     ),
-    "tx14_todo_lines": (
-        lambda s, d: table(s, d, "raw_data").where(F.col("content").rlike("TODO|FIXME")).dropDuplicates(["id"]).select("id", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("p", "line")).where(F.col("line").rlike("TODO|FIXME")).select("id", (F.col("p") + 1).cast("long").alias("line_no"), F.trim("line").alias("line")),
-        r"""WITH l AS (SELECT id, regexp_split_to_array(content, '\r\n|\n|\r') AS a FROM (SELECT id, any_value(content) AS content FROM raw_data GROUP BY id)),
-            x AS (SELECT id, unnest(generate_series(1, len(a))) AS line_no, unnest(a) AS line FROM l) SELECT id, line_no, trim(line) AS line FROM x WHERE regexp_matches(line, 'TODO|FIXME')""",
-    ),
-    "tx17_marks": (
-        lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_MARK), F.lit(0))).alias("mark")).groupBy("mark").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")),
-        f"SELECT mark, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_MARK}')) AS mark FROM documents) GROUP BY 1",
-    ),
     "stm6_context": (
         lambda s, d: _conversations(s, d).select("id", F.size(F.array_distinct(F.coalesce("files_mentioned", F.array()))).cast("long").alias("n_files"), F.when(F.size(F.array_distinct("files_mentioned")) == 1, T.normal_path(F.col("files_mentioned")[0])).alias("module_path")),
         "SELECT DISTINCT id, coalesce(len(list_distinct(files_mentioned)), 0) AS n_files, CASE WHEN len(list_distinct(files_mentioned)) = 1 THEN regexp_replace(replace(files_mentioned[1], '\\', '/'), '/+', '/', 'g') END AS module_path FROM raw_data WHERE source <> 'file'",

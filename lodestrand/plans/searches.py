@@ -147,29 +147,16 @@ QUERIES = {
         lambda s, d: table(s, d, "session_records").where("text is not null and record_uuid is not null").select("record_uuid", T.turn_class(F.col("text")).alias("category")).distinct(),
         f"SELECT DISTINCT record_uuid, {_turn_sql('text')} AS category FROM session_records WHERE text IS NOT NULL AND record_uuid IS NOT NULL",
     ),
-    "tx11_turn_lists": (
-        lambda s, d: _turn_counts(s, d),
-        f"""SELECT session_id, category, count(*) AS n, min(substr(text, 1, 100)) AS first_text FROM (
-            SELECT session_id, text, {_turn_sql('text')} AS category FROM session_records WHERE text IS NOT NULL AND session_id IS NOT NULL) WHERE category <> 'other' GROUP BY 1, 2""",
-    ),
     "tx13_keywords": (
         lambda s, d: _ev(s, d, "summary").select("id", F.explode(T.keywords(F.col("summary"))).alias("word")),
         _LATEST + "SELECT DISTINCT id, word FROM (SELECT id, regexp_replace(w, '" + _sql(T.KEYWORD_EDGES) + "', '', 'g') AS word FROM (SELECT id, unnest(regexp_split_to_array(lower(trim(summary)), '\\s+')) AS w FROM ev) WHERE length(w) >= 3 AND w NOT IN ("
         + ",".join(f"'{w}'" for w in T.STOP_WORDS)
         + ")) WHERE word <> ''",
     ),
-    "tx16_task_items": (
-        lambda s, d: _list_items(s, d),
-        r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: regexp_matches(x, '^\s*[-*] '))) AS n_items FROM documents WHERE n_items > 0",
-    ),
     "tx18_token_estimates": (
         lambda s, d: _doc(s, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens")),
         "SELECT doc_id, CAST(trunc(len(regexp_extract_all(text, '[一-鿿]')) / 1.5 + (length(text) - len(regexp_extract_all(text, '[一-鿿]'))) / 4.0) AS INTEGER) AS tokens FROM documents",
     ),
-    "tx20_path_dates": (
-        lambda s, d: _ev(s, d, "mtime").select("id", F.concat_ws("-", *[F.regexp_extract("markdown_path", r"(\d{4})/(\d{2})/(\d{2})", i) for i in (1, 2, 3)]).alias("day")),
-        _LATEST + r"SELECT id, regexp_extract(markdown_path, '(\d{4})/(\d{2})/(\d{2})', 1) || '-' || regexp_extract(markdown_path, '(\d{4})/(\d{2})/(\d{2})', 2) || '-' || regexp_extract(markdown_path, '(\d{4})/(\d{2})/(\d{2})', 3) AS day FROM ev",
-    ),
     "tx23_module_names": (
         lambda s, d: _entities(s, d).select("file_path").distinct().select("file_path", F.explode(T.module_names(F.col("file_path"))).alias("module")),
         r"""SELECT file_path, array_to_string(p[len(p) - k + 1:], '.') AS module FROM (SELECT DISTINCT file_path, string_split(regexp_replace(file_path, '\.\w+$', ''), '/') AS p FROM code_entities), LATERAL (SELECT unnest(generate_series(1, len(p))) AS k)""",
@@ -179,15 +166,6 @@ QUERIES = {
         r"""SELECT 'doc_' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS id, CASE WHEN length(l) < 100 THEN l ELSE CAST(doc_id AS VARCHAR) END AS summary FROM (
             SELECT doc_id, trim(regexp_replace(list_filter(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: trim(x) <> '')[1], '^#+\s*', '')) AS l FROM documents WHERE trim(text) <> '')""",
     ),
-    "sc21_clock_ranges": (
-        lambda s, d: _clock(s, d),
-        r"SELECT id, list_min(t) AS first_clock, list_max(t) AS last_clock, len(t) AS n FROM (SELECT id, regexp_extract_all(content, '### (?:USER|ASSISTANT) \((\d{2}:\d{2})\)', 1) AS t FROM (SELECT id, any_value(content) AS content FROM raw_data GROUP BY id)) WHERE len(t) > 0",
-    ),
-    "wn8_turn_pairs": (
-        lambda s, d: _turn_pairs(s, d),
-        r"""WITH b AS (SELECT id, regexp_extract_all(content, '### (USER|ASSISTANT) \(', 1) AS roles FROM (SELECT id, any_value(content) AS content FROM raw_data WHERE source <> 'file' GROUP BY id))
-            SELECT id, len(list_filter(roles, lambda x: x = 'USER')) AS n_user, len(list_filter(roles, lambda x: x = 'ASSISTANT')) AS n_assistant, greatest(0, len(list_filter(roles, lambda x: x = 'USER')) - len(list_filter(roles, lambda x: x = 'ASSISTANT'))) AS unanswered FROM b WHERE len(roles) > 0""",
-    ),
     "ag18_documented": (
         lambda s, d: _entities(s, d).groupBy(F.element_at(F.split("file_path", "/"), 1).alias("top")).agg(F.countDistinct("id").alias("n"), F.countDistinct(F.when(F.col("docstring").isNull(), F.col("id"))).alias("bare")).withColumn("score", F.greatest(F.lit(0), 100 - 10 * F.col("bare"))),
         "SELECT string_split(file_path, '/')[1] AS top, count(DISTINCT id) AS n, count(DISTINCT CASE WHEN docstring IS NULL THEN id END) AS bare, greatest(0, 100 - 10 * count(DISTINCT CASE WHEN docstring IS NULL THEN id END)) AS score FROM code_entities GROUP BY 1",
@@ -206,34 +184,12 @@ def _event_scores(s, d):
     return best.orderBy(F.desc("score"), "event_id").limit(100).withColumn("score", F.round("score", 6))
 
 
-def _turn_counts(s, d):
-    r = table(s, d, "session_records").where("text is not null and session_id is not null").select("session_id", "text", T.turn_class(F.col("text")).alias("category"))
-    return r.where("category <> 'other'").groupBy("session_id", "category").agg(F.count("*").alias("n"), F.min(F.substring("text", 1, 100)).alias("first_text"))
-
-
-def _list_items(s, d):
-    n = F.size(F.filter(F.split("text", r"\r\n|\n|\r"), lambda x: x.rlike(r"^\s*[-*] "))).cast("long")
-    return _doc(s, d).select("doc_id", n.alias("n_items")).where("n_items > 0")
-
-
 def _doc_rows(s, d):
     line = F.trim(F.regexp_replace(F.try_element_at(F.filter(F.split("text", r"\r\n|\n|\r"), lambda x: F.trim(x) != ""), F.lit(1)), r"^#+\s*", ""))
     key = F.col("doc_id").cast("string")
     return _doc(s, d).where(F.trim("text") != "").select(F.concat(F.lit("doc_"), F.substring(F.md5(key), 1, 12)).alias("id"), F.when(F.char_length(line) < 100, line).otherwise(key).alias("summary"))
 
 
-def _clock(s, d):
-    t = F.regexp_extract_all("content", F.lit(r"### (?:USER|ASSISTANT) \((\d{2}:\d{2})\)"), F.lit(1))
-    return _raw(s, d).select("id", t.alias("t")).where(F.size("t") > 0).select("id", F.array_min("t").alias("first_clock"), F.array_max("t").alias("last_clock"), F.size("t").cast("long").alias("n"))
-
-
-def _turn_pairs(s, d):
-    roles = F.regexp_extract_all("content", F.lit(r"### (USER|ASSISTANT) \("), F.lit(1))
-    count = lambda who: F.size(F.filter("roles", lambda x: x == who)).cast("long")
-    r = _raw(s, d).where("source <> 'file'").select("id", roles.alias("roles")).where(F.size("roles") > 0)
-    return r.select("id", count("USER").alias("n_user"), count("ASSISTANT").alias("n_assistant"), F.greatest(F.lit(0), count("USER") - count("ASSISTANT")).alias("unanswered"))
-
-
 def queries():
     return {k: q for k, (q, _) in QUERIES.items()}
 

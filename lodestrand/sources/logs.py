@@ -61,9 +61,11 @@ def snapshots(versions: DataFrame, dates: DataFrame, slot: float = 30) -> DataFr
 
 
 def time_range(text: Column) -> tuple[Column, Column]:
-    """First and last time stamp in the first and last 2,000 characters of a log."""
+    """First and last time stamp in the first and last 2,000 characters of a log; with dashes, slashes or a T, none that is part of a file's name."""
     ends = F.when(F.char_length(text) > 4000, F.concat(F.substring(text, 1, 2000), F.lit("\n"), F.right(text, F.lit(2000)))).otherwise(text)
-    found = F.transform(F.regexp_extract_all(ends, F.lit(r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"), F.lit(0)), lambda x: F.try_to_timestamp(F.translate(x, "T", " ")))
+    shapes = r"(?<![/_])(\d{4}-\d{2}-\d{2}(?:\s+|T)\d{2}:\d{2}:\d{2}|\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2})(?!\.(?:md|json|txt|log))"
+    stamp = lambda x: F.try_to_timestamp(F.regexp_replace(F.translate(x, "/T", "- "), r"\s+", " "))
+    found = F.transform(F.regexp_extract_all(ends, F.lit(shapes), F.lit(1)), stamp)
     return F.array_min(found), F.array_max(found)
 
 

@@ -93,11 +93,11 @@ def parse_events(texts: DataFrame) -> DataFrame:
 
 
 def to_markdown(events: DataFrame) -> DataFrame:
-    """(id, day, text): frontmatter without empty values, heading and content."""
+    """(id, day, text): frontmatter without empty values, heading (where there is a summary) and content."""
     line = lambda k, v: F.when(v.isNotNull() & (v != ""), F.concat(F.lit(f"{k}: "), v))
     tags = F.when(F.size("tags") > 0, F.concat(F.lit("["), F.array_join("tags", ", "), F.lit("]")))
     head = F.concat_ws("\n", line("id", F.col("id")), line("type", F.col("type")), line("source", F.col("source")), line("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")), line("tags", tags), line("confidence", F.col("confidence").cast("string")))
-    text = F.concat(F.lit("---\n"), head, F.lit("\n---\n\n# "), F.coalesce("summary", F.lit("")), F.lit("\n\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
+    text = F.concat(F.lit("---\n"), head, F.lit("\n---\n\n"), F.coalesce(F.concat(F.lit("# "), F.nullif(F.trim("summary"), F.lit("")), F.lit("\n\n")), F.lit("")), F.coalesce("content", F.lit("")), F.lit("\n"))
     return events.select("id", F.date_format("timestamp", "yyyy/MM/dd").alias("day"), text.alias("text"))
 
 
