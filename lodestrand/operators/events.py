@@ -92,9 +92,10 @@ def by_file(events: DataFrame, refs: DataFrame, target: str, limit: int = 50) ->
 
 
 def first_k(df: DataFrame, by: list[str], col: str, k: int) -> DataFrame:
-    """The k least values of ``col`` per group as an array; salted, so a hot group is never one task's."""
-    part = df.groupBy(*by, F.pmod(F.xxhash64(col), F.lit(256)).alias("_salt")).agg(F.slice(F.array_sort(F.collect_set(col)), 1, k).alias("_a"))
-    return part.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_a"))), 1, k).alias("first"))
+    """The k least different values of ``col`` per group as an array; a map task sends k of a group at most."""
+    r = F.row_number().over(Window.partitionBy(*by).orderBy(col))
+    few = df.select(*by, col).distinct().withColumn("_r", r).where(F.col("_r") <= k)
+    return few.groupBy(*by).agg(F.array_sort(F.collect_list(col)).alias("first"))
 
 
 def neighbours(events: DataFrame, n: int = 3) -> DataFrame:

@@ -248,8 +248,11 @@ QUERIES = {
             type IN ('diagnostic','research','discussion','task','resource','unknown','failed_attempt','abandoned_idea','ai_conversation','reasoning','convention') AS is_legacy FROM ev""",
     ),
     "fl21_prefix_outcomes": (
-        lambda s, d: _ev(s, d, "type").groupBy(F.substring("id", 1, 7).alias("prefix")).agg(F.count("*").alias("n"), F.count_if(F.col("type") == "decision").alias("n_decisions")).select("prefix", F.when(F.col("n_decisions") == 0, "wrong_type").when(F.col("n") > 1, "ambiguous").otherwise("unique").alias("outcome")),
-        _LATEST + "SELECT substr(id, 1, 7) AS prefix, CASE WHEN count(*) FILTER (type = 'decision') = 0 THEN 'wrong_type' WHEN count(*) > 1 THEN 'ambiguous' ELSE 'unique' END AS outcome FROM ev GROUP BY 1",
+        lambda s, d: _by_prefix(s, d),
+        _LATEST + """, q AS (SELECT DISTINCT substr(id, 1, 9) AS prefix FROM ev UNION ALL SELECT unnest(['evt', 'evt_zzzz'])),
+            m AS (SELECT prefix, count(id) AS n, count(id) FILTER (type = 'decision') AS nd, min(id) FILTER (type = 'decision') AS id FROM q LEFT JOIN ev ON starts_with(id, prefix) AND length(prefix) >= 4 GROUP BY 1),
+            o AS (SELECT prefix, CASE WHEN length(prefix) < 4 THEN 'too_short' WHEN n = 0 THEN 'missing' WHEN nd = 0 THEN 'wrong_type' WHEN nd > 1 THEN 'ambiguous' ELSE 'unique' END AS outcome, CASE WHEN nd = 1 THEN id END AS id FROM m)
+            SELECT prefix, outcome, o.id, CASE WHEN o.id IS NULL THEN 0 ELSE least(3, (SELECT count(*) FROM ev b WHERE b.timestamp < e.timestamp)) + least(3, (SELECT count(*) FROM ev b WHERE b.timestamp > e.timestamp)) END AS n_near FROM o LEFT JOIN ev e ON e.id = o.id""",
     ),
     "wn4_adjacent_pairs": (
         lambda s, d: _adjacent(s, d),
@@ -289,10 +292,13 @@ QUERIES = {
     ),
     "ag22_audit": (
         lambda s, d: _audit(s, d),
-        _LATEST + """, f AS (SELECT 'commit_without_cause' AS check_name, FALSE AS blocking, count(*) AS n FROM ev WHERE type LIKE '%commit' AND id NOT IN (SELECT source FROM graph_edges WHERE relation IN ('realizes', 'fixes') AND source IS NOT NULL)
+        _LATEST + f""", {_CLASSES}, {_ONTOLOGY}, f AS (SELECT 'commit_without_cause' AS check_name, FALSE AS blocking, count(*) AS n FROM ev WHERE type LIKE '%commit' AND id NOT IN (SELECT source FROM graph_edges WHERE relation IN ('realizes', 'fixes') AND source IS NOT NULL)
             UNION ALL SELECT 'duplicate_name', TRUE, count(*) FROM (SELECT name FROM code_entities GROUP BY 1 HAVING count(DISTINCT file_path) > 1)
-            UNION ALL SELECT 'self_edge', TRUE, count(*) FROM (SELECT DISTINCT source, target, relation FROM graph_edges WHERE source = target))
-            SELECT *, blocking AND n > 0 AS fails FROM f""",
+            UNION ALL SELECT 'self_edge', TRUE, count(*) FROM (SELECT DISTINCT source, target, relation FROM graph_edges WHERE source = target)
+            UNION ALL SELECT 'bad_relation', FALSE, count(*) FROM (SELECT DISTINCT source, target, relation FROM graph_edges LEFT JOIN ontology o ON o.rel = relation LEFT JOIN classes a ON a.id = source LEFT JOIN classes b ON b.id = target WHERE o.rel IS NULL OR a.class IS DISTINCT FROM o.dom OR b.class IS DISTINCT FROM o.rng)
+            UNION ALL SELECT 'untraced_function', FALSE, count(DISTINCT target) FROM graph_edges WHERE relation = 'modifies' AND source NOT IN (SELECT source FROM graph_edges WHERE relation = 'realizes' AND source IS NOT NULL)
+            UNION ALL SELECT 'events_of_last_day', FALSE, count(*) FROM ev WHERE date = (SELECT max(date) FROM ev))
+            SELECT *, blocking AND n > 0 AS fails FROM f UNION ALL SELECT 'exit_code', TRUE, bool_or(blocking AND n > 0)::INT, bool_or(blocking AND n > 0) FROM f""",
     ),
     "ag23_daily_messages": (
         lambda s, d: _messages(s, d),
@@ -328,13 +334,33 @@ def _adjacent(s, d):
     return p.where("has_previous").orderBy(F.desc("us"), "id").limit(20).select("previous", "id")
 
 
+def _by_prefix(s, d):
+    """What a prefix of an id leads to: too short, missing, no decision, several, or one with its neighbours."""
+    ev = _ev(s, d, "type", "timestamp")
+    asked = ev.select(F.substring("id", 1, 9).alias("prefix")).distinct().unionByName(s.createDataFrame([("evt",), ("evt_zzzz",)], "prefix string"))
+    # ids by each length a prefix may have here: an equi-join
+    ids = ev.select("id", "type", F.explode(F.array(*[F.substring("id", 1, n) for n in (8, 9)])).alias("prefix"))
+    m = asked.join(ids, "prefix", "left").groupBy("prefix").agg(F.count("id").alias("n"), F.count_if(F.col("type") == "decision").alias("nd"), F.min(F.when(F.col("type") == "decision", F.col("id"))).alias("one"))
+    outcome = F.when(F.char_length("prefix") < 4, "too_short").when(F.col("n") == 0, "missing").when(F.col("nd") == 0, "wrong_type").when(F.col("nd") > 1, "ambiguous").otherwise("unique")
+    o = m.select("prefix", outcome.alias("outcome"), F.when(F.col("nd") == 1, F.col("one")).alias("id"))
+    near = E.neighbours(ev, 3).groupBy("id").agg(F.count("*").alias("n_near"))
+    return o.join(near, "id", "left").select("prefix", "outcome", "id", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
 def _audit(s, d):
+    """Every check with its findings, the statistics of the last day, and 1 as exit code where a blocking check fails."""
     one = lambda name, blocking, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), F.lit(blocking).alias("blocking"), "n")
-    e = table(s, d, "graph_edges")
-    found = one("commit_without_cause", False, G.commits_without_cause(_ev(s, d).select("id", "type"), e))
+    e, ev = table(s, d, "graph_edges"), _ev(s, d)
+    found = one("commit_without_cause", False, G.commits_without_cause(ev.select("id", "type"), e))
     found = found.unionByName(one("duplicate_name", True, table(s, d, "code_entities").groupBy("name").agg(F.countDistinct("file_path").alias("f")).where("f > 1")))
     found = found.unionByName(one("self_edge", True, e.where("source = target").select("source", "target", "relation").distinct()))
-    return found.withColumn("fails", F.col("blocking") & (F.col("n") > 0))
+    found = found.unionByName(one("bad_relation", False, G.unknown_relations(e, _classes(s, d))))
+    found = found.unionByName(one("untraced_function", False, G.untraced_functions(e)))
+    last = _ev(s, d, "date").groupBy("date").agg(F.count("*").alias("n")).agg(F.max(F.struct("date", "n"))["n"].alias("n"))
+    found = found.unionByName(last.select(F.lit("events_of_last_day").alias("check_name"), F.lit(False).alias("blocking"), F.coalesce("n", F.lit(0)).alias("n")))
+    found = found.withColumn("fails", F.col("blocking") & (F.col("n") > 0))
+    exit_code = found.agg(F.max("fails").alias("fails")).select(F.lit("exit_code").alias("check_name"), F.lit(True).alias("blocking"), F.col("fails").cast("long").alias("n"), "fails")
+    return found.unionByName(exit_code)
 
 
 def _messages(s, d):

@@ -12,11 +12,11 @@ from lodestrand.plans.graphs import _cycle_sql
 from lodestrand.plans.timeline import _LATEST, _ev
 from lodestrand.tables import table
 
-_ANCHORS = """a AS (SELECT id, unnest([ 'session:' || json_extract_string(json_cache, '$.metadata.session_id'), 'module:' || json_extract_string(json_cache, '$.metadata.module_path'), 'job:' || nullif(job_id, '')]) AS anchor FROM ev)"""
+_ANCHORS = """a AS (SELECT id, unnest([ 'session:' || json_extract_string(json_cache, '$.metadata.session_id'), 'service:' || json_extract_string(json_cache, '$.metadata.service_name'), 'module:' || json_extract_string(json_cache, '$.metadata.module_path'), 'job:' || nullif(job_id, '')]) AS anchor FROM ev)"""
 
 
 def _anchors(s, d):
-    a = F.array(F.concat(F.lit("session:"), E.metadata("session_id")), F.concat(F.lit("module:"), E.metadata("module_path")), F.concat(F.lit("job:"), F.nullif("job_id", F.lit(""))))
+    a = F.array(F.concat(F.lit("session:"), E.metadata("session_id")), F.concat(F.lit("service:"), E.metadata("service_name")), F.concat(F.lit("module:"), E.metadata("module_path")), F.concat(F.lit("job:"), F.nullif("job_id", F.lit(""))))
     return _ev(s, d, "json_cache", "job_id").select("id", F.explode(a).alias("anchor")).where("anchor is not null")
 
 
@@ -83,11 +83,10 @@ QUERIES = {
             SELECT e.source, e.target, count(*) AS n FROM e JOIN a x ON x.id = e.source JOIN a y ON y.id = e.target AND y.anchor = x.anchor GROUP BY 1, 2""",
     ),
     "st7_trace_union": (
-        lambda s, d: table(s, d, "code_entities").select("file_path").distinct().select(F.col("file_path").alias("path"), F.lit("code").alias("kind")).unionByName(
-            E.file_refs(_ev(s, d, "json_cache")).select(F.col("file_path").alias("path")).distinct().join(table(s, d, "code_entities").select(F.col("file_path").alias("path")), "path", "left_anti").withColumn("kind", F.lit("file"))),
-        _LATEST + """SELECT DISTINCT file_path AS path, 'code' AS kind FROM code_entities UNION ALL
-            SELECT DISTINCT path, 'file' FROM (SELECT regexp_replace(replace(json_extract_string(json_cache, '$.metadata.module_path'), '\\', '/'), '/+', '/', 'g') AS path FROM ev UNION ALL SELECT regexp_replace(replace(markdown_path, '\\', '/'), '/+', '/', 'g') FROM ev)
-            WHERE path <> '' AND path NOT IN (SELECT file_path FROM code_entities)""",
+        lambda s, d: _traced(s, d),
+        _LATEST + """, f AS (SELECT DISTINCT path FROM (SELECT regexp_replace(replace(json_extract_string(json_cache, '$.metadata.module_path'), '\\', '/'), '/+', '/', 'g') AS path FROM ev UNION ALL SELECT regexp_replace(replace(markdown_path, '\\', '/'), '/+', '/', 'g') FROM ev) WHERE path <> '')
+            SELECT DISTINCT file_path AS path, 'code' AS kind FROM code_entities UNION ALL SELECT path, 'file' FROM f WHERE path NOT IN (SELECT file_path FROM code_entities)
+            UNION ALL SELECT id, 'event' FROM ev WHERE summary ILIKE '%cache%' OR tags ILIKE '%cache%' OR json_cache ILIKE '%cache%'""",
     ),
     "st6_missing_chunks": (
         lambda s, d: _ev(s, d, "source_chunk_id").where("source_chunk_id is not null").select(F.col("source_chunk_id").alias("chunk_id")).distinct().subtract(table(s, d, "chunks").select("chunk_id")),
@@ -96,6 +95,15 @@ QUERIES = {
 }
 
 
+def _traced(s, d):
+    """Code, files that are no code, and the events that say it."""
+    ev = _ev(s, d, "json_cache", "summary", "tags")
+    code = table(s, d, "code_entities").select(F.col("file_path").alias("path")).distinct()
+    files = E.file_refs(ev).select(F.col("file_path").alias("path")).distinct().join(code, "path", "left_anti")
+    said = ev.where(F.col("summary").ilike("%cache%") | F.col("tags").ilike("%cache%") | F.col("json_cache").ilike("%cache%")).select(F.col("id").alias("path"))
+    return code.withColumn("kind", F.lit("code")).unionByName(files.withColumn("kind", F.lit("file"))).unionByName(said.withColumn("kind", F.lit("event")))
+
+
 def _touching(s, d):
     new = E.newest(_ev(s, d, "timestamp"), 20).select("id")  # twenty rows
     e = table(s, d, "graph_edges").select("source", "target", "relation", "weight")
@@ -113,7 +121,7 @@ def _overriding(s, d):
 
 def _shared(s, d):
     """Anchors met per event as arrays; the intersection is inside the row."""
-    per = _anchors(s, d).groupBy("id").agg(F.collect_set("anchor").alias("a"))  # at most three a row
+    per = _anchors(s, d).groupBy("id").agg(F.collect_set("anchor").alias("a"))  # at most four a row
     e = table(s, d, "graph_edges").where("relation = 'leads_to'").select("source", "target").distinct()
     j = e.join(per.select(F.col("id").alias("source"), F.col("a").alias("x")), "source").join(per.select(F.col("id").alias("target"), F.col("a").alias("y")), "target")
     return j.select("source", "target", F.size(F.array_intersect("x", "y")).cast("long").alias("n")).where("n > 0")

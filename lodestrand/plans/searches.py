@@ -24,25 +24,41 @@ def _raw(s, d):
     return table(s, d, "raw_data").dropDuplicates(["id"])
 
 
-def _text(s, d):
-    return S.text_search(_ev(s, d), _Q, 1000)
+def _search(s, d, mode, k, scorer=None):
+    return S.search(mode, _Q, _VEC, _ev(s, d), table(s, d, "graph_edges"), table(s, d, "event_vectors"), _entities(s, d), _doc(s, d), k, scorer)
 
 
-def _hybrid(s, d):
-    ev = _ev(s, d)
-    text = S.ranked(S.text_search(ev, _Q, 60), "text", ["date", "markdown_path", "id"])
-    graph = table(s, d, "graph_edges").where(F.col("target").contains(_Q) & (F.col("relation") == "modifies")).select(F.col("source").alias("id")).distinct()
-    graph = S.ranked(ev.join(graph, "id", "left_semi").orderBy(F.desc("timestamp"), "id").limit(60), "graph", [F.desc("timestamp"), "id"])
-    unix = S.ranked(ev.where(F.col("summary").rlike("(?i)token")).orderBy("id").limit(60), "unix", ["id"])
-    return S.fuse([text, graph, unix], ev.select("id", "timestamp"), 50).withColumn("score", F.round("score", 9))
+_TEXT_SQL = "SELECT * FROM ev WHERE date >= (SELECT max(date) FROM ev) - 30 AND (contains(lower(summary), 'tokenizer') OR contains(lower(json_cache), 'tokenizer')) ORDER BY date, markdown_path, id LIMIT {k}"
+_GRAPH_SQL = "SELECT * FROM ev WHERE id IN (SELECT source FROM graph_edges WHERE contains(target, 'tokenizer') AND relation = 'modifies') ORDER BY timestamp DESC, id LIMIT {k}"
+_SEM_SQL = f"""SELECT event_id AS id, max({_COS_SQL}) AS score FROM event_vectors WHERE len(embedding) = 64 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 AND event_id <> '' GROUP BY 1 ORDER BY score DESC, id LIMIT {{k}}"""
+_UNIX_SQL = """SELECT *, (CASE kind WHEN 'events' THEN 0.9 WHEN 'code' THEN 0.85 ELSE 0.8 END)::DOUBLE + (CASE WHEN lower(nm) = 'tokenizer' THEN 0.15 WHEN lower(regexp_replace(nm, '\\.[^.]*$', '')) = 'tokenizer' THEN 0.10 WHEN contains(lower(path), 'tokenizer') THEN 0.05 ELSE 0.0 END)::DOUBLE
+             + (CASE WHEN lower(trim(snippet)) = 'tokenizer' THEN 0.05 ELSE 0.0 END)::DOUBLE AS score
+        FROM (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS nm FROM (
+            SELECT id, 'events' AS kind, NULL::BIGINT AS line_no, coalesce(markdown_path, '') AS path, summary AS snippet FROM ev WHERE contains(lower(summary), 'tokenizer')
+            UNION ALL SELECT id, 'code', c[1]::BIGINT, c[2], coalesce(c[3], '') FROM (SELECT id, min((line_start, file_path, name)) AS c FROM code_entities WHERE contains(lower(name), 'tokenizer') OR contains(lower(file_path), 'tokenizer') GROUP BY 1)
+            UNION ALL SELECT 'doc_' || doc_id, 'docs', i, 'doc_' || doc_id, substr(l[i], 1, 80) FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS l, list_position(list_transform(l, lambda x: contains(lower(x), 'tokenizer')), true) AS i FROM documents) WHERE i > 0))
+        ORDER BY score DESC, kind, id LIMIT {k}"""
 
 
-_HYBRID = _LATEST + """,
-    t AS (SELECT id, 0.7 AS w, row_number() OVER (ORDER BY date, markdown_path, id) - 1 AS p, count(*) OVER () AS n FROM (SELECT * FROM ev WHERE contains(lower(summary), 'tokenizer') OR contains(lower(json_cache), 'tokenizer') ORDER BY date, markdown_path, id LIMIT 60)),
-    g AS (SELECT id, 0.9 AS w, row_number() OVER (ORDER BY timestamp DESC, id) - 1 AS p, count(*) OVER () AS n FROM (SELECT * FROM ev WHERE id IN (SELECT source FROM graph_edges WHERE contains(target, 'tokenizer') AND relation = 'modifies') ORDER BY timestamp DESC, id LIMIT 60)),
-    u AS (SELECT id, 0.8 AS w, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS n FROM (SELECT * FROM ev WHERE regexp_matches(lower(summary), 'token') ORDER BY id LIMIT 60)),
-    f AS (SELECT id, sum(w * (n - p) / n) AS score FROM (SELECT * FROM t UNION ALL SELECT * FROM g UNION ALL SELECT * FROM u) GROUP BY id)
-    SELECT f.id, round(score::DOUBLE, 9) AS score FROM f LEFT JOIN ev USING (id) ORDER BY f.score DESC, timestamp DESC, f.id LIMIT 50"""
+def _fused_sql(k: int) -> str:
+    """The four channels with the weights of their hits, added up."""
+    place = "row_number() OVER (ORDER BY {o}) - 1 AS p, count(*) OVER () AS n"
+    return _LATEST + f""",
+    t AS (SELECT id, 0.7::DOUBLE AS w, {place.format(o='date, markdown_path, id')} FROM ({_TEXT_SQL.format(k=k)})),
+    g AS (SELECT id, 0.9::DOUBLE AS w, {place.format(o='timestamp DESC, id')} FROM ({_GRAPH_SQL.format(k=k)})),
+    m AS (SELECT id, 1.0::DOUBLE AS w, {place.format(o='score DESC, id')} FROM ({_SEM_SQL.format(k=k)})),
+    u AS (SELECT id, 0.8 * (CASE kind WHEN 'events' THEN 1.0 WHEN 'code' THEN 0.92 ELSE 0.84 END)::DOUBLE + least(greatest(score - (CASE kind WHEN 'events' THEN 0.9 WHEN 'code' THEN 0.85 ELSE 0.8 END)::DOUBLE, 0), 0.2) + CASE WHEN line_no > 0 THEN 0.02 ELSE 0 END AS w,
+        {place.format(o='score DESC, kind, id')} FROM ({_UNIX_SQL.format(k=k)})),
+    f AS (SELECT id, sum(w * (n - p) / n) AS score FROM (SELECT * FROM t UNION ALL SELECT * FROM g UNION ALL SELECT * FROM m UNION ALL SELECT * FROM u) GROUP BY id),
+    fused AS (SELECT f.id, f.score FROM f LEFT JOIN ev USING (id) ORDER BY round(f.score, 9) DESC, timestamp DESC NULLS LAST, f.id LIMIT {k})"""
+
+
+def _scorer():
+    """A stand-in for a model that compares the query with a text: how many of its words are said."""
+    return S.keyword_score(F.coalesce("summary", F.lit("")), ["cache", "token", "queue", "the"])
+
+
+_SCORER_SQL = " + ".join(f"contains(lower(coalesce(summary, '')), '{w}')::INT" for w in ("cache", "token", "queue", "the"))
 
 _LINES = "regexp_split_to_array(text, '\\r\\n|\\n|\\r')"
 
@@ -69,19 +85,38 @@ def _plain_sql(col: str) -> str:
 
 
 QUERIES = {
-    "sr2_text": (
-        lambda s, d: _text(s, d).select("id", "markdown_path"),
-        _LATEST + "SELECT id, markdown_path FROM ev WHERE contains(lower(summary), 'tokenizer') OR contains(lower(json_cache), 'tokenizer') ORDER BY date, markdown_path, id LIMIT 1000",
+    "sr1_dispatch": (
+        lambda s, d: _dispatched(s, d),
+        _LATEST + f""", t AS ({_TEXT_SQL.format(k=20)}), g AS ({_GRAPH_SQL.format(k=20)}), m AS ({_SEM_SQL.format(k=20)}), u AS ({_UNIX_SQL.format(k=20)}),
+            r AS (SELECT 'text' AS mode, id, row_number() OVER (ORDER BY date, markdown_path, id) AS place, count(*) OVER () AS n FROM t UNION ALL SELECT 'graph', id, row_number() OVER (ORDER BY timestamp DESC, id), count(*) OVER () FROM g
+                UNION ALL SELECT 'semantic', id, row_number() OVER (ORDER BY score DESC, id), count(*) OVER () FROM m UNION ALL SELECT 'unix', id, row_number() OVER (ORDER BY score DESC, kind, id), count(*) OVER () FROM u)
+            SELECT mode, id, round(1.0::DOUBLE - (place - 1)::DOUBLE / n, 9) AS score FROM r""",
+    ),
+    "sr2_text": (lambda s, d: S.text_search(_ev(s, d), _Q, 1000).select("id", "markdown_path"), _LATEST + f"SELECT id, markdown_path FROM ({_TEXT_SQL.format(k=1000)})"),
+    "sr4_event_scores": (lambda s, d: S.semantic_search(table(s, d, "event_vectors"), _VEC, 100).select(F.col("id").alias("event_id"), F.round("score", 6).alias("score")), f"SELECT id AS event_id, round(score, 6) AS score FROM ({_SEM_SQL.format(k=100)})"),
+    "sr9_hybrid": (lambda s, d: _search(s, d, "hybrid", 60).withColumn("score", F.round("score", 9)), _fused_sql(60) + " SELECT id, round(score, 9) AS score FROM fused"),
+    "sr10_reranked": (
+        lambda s, d: _search(s, d, "hybrid", 10, _scorer()).select("id", "rerank_score"),
+        _fused_sql(30) + f" SELECT id, {_SCORER_SQL} AS rerank_score FROM fused LEFT JOIN ev USING (id) ORDER BY rerank_score DESC, round(score, 9) DESC, id LIMIT 10",
+    ),
+    "sr12_trace": (
+        lambda s, d: _event_trace(s, d),
+        _LATEST + "SELECT id, matched, row_number() OVER (ORDER BY timestamp DESC, id) AS place FROM (SELECT id, timestamp, CASE WHEN tags ILIKE '%cache%' THEN 'tag' ELSE 'text' END AS matched FROM ev WHERE summary ILIKE '%cache%' OR tags ILIKE '%cache%' OR json_cache ILIKE '%cache%' ORDER BY timestamp DESC, id LIMIT 200)",
+    ),
+    "sr13_fixed_string": (
+        lambda s, d: S.first_files(_files(s, d), "return ", "path", "content").withColumn("line_no", F.col("line_no").cast("long")),
+        r"""WITH f AS (SELECT DISTINCT unnest(files_mentioned) AS path, content FROM raw_data WHERE source = 'file'),
+            l AS (SELECT path, regexp_split_to_array(content, '\r\n|\n|\r') AS l, list_position(list_transform(l, lambda x: contains(x, 'return ')), true) AS i FROM f WHERE NOT starts_with(path, 'docs/logs/'))
+            SELECT path, (min((i, l[i])))[1] AS line_no, (min((i, l[i])))[2] AS line FROM l WHERE i > 0 GROUP BY 1""",
+    ),
+    "tk4_rerank": (
+        lambda s, d: _search(s, d, "semantic", 10, _scorer()).select("id", "rerank_score"),
+        _LATEST + f", m AS ({_SEM_SQL.format(k=30)}) SELECT id, {_SCORER_SQL} AS rerank_score FROM m LEFT JOIN ev USING (id) ORDER BY rerank_score DESC, score DESC, id LIMIT 10",
     ),
     "sr3_vector_topk": (
         lambda s, d: S.vector_topk(table(s, d, "embeddings"), _VEC, 10).withColumn("score", F.round("score", 6)),
         f"SELECT vec_id AS id, round({_COS_SQL}, 6) AS score FROM embeddings ORDER BY {_COS_SQL} DESC, vec_id LIMIT 10",
     ),
-    "sr4_event_scores": (
-        lambda s, d: _event_scores(s, d),
-        f"""SELECT event_id, round(max({_COS_SQL}), 6) AS score FROM event_vectors
-            WHERE len(embedding) = 64 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 AND event_id <> '' GROUP BY 1 ORDER BY max({_COS_SQL}) DESC, event_id LIMIT 100""",
-    ),
     "sr5_grep": (
         lambda s, d: S.first_line_hits(_doc(s, d), "tokenizer|lexer", "doc_id", "text").withColumn("line_no", F.col("line_no").cast("long")),
         f"""SELECT doc_id AS id, i AS line_no, substr(({_LINES})[i], 1, 80) AS snippet FROM (
@@ -92,16 +127,11 @@ QUERIES = {
         """SELECT id, round(0.85 + CASE WHEN lower(n) = 'tokenizer' THEN 0.15 WHEN lower(regexp_replace(n, '\\.[^.]*$', '')) = 'tokenizer' THEN 0.10 WHEN contains(lower(file_path), 'tokenizer') THEN 0.05 ELSE 0.0 END
              + CASE WHEN lower(trim(name)) = 'tokenizer' THEN 0.05 ELSE 0.0 END, 6)::DOUBLE AS score FROM (SELECT DISTINCT id, name, file_path, regexp_extract(file_path, '([^/]*)$', 1) AS n FROM code_entities) WHERE score > 0.85""",
     ),
-    "sr9_hybrid": (_hybrid, _HYBRID),
     "sr11_hit_ids": (
         lambda s, d: S.first_line_hits(_doc(s, d), "tokenizer", "doc_id", "text").select(S.hit_id(F.lit("docs"), F.col("id").cast("string"), F.col("line_no"), F.col("snippet")).alias("hit_id"), "id"),
         f"""SELECT 'unix_docs_' || substr(sha1('docs|' || doc_id || '|' || i || '|' || substr(({_LINES})[i], 1, 80)), 1, 12) AS hit_id, doc_id AS id FROM (
               SELECT doc_id, text, list_position(list_transform({_LINES}, lambda x: regexp_matches(lower(x), 'tokenizer')), true) AS i FROM documents) WHERE i > 0""",
     ),
-    "sr12_trace": (
-        lambda s, d: _ev(s, d, "summary", "tags", "json_cache").where(F.col("summary").ilike("%cache%") | F.col("tags").ilike("%cache%") | F.col("json_cache").ilike("%cache%")).select("id", F.when(F.col("tags").ilike("%cache%"), "tag").otherwise("text").alias("matched")),
-        _LATEST + "SELECT id, CASE WHEN tags ILIKE '%cache%' THEN 'tag' ELSE 'text' END AS matched FROM ev WHERE summary ILIKE '%cache%' OR tags ILIKE '%cache%' OR json_cache ILIKE '%cache%'",
-    ),
     "sr14_symbols": (
         lambda s, d: _entities(s, d).where((F.col("name") == _Q) | (F.col("id") == _Q) | F.col("name").ilike(f"%{_Q}%")).select("id", "name", "type").distinct(),
         "SELECT DISTINCT id, name, type FROM code_entities WHERE name ILIKE '%tokenizer%' OR id = 'tokenizer'",
@@ -110,10 +140,6 @@ QUERIES = {
         lambda s, d: _doc(s, d).select("doc_id", S.keyword_score(F.col("text"), ["cache", "lexer", "queue", "vector"]).alias("score")).where("score > 0"),
         "SELECT doc_id, contains(lower(text), 'cache')::INT + contains(lower(text), 'lexer')::INT + contains(lower(text), 'queue')::INT + contains(lower(text), 'vector')::INT AS score FROM documents WHERE score > 0",
     ),
-    "tk4_rerank": (
-        lambda s, d: S.rerank(S.vector_topk(table(s, d, "embeddings"), _VEC, 30), -F.col("id") % 7, 10).select("id", F.round("score", 6).alias("score"), "rerank_score"),
-        f"SELECT id, round(score, 6) AS score, -id % 7 AS rerank_score FROM (SELECT vec_id AS id, {_COS_SQL} AS score FROM embeddings ORDER BY score DESC, id LIMIT 30) ORDER BY rerank_score DESC, score DESC, id LIMIT 10",
-    ),
     "tx2_plain_redaction": (
         lambda s, d: _doc(s, d).select("doc_id", T.plain_redact(F.col("text")).alias("redacted")),
         f"SELECT doc_id, {_plain_sql('text')} AS redacted FROM documents",
@@ -177,11 +203,27 @@ def _entities(s, d):
     return table(s, d, "code_entities")
 
 
-def _event_scores(s, d):
-    v = table(s, d, "event_vectors").where((F.size("embedding") == 64) & (F.col("event_id") != ""))
-    q = F.array(*[F.lit(x) for x in _VEC])
-    best = v.select("event_id", T.cosine(F.col("embedding"), q).alias("c")).where("c is not null").groupBy("event_id").agg(F.max("c").alias("score"))
-    return best.orderBy(F.desc("score"), "event_id").limit(100).withColumn("score", F.round("score", 6))
+def _dispatched(s, d):
+    """The 20 best of each single channel."""
+    out = None
+    for mode in ("text", "graph", "semantic", "unix"):
+        hits = _search(s, d, mode, 20).select(F.lit(mode).alias("mode"), "id", F.round("score", 9).alias("score"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def _event_trace(s, d):
+    """The 200 newest events that say it, newest first."""
+    from pyspark.sql import Window
+
+    ev = _ev(s, d, "summary", "tags", "json_cache", "timestamp").where(F.col("summary").ilike("%cache%") | F.col("tags").ilike("%cache%") | F.col("json_cache").ilike("%cache%"))
+    top = ev.orderBy(F.desc("timestamp"), "id").limit(200)
+    place = F.row_number().over(Window.orderBy(F.desc("timestamp"), "id"))  # 200 rows
+    return top.select("id", F.when(F.col("tags").ilike("%cache%"), "tag").otherwise("text").alias("matched"), place.cast("long").alias("place"))
+
+
+def _files(s, d):
+    return table(s, d, "raw_data").where("source = 'file' and content is not null").select(F.explode("files_mentioned").alias("path"), "content").distinct()
 
 
 def _doc_rows(s, d):

@@ -72,8 +72,8 @@ QUERIES = {
         _LATEST + f"SELECT {_CORE} FROM ev WHERE id LIKE 'evt_a%'",
     ),
     "fl10_logs": (
-        lambda s, d: _cols(_ev(s, d, "type", "source", "job_id", "timestamp", "date").where((F.col("date") >= F.lit("2026-01-20").cast("date")) & F.col("job_id").contains("7")), *CORE),
-        _LATEST + f"SELECT {_CORE} FROM ev WHERE date >= DATE '2026-01-20' AND contains(job_id, '7')",
+        lambda s, d: _cols(_last_days(_ev(s, d, "type", "source", "job_id", "timestamp", "date"), 14).where((F.col("status") == "active") & F.col("type").isin("task", "incident", "git_commit") & F.col("job_id").contains("7")), *CORE),
+        _LATEST + f"SELECT {_CORE} FROM ev WHERE date > (SELECT max(date) FROM ev) - 14 AND status = 'active' AND type IN ('task', 'incident', 'git_commit') AND contains(job_id, '7')",
     ),
     "fl12_pending_chunks": (
         lambda s, d: table(s, d, "chunks").where("needs_extraction and not extraction_failed").select("chunk_id", "session_id", "created_at").distinct().orderBy("created_at", "chunk_id"),
@@ -165,15 +165,17 @@ QUERIES = {
         _LATEST + "SELECT count(*) AS n, count(DISTINCT date) AS days, count(*) FILTER (status = 'active') AS active, CAST(max(date) AS VARCHAR) AS last_day FROM ev",
     ),
     "ag5_trend": (
-        lambda s, d: _ev(s, d, "date", "source").where(F.col("date") > F.lit("2026-01-24").cast("date")).groupBy(F.col("date").cast("string").alias("day"), "source").agg(F.count("*").alias("n")),
-        _LATEST + "SELECT CAST(date AS VARCHAR) AS day, source, count(*) AS n FROM ev WHERE date > DATE '2026-01-24' GROUP BY ALL",
+        lambda s, d: _last_days(_ev(s, d, "date", "source"), 7).groupBy(F.col("date").cast("string").alias("day"), "source").agg(F.count("*").alias("n")),
+        _LATEST + "SELECT CAST(date AS VARCHAR) AS day, source, count(*) AS n FROM ev WHERE date > (SELECT max(date) FROM ev) - 7 GROUP BY ALL",
     ),
     "ag6_tokens": (
         lambda s, d: _tokens(s, d),
-        """WITH t AS (SELECT session_id, ts, CAST(trunc(han / 1.5 + (length(text) - han) / 4.0) AS BIGINT) AS tokens FROM (
-              SELECT *, len(regexp_extract_all(text, '[一-鿿]')) AS han FROM session_records WHERE text IS NOT NULL AND ts IS NOT NULL AND session_id IS NOT NULL))
-           SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(coalesce(sum(tokens) FILTER (ts >= TIMESTAMP '2026-01-25'), 0) AS BIGINT) AS tokens_week,
-              CAST(coalesce(sum(tokens) FILTER (ts >= TIMESTAMP '2026-01-31'), 0) AS BIGINT) AS tokens_day FROM t GROUP BY 1""",
+        """WITH r AS (SELECT CAST(ts AS DATE) AS day, text FROM session_records WHERE text IS NOT NULL AND ts IS NOT NULL), b AS (SELECT CAST(created_at AS DATE) AS day, text FROM documents WHERE text IS NOT NULL AND created_at IS NOT NULL),
+            x AS (SELECT * FROM r UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM r WHERE text <> '')),
+            t AS (SELECT day, CASE """ + " ".join(f"WHEN regexp_matches(lower(text), '{rx}') THEN '{n}'" for n, rx in T.MODELS) + """ ELSE 'unknown' END AS model, CAST(trunc(han / 1.5 + (length(text) - han) / 4.0) AS BIGINT) AS n, (SELECT max(day) FROM x) AS last
+                FROM (SELECT *, len(regexp_extract_all(text, '[一-鿿]')) AS han FROM x))
+            SELECT coalesce(model, 'all') AS model, CAST(coalesce(sum(n) FILTER (day = last), 0) AS BIGINT) AS tokens_day, CAST(coalesce(sum(n) FILTER (day > last - 7), 0) AS BIGINT) AS tokens_week, CAST(coalesce(sum(n) FILTER (day > last - 30), 0) AS BIGINT) AS tokens_month
+            FROM t GROUP BY GROUPING SETS ((model), ())""",
     ),
     "ag7_dashboard": (
         lambda s, d: E.dashboard_days(_ev(s, d, "date")).select(F.col("date").cast("string").alias("day"), "n"),
@@ -208,8 +210,9 @@ QUERIES = {
         "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1",
     ),
     "ag15_duplicate_names": (
-        lambda s, d: table(s, d, "code_entities").groupBy("name").agg(F.countDistinct("file_path").alias("n_files"), F.min("file_path").alias("first_file"), F.max("file_path").alias("last_file")).where("n_files >= 2"),
-        "SELECT name, count(DISTINCT file_path) AS n_files, min(file_path) AS first_file, max(file_path) AS last_file FROM code_entities GROUP BY 1 HAVING n_files >= 2",
+        lambda s, d: _duplicates(s, d),
+        """WITH e AS (SELECT name, file_path, min(line_start) AS line FROM code_entities WHERE name NOT IN ('__init__', 'main') GROUP BY 1, 2)
+           SELECT name, file_path, line FROM e WHERE name IN (SELECT name FROM e GROUP BY 1 HAVING count(*) >= 2)""",
     ),
     "ag16_vector_stats": (
         lambda s, d: table(s, d, "event_vectors").agg(F.count("*").alias("n_rows"), F.countDistinct("event_id", "chunk_seq").alias("n_vectors"), F.countDistinct("event_id").alias("n_events"), F.count_if(F.col("embedding").isNull()).alias("n_null")),
@@ -308,10 +311,29 @@ def _repair(s, d):
     return both.select("id", F.when(F.col("v").isNull() & F.col("g").isNull(), "both").when(F.col("v").isNull(), "missing_vector").otherwise("missing_graph").alias("issue"))
 
 
+def _last_days(ev, days):
+    """Rows of the last ``days`` days, counted from the newest row."""
+    last = ev.agg(F.max("date").alias("_last"))  # one row
+    return ev.join(F.broadcast(last)).where(F.col("date") > F.date_sub("_last", days)).drop("_last")
+
+
 def _tokens(s, d):
-    r = table(s, d, "session_records").where("text is not null and ts is not null and session_id is not null").select("session_id", "ts", T.estimate_tokens(F.col("text")).cast("long").alias("t"))
-    since = lambda day: F.coalesce(F.sum(F.when(F.col("ts") >= F.lit(day).cast("timestamp_ntz"), F.col("t"))), F.lit(0))
-    return r.groupBy("session_id").agg(F.sum("t").alias("tokens"), since("2026-01-25").alias("tokens_week"), since("2026-01-31").alias("tokens_day"))
+    """Tokens of the last day, week and month, by model and in all; of the documents where no session says anything."""
+    r = table(s, d, "session_records").where("text is not null and ts is not null").select(F.to_date("ts").alias("day"), "text")
+    b = table(s, d, "documents").where("text is not null and created_at is not null").select(F.to_date("created_at").alias("day"), "text")
+    some = r.where("text <> ''").agg((F.count("*") > 0).alias("some"))  # one row
+    x = r.unionByName(b.join(F.broadcast(some)).where("not some").drop("some"))
+    last = x.agg(F.max("day").alias("last"))  # one row
+    t = x.join(F.broadcast(last)).select("day", "last", F.coalesce(T.model_of(F.col("text")), F.lit("unknown")).alias("model"), T.estimate_tokens(F.col("text")).cast("long").alias("n"))
+    since = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    sums = [since(F.col("day") == F.col("last")).alias("tokens_day"), since(F.col("day") > F.date_sub("last", 7)).alias("tokens_week"), since(F.col("day") > F.date_sub("last", 30)).alias("tokens_month")]
+    return t.groupingSets([["model"], []], "model").agg(*sums).withColumn("model", F.coalesce("model", F.lit("all")))
+
+
+def _duplicates(s, d):
+    """Where names stand that are defined in two files or more, but for names that may be."""
+    e = table(s, d, "code_entities").where(~F.col("name").isin("__init__", "main")).groupBy("name", "file_path").agg(F.min("line_start").alias("line"))
+    return e.join(e.groupBy("name").agg(F.count("*").alias("n")).where("n >= 2").select("name"), "name", "left_semi")
 
 
 def _shares(ev):
