@@ -150,13 +150,32 @@ def pattern_counts(col: Column) -> list[tuple[str, Column]]:
     return [(n, F.regexp_count(col, F.lit(p))) for n, p in PLAIN_PATTERNS]
 
 
+# literals of which every match of a pattern holds one; the text in lower case is looked at
+_GUARDS = {
+    "openai_key": ["sk-"], "anthropic_key": ["sk-ant-"], "github_token": ["ghp_"], "github_oauth": ["gho_"], "aws_access_key": ["akia"], "slack_token": ["xoxb-"], "jwt_token": ["eyj"],
+    "generic_api_key": ["api"], "email": ["@"], "ssn": ["-"], "private_key": ["-----begin"], "password_assignment": ["passw", "pwd"],
+}
+
+
 def plain_redact(col: Column) -> Column:
-    """Each plain pattern replaced by its mark, one after the other, in the JVM; see ``exact_redact`` for overlaps."""
+    """Each plain pattern replaced by its mark, one after the other, in the JVM; see ``exact_redact`` for overlaps.
+
+    A pattern is run only where a literal it needs is there.
+    """
     for n, p in PLAIN_PATTERNS:
-        col = F.regexp_replace(col, p, f"[REDACTED]_{n.upper()}")
+        # a one-element array names the text, so that it isn't worked out twice
+        col = F.element_at(F.transform(F.array(col), _guarded(n, p)), 1) if n in _GUARDS else F.regexp_replace(col, p, f"[REDACTED]_{n.upper()}")
     return col
 
 
+def _guarded(name: str, pattern: str):
+    def one(x: Column) -> Column:
+        there = reduce(lambda a, b: a | b, [F.lower(x).contains(w) for w in _GUARDS[name]])
+        return F.when(there, F.regexp_replace(x, pattern, f"[REDACTED]_{name.upper()}")).otherwise(x)
+
+    return one
+
+
 def redact_overlapping(texts: pd.Series) -> pd.Series:
     """All patterns found on the text as it is, replaced from the last start to the first.
 
@@ -232,3 +251,21 @@ def repaired_list(text: Column) -> Column:
     closed = F.concat(F.regexp_extract(t, r"\A(\[(?s:.*)\})", 1), F.lit("]"))
     inner = F.nullif(F.regexp_extract(t, r"(\[(?s:.*)\])", 1), F.lit(""))
     return F.coalesce(*[F.when(F.try_parse_json(x).isNotNull() & x.startswith("["), x) for x in (t, inner, closed)])
+
+
+def excerpt(col: Column, lines: int = 80, chars: int = 4000) -> Column:
+    """The first lines of a text, at most so many characters, with a mark where more was there."""
+    head = F.array_join(F.slice(F.split(col, r"\r\n|\n|\r"), 1, lines), "\n")
+    short = F.substring(head, 1, chars)
+    return F.when((F.size(F.split(col, r"\r\n|\n|\r")) > lines) | (F.char_length(head) > chars), F.concat(short, F.lit("\n... (truncated)"))).otherwise(short)
+
+
+def name_time(path: Column) -> Column:
+    """The time in a run of 14 digits in a file's name; null where there is none or it is no time."""
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(base_name(path), r"(?<!\d)(\d{14})(?!\d)", 1), F.lit("")), F.lit("yyyyMMddHHmmss"))
+
+
+def next_hex(numbers: Column) -> Column:
+    """The number behind the greatest of an array, in two hexadecimal digits; null beyond FF."""
+    n = F.coalesce(F.array_max(numbers), F.lit(0)) + 1
+    return F.when(n <= 255, F.lpad(F.hex(n), 2, "0"))

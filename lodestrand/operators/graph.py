@@ -81,22 +81,25 @@ def related(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, id, level): nodes within ``depth`` steps in either direction, at their least level."""
+    """(start, id, level): nodes within ``depth`` steps in either direction, at their least level.
+
+    Up to two levels are one plan; of deeper walks each level but the last is written.
+    """
     step = edges.select(F.col("source").alias("id"), F.col("target").alias("next")).union(edges.select("target", "source")).distinct()
-    seen = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("level")).distinct()
-    front = seen
+    seen = front = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("level")).distinct()
     for level in range(1, depth + 1):
-        new = front.join(step, "id").select("start", F.col("next").alias("id")).distinct().join(seen.select("start", "id"), ["start", "id"], "left_anti")
-        front = cut(new.withColumn("level", F.lit(level)))
+        new = front.join(step, "id").select("start", F.col("next").alias("id"), F.lit(level).alias("level"))
+        if level == depth:  # what was met before keeps its level
+            return seen.unionByName(new).groupBy("start", "id").agg(F.min("level").alias("level"))
+        front = new.distinct().join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", "level")
+        front = cut(front) if depth > 2 else front
         seen = seen.unionByName(front)
-        if front.isEmpty():
-            break
     return seen
 
 
 def edges_within(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     """(start, source, target, relation, level): the edges at either end of the nodes within ``depth`` steps, at the least level of such an end."""
-    near = cut(k_hop(edges, starts, depth))
+    near = k_hop(edges, starts, depth)
     e = edges.select(*_EDGE).distinct()
     ends = e.withColumn("id", F.col("source")).unionByName(e.withColumn("id", F.col("target")))
     return ends.join(near, "id").groupBy("start", *_EDGE).agg(F.min("level").alias("level"))

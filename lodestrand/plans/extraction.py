@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from lodestrand.functions import markup as M
 from lodestrand.functions import text as T
 from lodestrand.operators import events as E
-from lodestrand.plans.searches import _turn_sql
+from lodestrand.plans.searches import _plain_sql, _turn_sql, _type_sql
 from lodestrand.plans.timeline import _LATEST, _ev
 from lodestrand.sources import logs, markdown
+from lodestrand.streaming import pipeline
 from lodestrand.tables import table
 
 # the USER and ASSISTANT blocks of a text, each from its heading to the next
@@ -134,6 +135,47 @@ QUERIES = {
 }
 
 
+QUERIES |= {
+    "stm5_pipeline": (
+        lambda s, d: pipeline.extracted(table(s, d, "raw_data").dropDuplicates(["id"])).select("id", "type", F.md5("summary").alias("summary"), F.md5("content").alias("content"), F.array_join("files", ",").alias("files"), F.array_join("functions", ",").alias("functions")),
+        r"""WITH r AS (SELECT id, any_value(content) AS content, any_value(files_mentioned) AS m FROM raw_data WHERE content <> '' GROUP BY id), t AS (SELECT id, m, """ + _plain_sql("content") + r""" AS safe FROM r)
+            SELECT id, """ + _type_sql("safe") + r""" AS type, md5(substr(safe, 1, 100)) AS summary, md5(safe) AS content, array_to_string(list_sort(list_distinct(list_transform(coalesce(m, []), lambda x: regexp_replace(replace(x, '\', '/'), '/+', '/', 'g')))), ',') AS files,
+                array_to_string(list_sort(list_distinct(regexp_extract_all(safe, '(?:def|function)\s+(\w+)\s*\(', 1))), ',') AS functions FROM t""",
+    ),
+    "stm8_two_layers": (
+        lambda s, d: _layered(s, d),
+        _LATEST + """, old AS (SELECT id, source_chunk_id, source_layer FROM ev), c AS (SELECT DISTINCT chunk_id FROM chunks WHERE content <> ''),
+            l2 AS (SELECT 'evt_' || substr(sha256(chunk_id || ':l2:0'), 1, 16) AS id, chunk_id FROM c WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE status = 'extracted')), l1 AS (SELECT 'evt_' || substr(sha256(chunk_id || ':l1:0'), 1, 16) AS id, chunk_id FROM c),
+            k AS (SELECT * FROM old WHERE NOT coalesce(source_layer = 'l2' AND source_chunk_id IN (SELECT chunk_id FROM l2), FALSE)), a AS (SELECT * FROM k UNION ALL SELECT id, chunk_id, 'l1' FROM l1 WHERE id NOT IN (SELECT id FROM k))
+            SELECT * FROM a WHERE id NOT IN (SELECT id FROM l2) UNION ALL SELECT id, chunk_id, 'l2' FROM l2""",
+    ),
+    "stm10_retries": (
+        lambda s, d: pipeline.retried(table(s, d, "chunks").groupBy(F.col("chunk_id").alias("id")).agg(F.max("retry_count").alias("retry_count"), F.min(F.col("last_error").isNull()).alias("ok"))),
+        "SELECT chunk_id AS id, CASE WHEN bool_and(last_error IS NULL) THEN max(retry_count) ELSE max(retry_count) + 1 END AS retry_count, CASE WHEN bool_and(last_error IS NULL) THEN 'done' WHEN max(retry_count) + 1 >= 3 THEN 'failed' ELSE 'pending' END AS state FROM chunks GROUP BY 1",
+    ),
+    "tx25_excerpts": (
+        lambda s, d: table(s, d, "raw_data").where("content is not null").dropDuplicates(["id"]).select("id", F.md5(T.excerpt(F.col("content"), 20, 400)).alias("digest")),
+        r"""WITH r AS (SELECT id, regexp_split_to_array(any_value(content), '\r\n|\n|\r') AS l FROM raw_data WHERE content IS NOT NULL GROUP BY id), h AS (SELECT id, len(l) AS n, array_to_string(l[1:20], chr(10)) AS head FROM r)
+            SELECT id, md5(substr(head, 1, 400) || CASE WHEN n > 20 OR length(head) > 400 THEN chr(10) || '... (truncated)' ELSE '' END) AS digest FROM h""",
+    ),
+    "tx29_name_times": (
+        lambda s, d: _ev(s, d, "timestamp").where("timestamp is not null").select("id", F.unix_seconds(T.name_time(F.concat(F.lit("a/"), "id", F.lit("_"), F.date_format("timestamp", "yyyyMMddHHmmss"), F.lit(".md")))).alias("at")),
+        _LATEST + "SELECT id, epoch_us(timestamp) // 1000000 AS at FROM ev WHERE timestamp IS NOT NULL",
+    ),
+    "wn11_next_sequence": (
+        lambda s, d: _ev(s, d, "date").groupBy(F.col("date").cast("string").alias("day")).agg(F.count("*").alias("n")).select("day", T.next_hex(F.array(F.lit(0).cast("long"), F.col("n"))).alias("next")),
+        _LATEST + "SELECT CAST(date AS VARCHAR) AS day, CASE WHEN count(*) < 255 THEN upper(lpad(to_hex(count(*) + 1), 2, '0')) END AS next FROM ev GROUP BY 1",
+    ),
+}
+
+
+def _layered(s, d):
+    """The index after a new pass over the chunks: one first-layer event each, one second-layer event where it was extracted."""
+    c = table(s, d, "chunks").where("content <> ''").select(F.col("chunk_id").alias("source_chunk_id"), "status").distinct()
+    make = lambda df, layer: df.select("source_chunk_id").distinct().select(F.concat(F.lit("evt_"), F.substring(F.sha2(F.concat("source_chunk_id", F.lit(f":{layer}:0")), 256), 1, 16)).alias("id"), "source_chunk_id")
+    return pipeline.two_layers(_ev(s, d, "source_chunk_id", "source_layer").select("id", "source_chunk_id", "source_layer"), make(c, "l1"), make(c.join(table(s, d, "chunks").where("status = 'extracted'").select(F.col("chunk_id").alias("source_chunk_id")), "source_chunk_id", "left_semi"), "l2"))
+
+
 def _field_rows(s, d):
     rx = r"^\|([^|]*)\|([^|]*)\|"
     lines = table(s, d, "documents").where(F.col("text").contains("|")).select("doc_id", F.explode(F.split("text", r"\r\n|\n|\r")).alias("l"))

@@ -69,10 +69,6 @@ QUERIES = {
         lambda s, d: _conversations(s, d).select("id", F.size(F.array_distinct(F.coalesce("files_mentioned", F.array()))).cast("long").alias("n_files"), F.when(F.size(F.array_distinct("files_mentioned")) == 1, T.normal_path(F.col("files_mentioned")[0])).alias("module_path")),
         "SELECT DISTINCT id, coalesce(len(list_distinct(files_mentioned)), 0) AS n_files, CASE WHEN len(list_distinct(files_mentioned)) = 1 THEN regexp_replace(replace(files_mentioned[1], '\\', '/'), '/+', '/', 'g') END AS module_path FROM raw_data WHERE source <> 'file'",
     ),
-    "stm10_retries": (
-        lambda s, d: table(s, d, "chunks").select("chunk_id", F.when(F.col("extraction_failed"), "failed").when(F.col("retry_count") >= 3, "dead_letter").when(F.col("retry_count") > 0, "retry").when(F.col("needs_extraction"), "pending").otherwise("done").alias("queue")).distinct().groupBy("queue").agg(F.count("*").alias("n")),
-        "SELECT queue, count(*) AS n FROM (SELECT DISTINCT chunk_id, CASE WHEN extraction_failed THEN 'failed' WHEN retry_count >= 3 THEN 'dead_letter' WHEN retry_count > 0 THEN 'retry' WHEN needs_extraction THEN 'pending' ELSE 'done' END AS queue FROM chunks) GROUP BY 1",
-    ),
     "cg2_anchors": (
         lambda s, d: _anchors(s, d).groupBy("anchor").agg(F.count("*").alias("n")),
         _LATEST + f", {_ANCHORS} SELECT anchor, count(*) AS n FROM a WHERE anchor IS NOT NULL GROUP BY 1",

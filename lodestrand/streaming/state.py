@@ -83,30 +83,66 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str, seconds:
     return a.join(b, cond)
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """A started query that keeps ``path`` at the latest row of each key.
+BUCKETS = 64  # parts of an upserted table; a batch rewrites those its keys fall into
 
-    Each micro-batch writes a new version folder and then names it in ``_current``; a batch
-    that is replayed writes the same version again, so nothing is applied twice.
+
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = BUCKETS):
+    """A started query that keeps ``path`` at the latest row of each key; see ``put``."""
+    return stream.writeStream.foreachBatch(lambda batch, n: put(batch, path, keys, order, n, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def put(batch: DataFrame, path: str, keys: list[str], order: str, batch_id: int, buckets: int = BUCKETS) -> None:
+    """Merges one batch into the table: the buckets its keys fall into are written anew under the batch's number.
+
+    A batch that is replayed writes the same folder again from the same older ones, so nothing
+    is applied twice. Buckets without a row of the batch are not read.
     """
     from lodestrand.operators.storage import upsert
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = current(spark, path, before=batch_id)
-        merged = upsert(old, batch, keys, order) if old is not None else upsert(batch.limit(0), batch, keys, order)
-        merged.write.mode("overwrite").parquet(f"{path}/v{batch_id:09d}")
+    b = batch.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = [r._b for r in b.select("_b").distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
+    where = {k: v for k, v in _folders(batch.sparkSession, path, before=batch_id).items() if k in touched}
+    old = _read(batch.sparkSession, where) if where else b.drop("_b").limit(0)
+    merged = upsert(old, b.drop("_b"), keys, order).withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    merged.write.mode("overwrite").partitionBy("_b").parquet(f"{path}/v{batch_id:09d}")
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def current(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version of an upserted table, or that before a batch."""
+def _folders(spark, path: str, before: int | None = None) -> dict[int, str]:
+    """The newest complete folder of each bucket."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     p = fs.Path(path)
     system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not system.exists(p):
-        return None
-    names = [s.getPath().getName() for s in system.listStatus(p)]
-    names = sorted(n for n in names if n[:1] == "v" and system.exists(fs.Path(f"{path}/{n}/_SUCCESS")) and (before is None or int(n[1:]) < before))
-    return spark.read.parquet(f"{path}/{names[-1]}") if names else None
+        return {}
+    names = lambda at: sorted(s.getPath().getName() for s in system.listStatus(fs.Path(at)))
+    out = {}
+    for v in names(path):
+        if v[:1] == "v" and system.exists(fs.Path(f"{path}/{v}/_SUCCESS")) and (before is None or int(v[1:]) < before):
+            out |= {int(n[3:]): f"{path}/{v}/{n}" for n in names(f"{path}/{v}") if n.startswith("_b=")}
+    return out
+
+
+def _read(spark, folders: dict[int, str]) -> DataFrame:
+    return spark.read.parquet(*[folders[k] for k in sorted(folders)])
+
+
+def current(spark, path: str, before: int | None = None) -> DataFrame | None:
+    """The table as it stands, or as it stood before a batch; None where nothing was written."""
+    folders = _folders(spark, path, before)
+    return _read(spark, folders) if folders else None
+
+
+def rebuild(spark, path: str, rows: DataFrame, keys: list[str], order: str, batch_id: int, buckets: int = BUCKETS) -> None:
+    """The table from all rows anew: every older version is removed after the new one is complete."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in system.listStatus(fs.Path(path))] if system.exists(fs.Path(path)) else []
+    from lodestrand.operators.storage import upsert
+
+    whole = upsert(rows.limit(0), rows, keys, order).withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    whole.write.mode("overwrite").partitionBy("_b").parquet(f"{path}/v{batch_id:09d}")
+    for p in old:
+        if p.getName() != f"v{batch_id:09d}":
+            system.delete(p, True)
