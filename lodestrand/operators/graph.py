@@ -85,16 +85,16 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
     Up to two levels are one plan; of deeper walks each level but the last is written.
     """
-    step = edges.select(F.col("source").alias("id"), F.col("target").alias("next")).union(edges.select("target", "source")).distinct()
+    step = edges.select(F.col("source").alias("id"), F.col("target").alias("next")).union(edges.select("target", "source"))
     seen = front = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("level")).distinct()
     for level in range(1, depth + 1):
-        new = front.join(step, "id").select("start", F.col("next").alias("id"), F.lit(level).alias("level"))
-        if level == depth:  # what was met before keeps its level
-            return seen.unionByName(new).groupBy("start", "id").agg(F.min("level").alias("level"))
-        front = new.distinct().join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", "level")
-        front = cut(front) if depth > 2 else front
+        front = front.join(step, "id").select("start", F.col("next").alias("id"), F.lit(level).alias("level"))
+        if level < depth:
+            front = front.distinct()
+            if depth > 2:
+                front = cut(front.join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", "level"))
         seen = seen.unionByName(front)
-    return seen
+    return seen.groupBy("start", "id").agg(F.min("level").alias("level"))  # what was met before keeps its level
 
 
 def edges_within(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrand.functions import chunks
 from lodestrand.functions import markup as M
 from lodestrand.functions import text as T
 from lodestrand.operators import events as E
 from lodestrand.plans.searches import _plain_sql, _turn_sql, _type_sql
 from lodestrand.plans.timeline import _LATEST, _ev
-from lodestrand.sources import logs, markdown
+from lodestrand.sources import files, logs, markdown
 from lodestrand.streaming import pipeline
 from lodestrand.tables import table
 
@@ -136,6 +137,16 @@ QUERIES = {
 
 
 QUERIES |= {
+    "sc5_typed_frontmatter": (
+        lambda s, d: _typed(s, d),
+        _LATEST + f"""SELECT '/x/' || id || '.md' AS path, CASE {_ID4} % 4 WHEN 0 THEN 'session-start' WHEN 1 THEN 'job-end' END AS kind, CASE WHEN {_ID4} % 4 < 2 THEN CAST(date AS VARCHAR) END AS day, CASE WHEN {_ID4} % 4 < 2 THEN 'active' END AS status,
+            CASE WHEN {_ID4} % 4 = 1 THEN replace(id, '_', '-') END AS job_id, CASE {_ID4} % 4 WHEN 2 THEN 'bad job id' WHEN 3 THEN 'bad date' END AS error FROM ev""",
+    ),
+    "sc17_session_files": (
+        lambda s, d: files.of_session(table(s, d, "event_index").where("markdown_path is not null").select("markdown_path", "mtime").distinct(), 1768467600.0, 1768474800.0).select("markdown_path", "mtime", "how"),
+        "SELECT DISTINCT markdown_path, mtime, CASE WHEN mtime BETWEEN 1768464000 AND 1768475100 THEN 'window' ELSE 'day' END AS how FROM event_index WHERE markdown_path IS NOT NULL AND (mtime BETWEEN 1768464000 AND 1768475100 OR floor(mtime / 86400) = floor(1768467600 / 86400))",
+    ),
+    "wn7_token_windows": (lambda s, d: chunks.token_chunks(table(s, d, "documents"), "doc_id", "text").select("id", "seq", "pos", "token_count", F.md5("text").alias("digest")), None),
     "stm5_pipeline": (
         lambda s, d: pipeline.extracted(table(s, d, "raw_data").dropDuplicates(["id"])).select("id", "type", F.md5("summary").alias("summary"), F.md5("content").alias("content"), F.array_join("files", ",").alias("files"), F.array_join("functions", ",").alias("functions")),
         r"""WITH r AS (SELECT id, any_value(content) AS content, any_value(files_mentioned) AS m FROM raw_data WHERE content <> '' GROUP BY id), t AS (SELECT id, m, """ + _plain_sql("content") + r""" AS safe FROM r)
@@ -169,6 +180,18 @@ QUERIES |= {
 }
 
 
+def _typed(s, d):
+    """Logs of each type, some under an old name, with a bad job id or a bad date."""
+    k = F.pmod(F.ascii(F.right("id", F.lit(1))), F.lit(4))
+    kind = F.when(k == 0, "daily-start").when(k == 3, "session-end").otherwise("job-end")
+    day = F.when(k == 0, F.date_format("date", "dd-MM-yyyy")).when(k == 3, F.lit("2026-13-45")).otherwise(F.date_format("date", "yyyy/MM/dd"))
+    job = F.when(k == 1, F.regexp_replace("id", "_", "-")).otherwise(F.lit("Not An Id"))
+    text = F.concat(F.lit("---\ntype: "), kind, F.lit("\ndate: '"), day, F.lit("'\nJob-Id: "), job, F.lit("\n---\ntext\n"))
+    t = _ev(s, d, "date").select(F.concat(F.lit("/x/"), "id", F.lit(".md")).alias("path"), text.alias("text"), k.alias("k"))
+    r = markdown.typed_frontmatter(t.select("path", "text"))
+    return r.select("path", "kind", F.col("date").cast("string").alias("day"), "status", F.when(F.col("kind") == "job-end", F.col("job_id")).alias("job_id"), "error")
+
+
 def _layered(s, d):
     """The index after a new pass over the chunks: one first-layer event each, one second-layer event where it was extracted."""
     c = table(s, d, "chunks").where("content <> ''").select(F.col("chunk_id").alias("source_chunk_id"), "status").distinct()

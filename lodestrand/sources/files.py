@@ -109,6 +109,13 @@ def read_folder(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.mapInPandas(run, "path string, modified timestamp, text string, error string")
 
 
+def of_session(files: DataFrame, start: float, end: float) -> DataFrame:
+    """Files changed from an hour before a session's start to five minutes after its end, else on its first day (UTC). ``files``: with mtime in epoch seconds."""
+    inside = F.col("mtime").between(start - 3600, end + 300)
+    same_day = F.floor(F.col("mtime") / 86_400) == F.floor(F.lit(start) / 86_400)
+    return files.where(inside | same_day).withColumn("how", F.when(inside, "window").otherwise("day"))
+
+
 def to_resources(files: DataFrame) -> DataFrame:
     """Files with text as resource events: (id, type, timestamp, summary, content, path)."""
     line = F.trim(F.regexp_replace(F.try_element_at(F.filter(F.split("text", r"\r\n|\n|\r"), lambda x: F.trim(x) != ""), F.lit(1)), r"^#+\s*", ""))

@@ -92,6 +92,31 @@ def parse_events(texts: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: the log types with a frontmatter of their own, and the names two of them had
+LOG_TYPES = ["session-start", "session-end", "job-start", "job-end"]
+OLD_TYPES = {"daily-start": "session-start", "daily-end": "session-end"}
+
+
+def typed_frontmatter(texts: DataFrame) -> DataFrame:
+    """(path, kind, date, status, job_id, description, tags, error): the frontmatter of logs by their type, with what is wrong with it.
+
+    Dates may be written Y-m-d, Y/m/d or d-m-Y; a job needs an id of small letters, digits, - and _.
+    Any other type is an event's and needs an id. A bad one has an error and null in its fields.
+    """
+    m = texts.select("path", frontmatter(F.col("text")).alias("m"))
+    get = lambda k: F.nullif(F.try_element_at("m", F.lit(k)), F.lit(""))
+    kind = get("type")
+    for old, new in OLD_TYPES.items():
+        kind = F.when(get("type") == old, new).otherwise(kind)
+    date = F.coalesce(*[F.when(get("date").rlike(rx), F.to_date(F.try_to_timestamp(get("date"), F.lit(f)))) for rx, f in ((r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"), (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"))])
+    r = m.select("path", kind.alias("kind"), date.alias("date"), F.coalesce(get("status"), F.lit("active")).alias("status"), get("job_id").alias("job_id"), F.coalesce(get("description"), F.lit("")).alias("description"), F.coalesce(listed(get("tags")), F.array()).alias("tags"), get("id").alias("id"))
+    log = F.coalesce(F.col("kind").isin(LOG_TYPES), F.lit(False))
+    job = F.coalesce(F.col("kind").startswith("job-"), F.lit(False))
+    error = F.when(F.col("kind").isNull(), "no frontmatter").when(~log & F.col("id").isNull(), "no id").when(log & F.col("date").isNull(), "bad date").when(log & job & ~F.coalesce(F.col("job_id").rlike("^[a-z0-9][a-z0-9_-]*$"), F.lit(False)), "bad job id")
+    fields = [F.when(error.isNull(), F.col(c)).alias(c) for c in ("kind", "date", "status", "job_id", "description", "tags")]
+    return r.select("path", *fields, error.alias("error"))
+
+
 def to_markdown(events: DataFrame) -> DataFrame:
     """(id, day, text): frontmatter without empty values, heading (where there is a summary) and content."""
     line = lambda k, v: F.when(v.isNotNull() & (v != ""), F.concat(F.lit(f"{k}: "), v))

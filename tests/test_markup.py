@@ -1,13 +1,16 @@
 """Texts of notes, transcripts and model answers, against what they hold."""
 
+import os
 import re
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from lodestrand.functions import chunks
 from lodestrand.functions import markup as M
 from lodestrand.functions import text as T
-from lodestrand.sources import logs
+from lodestrand.sources import files, logs, markdown
 from tests.conftest import rows
 
 
@@ -76,3 +79,37 @@ def test_log_times(spark):
     got = [(str(r.lo), str(r.hi)) for r in df.select(lo.alias("lo"), hi.alias("hi")).collect()]
     assert got == [("None", "None")] * 3 + [("2026-01-05 09:00:00", "2026-01-05 10:00:00"), ("None", "None")]
     assert rows(df.limit(0)) == []
+
+
+def test_token_windows(spark):
+    assert chunks.windows(0) == [(0, 0)] and chunks.windows(800) == [(0, 800)] and chunks.windows(801) == [(0, 800), (680, 801)] and chunks.windows(1481) == [(0, 800), (680, 1480), (1360, 1481)]
+    path = chunks.TOKENIZER
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    texts = {1: "plain words of a text " * 60, 2: "", 4: "日志记录 " * 90, 5: "x"}
+    df = spark.createDataFrame([*texts.items(), (3, None)], "doc_id long, text string")
+    got = {}
+    for r in chunks.token_chunks(df, "doc_id", "text", size=50, step=40).orderBy("id", "seq").collect():
+        got.setdefault(r.id, []).append(r)
+    assert set(got) == set(texts) and [(r.text, r.token_count) for r in got[2]] == [("", 0)]
+    for k, text in texts.items():
+        ids = t.encode(text, add_special_tokens=False).ids
+        at, want = 0, []
+        while True:
+            want.append((len(want), at, len(ids[at : at + 50])))
+            if at + 50 >= len(ids):
+                break
+            at += 40
+        assert [(r.seq, r.pos, r.token_count) for r in got[k]] == want
+
+
+def test_typed_frontmatter(spark):
+    texts = [("a", "---\ntype: daily-end\ndate: 05-01-2026\ntags: [x, y]\n---\n"), ("b", "---\ntype: job-start\ndate: 2026/01/05\n---\n"), ("c", "---\ntype: decision\nid: e1\n---\n"), ("d", "---\ntype: decision\n---\n"), ("e", "no"), ("f", None)]
+    got = {r.path: r for r in markdown.typed_frontmatter(spark.createDataFrame(texts, "path string, text string")).collect()}
+    assert (got["a"].kind, str(got["a"].date), got["a"].tags, got["a"].error) == ("session-end", "2026-01-05", ["x", "y"], None)
+    assert [got[k].error for k in "bcdef"] == ["bad job id", None, "no id", "no frontmatter", "no frontmatter"] and got["b"].date is None
+    f = spark.createDataFrame([("in", 7000.0), ("early", 1000.0), ("next", 90_000.0), ("none", None)], "path string, mtime double")
+    assert [(r.path, r.how) for r in files.of_session(f, 7200.0, 9000.0).orderBy("path").collect()] == [("early", "day"), ("in", "window")]
