@@ -4,7 +4,9 @@ Method.
 
 * Index. Vectors are grouped into lists of ``LIST_SIZE`` on average around centroids that are
   fitted on a bounded sample (``LIST_SAMPLE`` rows a list, between ``LEAST_SAMPLE`` and
-  ``MOST_SAMPLE``, chosen by hash); every vector is indexed. Each gets a code: it is
+  ``MOST_SAMPLE``, chosen by hash) in two levels: groups, as many as the root of the number of
+  lists, and the lists of each group. Every vector is indexed; it is compared with the lists
+  of its ``GROUPS`` nearest groups only. Each gets a code: it is
   multiplied by a seeded random matrix with orthonormal columns that spreads it over three
   times its dimensions, and the signs are packed into bits. The correction scalar is the
   inner product of the vector with its own code.
@@ -14,7 +16,8 @@ Method.
   reaches the k-th best exact value so far are reranked exactly (by one matrix product where
   they are many of a tile).
 * The size of a list and the number of visits are the same at every size of the table, so
-  work and shuffle grow with the number of vectors; centroids cost 256 bytes a list. Lists
+  work and shuffle grow with the number of vectors; centroids cost 256 bytes a list, and the
+  bounded sample allows ``MOST_SAMPLE`` / 2 lists (a billion vectors; beyond, lists grow). Lists
   larger than a block are split on both sides, so no task holds more than ``BLOCK`` vectors
   of either kind; each vector is shuffled once as data and once for each further list.
 
@@ -46,6 +49,7 @@ WIDTH = 64
 K = 10
 LIST_SIZE = 8192  # vectors a list holds on average
 PROBES = 4
+GROUPS = 8  # groups of lists a vector is compared with
 LIST_SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 16, 8192, 262_144  # rows the centroids are fitted on
 SPREAD = 3  # bits of a code per dimension
 DENSE = 64  # a tile of which more than one in so many pairs is reranked is multiplied out
@@ -118,22 +122,53 @@ def usable(vectors: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 class Index:
-    """Centroids and code parameters; fixed bounds, so fit for a closure."""
-
-    def __init__(self, centroids: np.ndarray, probes: int, width: int):
-        self.centroids, self.probes, self.width = centroids, min(probes, len(centroids)), width
+    """Centroids of groups and of their lists, and the code parameters; fit for a closure."""
+
+    def __init__(self, groups: np.ndarray, centroids: np.ndarray, starts: np.ndarray, probes: int, width: int):
+        self.groups, self.centroids, self.starts = groups, centroids, starts  # group g has the lists starts[g] to starts[g + 1]
+        self.probes, self.width = min(probes, len(centroids)), width
+
+    def visits(self, unit: np.ndarray) -> np.ndarray:
+        """The nearest lists of each vector, its own first."""
+        p, n = self.probes, len(unit)
+        near = unit @ self.groups.T
+        take = min(GROUPS, len(self.groups))
+        some = np.argpartition(-near, take - 1, axis=1)[:, :take]
+        best, which = np.full((n, take * p), -3, np.float32), np.zeros((n, take * p), np.int32)
+        for j in range(take):
+            order = np.argsort(some[:, j], kind="stable")
+            cuts = np.searchsorted(some[order, j], np.arange(len(self.groups) + 1))
+            for g in np.unique(some[:, j]):
+                rows, lo, hi = order[cuts[g] : cuts[g + 1]], self.starts[g], self.starts[g + 1]
+                s = unit[rows] @ self.centroids[lo:hi].T
+                k = min(p, hi - lo)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best[rows, j * p : j * p + k] = np.take_along_axis(s, top, 1)
+                which[rows, j * p : j * p + k] = top + lo
+        order = np.argsort(-best, axis=1, kind="stable")[:, :p]
+        return np.take_along_axis(which, order, 1)
+
+
+def fit_lists(sample: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centroids of the groups, centroids of the lists, where each group's lists begin): lists by a group's share of the sample."""
+    groups = fit_centroids(sample, int(np.ceil(np.sqrt(lists))))
+    own = np.concatenate([(sample[a : a + 65_536] @ groups.T).argmax(axis=1) for a in range(0, len(sample), 65_536)])
+    parts = [sample[own == g] if (own == g).any() else groups[g : g + 1] for g in range(len(groups))]
+    some = [fit_centroids(m, max(1, round(lists * len(m) / len(sample)))) for m in parts]
+    return groups, np.concatenate(some), np.concatenate([[0], np.cumsum([len(c) for c in some])])
 
 
 def fit_index(vecs: DataFrame, width: int = WIDTH, lists: int | None = None, probes: int | None = None) -> Index:
     """The index fitted on a bounded sample of the distinct vectors."""
     n = vecs.count()
-    lists = lists or max(1, n // LIST_SIZE)
+    lists = lists or max(1, min(n // LIST_SIZE, MOST_SAMPLE // 2))
     size = min(MOST_SAMPLE, max(LEAST_SAMPLE, LIST_SAMPLE * lists))
     # by hash of the values: the same rows whatever the partitioning; at most ``size`` rows reach the driver
     part = max(1, n // size)
     picked = vecs.where(F.pmod(F.xxhash64("vec", F.lit(SEED)), F.lit(part)) == 0).select("vec").limit(size).toPandas()
     m = np.frombuffer(b"".join(picked.vec), dtype=np.float32).reshape(-1, width) if len(picked) else np.zeros((0, width), np.float32)
-    return Index(fit_centroids(_unit(m), lists) if len(m) else np.zeros((1, width), np.float32), probes or PROBES, width)
+    none = np.zeros((1, width), np.float32)
+    return Index(*(fit_lists(_unit(m), lists) if len(m) else (none, none, np.array([0, 1]))), probes or PROBES, width)
 
 
 _POINT = "id long, vec binary, visits array<int>"
@@ -147,11 +182,7 @@ def place(vecs: DataFrame, index: Index) -> DataFrame:
             if len(b) == 0:
                 continue
             unit = _unit(np.frombuffer(b"".join(b.vec), dtype=np.float32).reshape(-1, index.width))
-            near = unit @ index.centroids.T
-            p = index.probes
-            top = np.argpartition(-near, p - 1, axis=1)[:, :p] if p < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(unit), 1))
-            order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-            yield pd.DataFrame({"id": b.id, "vec": b.vec, "visits": list(np.take_along_axis(top, order, 1).astype(np.int32))})
+            yield pd.DataFrame({"id": b.id, "vec": b.vec, "visits": list(index.visits(unit))})
 
     return vecs.mapInPandas(run, _POINT)
 
@@ -249,11 +280,6 @@ _OWN = "id long, vec binary, visits array<int>, beat double, cosines array<doubl
 _FOUND = "id long, cosines array<double>, others array<long>"
 
 
-def _blocks(sizes: dict[int, int], n_lists: int) -> F.Column:
-    """How many blocks a list is cut into, by the column ``list``; one entry a list."""
-    return F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(i, 0) // BLOCK))) for i in range(n_lists)]), F.col("list") + 1)
-
-
 def knn_join(vecs: DataFrame, width: int = WIDTH, k: int = K, lists: int | None = None, probes: int | None = None) -> DataFrame:
     """(id, near): the k nearest of each distinct vector, best first. ``vecs``: (id, vec), ids unique.
 
@@ -264,16 +290,17 @@ def knn_join(vecs: DataFrame, width: int = WIDTH, k: int = K, lists: int | None
     index = fit_index(vecs, width, lists, probes)
     placed = place(vecs, index)
     n_lists, turn = len(index.centroids), rotation(width)
-    # one row a list
-    sizes = placed.select(F.posexplode("visits").alias("rank", "list")).groupBy("list").agg(
-        F.sum((F.col("rank") == 0).cast("long")).alias("data"), F.sum((F.col("rank") > 0).cast("long")).alias("queries")
-    ).toPandas()
-    nd = _blocks(dict(zip(sizes.list, sizes.data)), n_lists)
-    nq = _blocks(dict(zip(sizes.list, sizes.queries)), n_lists)
+    # (list, data, queries, nd, nq): one row a list; into how many blocks its vectors and its visitors are cut
+    seen = placed.select(F.posexplode("visits").alias("rank", "list")).groupBy("list")
+    sizes = seen.agg(F.sum((F.col("rank") == 0).cast("long")).alias("data"), F.sum((F.col("rank") > 0).cast("long")).alias("queries"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    sizes = cut(sizes.select("list", "data", "queries", blocks("data").alias("nd"), blocks("queries").alias("nq")))
+    cuts = F.broadcast(sizes.select("list", "nd", "nq"))
+    nd, nq = F.col("nd"), F.col("nq")
     h = F.xxhash64("id", F.lit(SEED))
 
     # --- a vector's own list: every block against every block
-    own = placed.select("id", "vec", "visits", F.element_at("visits", 1).alias("list"))
+    own = placed.select("id", "vec", "visits", F.element_at("visits", 1).alias("list")).join(cuts, "list")
     as_query = own.select("id", "vec", "visits", "list", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), nd - 1)).alias("db"), F.pmod(h, nd).cast("int").alias("qb"))
     as_data = own.select("id", "vec", F.lit(None).cast("array<int>").alias("visits"), "list", F.lit(False).alias("asks"), F.pmod(h, nd).cast("int").alias("db"), F.explode(F.sequence(F.lit(0), nd - 1)).alias("qb"))
     # within the diagonal blocks the queries are the data: sent once
@@ -312,11 +339,11 @@ def knn_join(vecs: DataFrame, width: int = WIDTH, k: int = K, lists: int | None
             "id", "vec", "beat", F.coalesce("list", -1 - F.pmod(h, F.lit(n_lists)).cast("int")).alias("list"),
             F.when(carried, F.col("cosines")).alias("cosines"), F.when(carried, F.col("others")).alias("others"),
         )
-        goes = goes.withColumn("nd", F.when(F.col("list") < 0, 1).otherwise(nd)).withColumn("nq", F.when(F.col("list") < 0, 1).otherwise(nq))
+        goes = goes.join(cuts, "list", "left").withColumn("nd", F.coalesce(nd, F.lit(1))).withColumn("nq", F.coalesce(nq, F.lit(1)))
         goes = goes.select("id", "vec", "beat", "list", "cosines", "others", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"), F.pmod(h, F.col("nq")).cast("int").alias("qb"))
         goes = goes.withColumn("cosines", F.when(F.col("db") == 0, F.col("cosines"))).withColumn("others", F.when(F.col("db") == 0, F.col("others")))
         # lists of one block each are the ones just searched: the same shuffle serves again
-        single = max([*sizes.data, *sizes.queries], default=0) <= BLOCK
+        single = (sizes.agg(F.max(F.greatest("data", "queries"))).first()[0] or 0) <= BLOCK
         stays = units if single else own.select("id", "vec", "list", F.pmod(h, nd).cast("int").alias("db"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("qb"))
 
         def search_visits(q: pa.Table, d: pa.Table) -> pa.Table:

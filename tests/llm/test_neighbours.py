@@ -107,7 +107,17 @@ def test_lists_are_of_one_size(spark, monkeypatch):
     vecs = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(m)], "id long, vec binary")
     for n in (150, 600, 1200):
         index = N.fit_index(vecs.where(f"id < {n}"))
-        assert len(index.centroids) == n // 100 and index.probes == min(N.PROBES, n // 100)
+        assert 0.6 * (n // 100) <= len(index.centroids) <= 1.5 * (n // 100) and index.probes == min(N.PROBES, len(index.centroids))
+
+
+def test_visits_are_the_nearest_lists():
+    m = N._unit(clustered(4000, 9))
+    index = N.Index(*N.fit_lists(m, 60), 4, 64)
+    assert index.starts[-1] == len(index.centroids) and len(index.groups) == 8  # all groups are looked at
+    assert (index.visits(m[:500]) == np.argsort(-(m[:500] @ index.centroids.T), axis=1, kind="stable")[:, :4]).mean() > 0.999
+    many = N.Index(*N.fit_lists(m, 400), 4, 64)
+    same = many.visits(m[:500])[:, 0] == (m[:500] @ many.centroids.T).argmax(axis=1)
+    assert same.mean() > 0.9 and len(set(map(tuple, many.visits(m[:5])))) == 5
 
 
 def test_numbers_tell_vectors_apart(spark):
