@@ -47,14 +47,14 @@ from lodestrand.tables import cut
 
 WIDTH = 64
 K = 10
-LIST_SIZE = 8192  # vectors a list holds on average
-PROBES = 4
+LIST_SIZE = 6144  # vectors a list holds on average
+PROBES = 5
 GROUPS = 8  # groups of lists a vector is compared with
 LIST_SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 16, 8192, 262_144  # rows the centroids are fitted on
 SPREAD = 3  # bits of a code per dimension
 DENSE = 64  # a tile of which more than one in so many pairs is reranked is multiplied out
 BLOCK = 65_536
-EPSILON = 1.6
+EPSILON = 2.2
 SEED = 7
 
 
