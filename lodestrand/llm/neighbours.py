@@ -17,7 +17,7 @@ Method.
   they are many of a tile).
 * The size of a list and the number of visits are the same at every size of the table, so
   work and shuffle grow with the number of vectors; centroids cost 256 bytes a list, and the
-  bounded sample allows ``MOST_SAMPLE`` / 2 lists (a billion vectors; beyond, lists grow). Lists
+  bounded sample allows ``MOST_SAMPLE`` / 2 lists (0.8 billion vectors; beyond, lists grow). Lists
   larger than a block are split on both sides, so no task holds more than ``BLOCK`` vectors
   of either kind; each vector is shuffled once as data and once for each further list.
 
